@@ -25,7 +25,7 @@ from aestudy.operators.lookup import many_to_one_join, unmatched_keys
 from aestudy.operators.score import score_with_udf, scoring_udf
 from aestudy.operators.splits import MAX_DELTA_STEP, SplitRules, best_splits, describe_features, split_candidates, value_sums
 from aestudy.operators.study import actual_to_predicted, predicted_count, prediction_difference, subset
-from aestudy.operators.values import distinct_quantiles, level_frame, value_range
+from aestudy.operators.values import baseline_levels, distinct_quantiles, level_frame, value_range
 from aestudy.plans.driver_tables import (
     age_spline,
     cells,
@@ -194,13 +194,14 @@ def d2_score_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def category_levels(spark: SparkSession, d: str) -> DataFrame:
-    levels = level_frame(selected_study(spark, d), C.FACE_BAND).select(F.col(C.FACE_BAND).alias("level"))
-    is_baseline = F.col("level") == F.lit("3-MEDIUM")
-    below = F.when(F.col("level") < F.lit("3-MEDIUM"), F.lit(1)).otherwise(F.lit(0))
-    ranked = levels.groupBy().agg(F.array_sort(F.collect_list("level")).alias("sorted"))
-    return ranked.select(F.posexplode("sorted").alias("place", "level")).select(
-        "level", F.when(is_baseline, F.lit(0)).otherwise(F.col("place") + below).alias("pos")
-    )
+    levels = baseline_levels(selected_study(spark, d), C.FACE_BAND, "3-MEDIUM")
+    return spark.createDataFrame([(v, i) for i, v in enumerate(levels)], "level string, pos int")
+
+
+def level_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sorted levels of the clean plan column, with the rows of each."""
+    base = study_base(spark, d)
+    return level_frame(base, C.PLAN).join(base.groupBy(C.PLAN).agg(F.count(F.lit(1)).alias("n_rows")), C.PLAN)
 
 
 def value_range_query(spark: SparkSession, d: str) -> DataFrame:
@@ -242,7 +243,7 @@ def spline_basis(spark: SparkSession, d: str) -> DataFrame:
     knots = [float(spline.lower), *found, float(spline.upper)]
     basis = basis_columns(F.col(C.ATTAINED_AGE), knots)
     summed = study.groupBy(C.ATTAINED_AGE).agg(F.count(F.lit(1)).alias("n_rows"))
-    return rounded(summed.withColumns({f"cr_{i + 1}": b for i, b in enumerate(basis)}), [f"cr_{i + 1}" for i in range(4)])
+    return rounded(summed.withColumns({f"cr_{i + 1}": b for i, b in enumerate(basis)}), [f"cr_{i + 1}" for i in range(4)], 9)
 
 
 # Regression
@@ -542,7 +543,8 @@ def score_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     save_model(spark, model, path)
     scored = load_model(spark, path).predict(selected_study(spark, d))
     written = overwrite_parquet(scored, scratch_path(spark, "scored"))
-    return rounded(post_score_check(written), ["predicted", "actual_over_predicted", "predicted_over_actual"], 4)
+    ratios = rounded(post_score_check(written), ["actual_over_predicted", "predicted_over_actual"], 4)
+    return rounded(ratios, ["predicted"], 2)
 
 
 def scored_view(spark: SparkSession, d: str) -> DataFrame:
@@ -588,6 +590,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "poisson_deviance": poisson_deviance_query,
         "d2_score": d2_score_query,
         "category_levels": category_levels,
+        "level_counts": level_counts,
         "value_range": value_range_query,
         "first_values": first_values,
         "one_hot_fixed": one_hot_fixed,
