@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from aestudy import columns as C
 from aestudy.functions import text
+from aestudy.functions.poisson import usable_counts
 from aestudy.operators.checks import require_columns
 from aestudy.operators.encode import EncodedColumn, encode
 from aestudy.operators.splits import Features, SplitRules, number_value
@@ -234,7 +235,7 @@ def boost_cells(
     if cuts:
         rows = rows.withColumns({n: binned(number_value(n), c) for n, c in cuts.items()})
     y, e = F.col(actual).cast("double"), F.col(expected).cast("double")
-    fine = F.coalesce((e > 0) & (y >= 0), F.lit(False))
+    fine = usable_counts(y, e)
     cells = rows.groupBy("__valid", *names).agg(
         F.sum(y).alias("__y"), F.sum(e).alias("__e"), F.count(F.lit(1)).alias("__n"), F.count_if(~fine).alias("__bad")
     )

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aestudy import columns as C
-from aestudy.functions.poisson import y_log_ratio
+from aestudy.functions.poisson import fail_unless, usable_counts, y_log_ratio
 from aestudy.operators.checks import require_columns
+from aestudy.operators.deviance import null_deviance
 from aestudy.operators.design import Design, DesignColumn
 
 INTERCEPT = "intercept"
@@ -99,7 +100,7 @@ class GLMPath:
         features = F.array(*[self.design.feature(c) for c in self.design.columns])
         table = [[float(b), *map(float, w)] for b, w in zip(self.intercepts, self.coefficients)]
         encoded = self.design.with_basis(merged).select(
-            "y", "e", "n", "y_log_rate", "y_log_y", F.array_insert(features, 1, F.lit(1.0)).alias("x")
+            "y", "e", "n", "n_bad", "y_log_rate", "y_log_y", F.array_insert(features, 1, F.lit(1.0)).alias("x")
         )
         one_row_per_alpha = encoded.select(
             "*", F.posexplode(F.array(*[F.array(*[F.lit(v) for v in row]) for row in table])).alias("alpha_index", "w")
@@ -112,14 +113,16 @@ class GLMPath:
                 F.sum("n").alias("n"),
                 F.sum("y").alias("y"),
                 F.sum("y_log_y").alias("yly"),
+                F.sum("n_bad").alias("n_bad"),
                 F.sum(
                     F.lit(2.0)
                     * (F.col("y_log_rate") - F.col("y") * F.col("eta") - F.col("y") + F.col("e") * F.exp("eta"))
                 ).alias("dev"),
             )
         )
-        null = F.lit(2.0) * (F.col("yly") - F.when(F.col("y") > 0, F.col("y") * F.ln(F.col("y") / F.col("n"))).otherwise(0.0))
-        score = F.when(F.col("n") >= 2, F.lit(1.0) - F.try_divide(F.col("dev"), null))
+        null = null_deviance(F.col("n"), F.col("y"), F.col("yly"))
+        deviance = fail_unless(F.col("n_bad") == 0, "rows lack an actual or a positive expected count", F.col("dev"))
+        score = F.when(F.col("n") >= 2, F.lit(1.0) - F.try_divide(deviance, null))
         return per_alpha.select("alpha_index", score.alias("d2"))
 
 
@@ -147,6 +150,7 @@ def merge_cells(
             F.count(F.lit(1)).alias("n"),
             F.sum(y_log_ratio(y, e)).alias("y_log_rate"),
             F.sum(y_log_ratio(y, F.lit(1.0))).alias("y_log_y"),
+            F.count_if(~usable_counts(y, e)).alias("n_bad"),
         )
     )
 
@@ -174,22 +178,21 @@ def fit_glm_path(
     merged = merge_cells(df, design, actual, expected, keep_null=True).persist()
     usable = merged.dropna(how="any", subset=design.variables)
     encoded = design.with_basis(usable).select(
-        "y", "e", "n", F.ln("e").alias("log_e"), *[design.feature(c).alias(f"x{i}") for i, c in enumerate(design.columns)]
+        "y", "e", "n", "n_bad", F.ln(F.when(F.col("e") > 0, F.col("e"))).alias("log_e"), *[design.feature(c).alias(f"x{i}") for i, c in enumerate(design.columns)]
     )
     assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(len(design.columns))], outputCol="features")
-    training = assembler.transform(encoded).select("y", "e", "n", "log_e", "features").persist()
+    training = assembler.transform(encoded).select("y", "n", "n_bad", "log_e", "features").persist()
     try:
         n_all = merged.agg(F.sum("n").alias("n")).first()["n"] or 0
         totals = training.agg(
             F.sum("n").alias("n"),
             F.sum("y").alias("y"),
-            F.min("e").alias("least_e"),
-            F.count_if(F.col("e").isNull() | F.col("y").isNull()).alias("no_count"),
+            F.sum("n_bad").alias("n_bad"),
         ).first()
-        if not totals["n"] or totals["no_count"]:
-            raise ValueError("actual and expected must be given on at least one row of every combination")
-        if totals["least_e"] <= 0:
-            raise ValueError("expected counts must be positive")
+        if not totals["n"]:
+            raise ValueError("there are no rows to fit a regression to")
+        if totals["n_bad"]:
+            raise ValueError(f"{totals['n_bad']} rows lack an actual or have a non-positive expected count")
         if not totals["y"] > 0:
             raise ValueError("the actual counts sum to zero")
 

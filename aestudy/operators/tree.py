@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from aestudy.functions import text
-from aestudy.functions.poisson import group_deviance, y_log_ratio
+from aestudy.functions.poisson import group_deviance, usable_counts, y_log_ratio
 from aestudy.operators.checks import require_columns
 from aestudy.operators.splits import (
     Features,
@@ -256,7 +256,7 @@ def fit_residual_tree(
         .agg(
             F.sum(F.col(actual).cast("double")).alias("__y"),
             F.sum(F.col(exposure).cast("double")).alias("__e"),
-            F.count_if(~_usable(F.col(actual), F.col(exposure))).alias("__bad"),
+            F.count_if(~usable_counts(F.col(actual), F.col(exposure))).alias("__bad"),
         )
         .persist()
     )
@@ -281,10 +281,6 @@ def fit_residual_tree(
         cells.unpersist()
 
 
-def _usable(actual: Column, exposure: Column) -> Column:
-    return F.coalesce((exposure > 0) & (actual >= 0) & ~F.isnan(actual.cast("double")), F.lit(False))
-
-
 def split_statistics(df: DataFrame, tree: Tree, actual: str, exposure: str) -> DataFrame:
     """Counts, A/E and Poisson deviance of every split and its two sides.
 
