@@ -199,8 +199,8 @@ def _flatten(tree: Tree, names: list[str]) -> tuple:
 
 
 def bin_cuts(df: DataFrame, names: Sequence[str], max_bins: int) -> dict[str, list[float]]:
-    """Quantile cut points of the columns that have more than ``max_bins`` distinct values."""
-    counts = df.agg(*[F.approx_count_distinct(n, 0.01).alias(f"n{i}") for i, n in enumerate(names)]).first()
+    """Quantile cut points of the columns that have (about) more than ``max_bins`` distinct values."""
+    counts = df.agg(*[F.approx_count_distinct(n).alias(f"n{i}") for i, n in enumerate(names)]).first()
     many = [n for i, n in enumerate(names) if counts[f"n{i}"] > max_bins]
     if not many:
         return {}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from aestudy.functions.spline import basis_columns
 from aestudy.operators.checks import require_columns, require_strings
-from aestudy.operators.values import baseline_levels, collect_levels, distinct_quantiles
+from aestudy.operators.values import baseline_first, distinct_quantiles, levels_of
 
 
 @dataclass(frozen=True)
@@ -239,17 +239,14 @@ def fit_design(df: DataFrame, terms: Iterable[Term]) -> Design:
     components = list(dict.fromkeys(c for t in terms for c in t))
     require_columns(df.columns, [c.var for c in components])
     require_strings(df, [c.var for c in components if isinstance(c, Cat)])
-    levels: dict[str, list[str]] = {}
+    cats = [c for c in components if isinstance(c, Cat)]
+    found = levels_of(df, list(dict.fromkeys(c.var for c in cats)))
+    levels = {c.var: baseline_first(found[c.var], c.baseline) for c in cats}
     knots: dict[str, list[float]] = {}
     for component in components:
-        if isinstance(component, Cat):
-            if component.baseline is None:
-                levels[component.var] = collect_levels(df, component.var)
-            else:
-                levels[component.var] = baseline_levels(df, component.var, component.baseline)
-        elif isinstance(component, Spline):
+        if isinstance(component, Spline):
             inner = component.df - 2
             probabilities = [(i + 1) / (inner + 1) for i in range(inner)]
-            found = distinct_quantiles(df, component.var, probabilities, component.lower, component.upper) if inner else []
-            knots[component.label] = [float(component.lower), *found, float(component.upper)]
+            at = distinct_quantiles(df, component.var, probabilities, component.lower, component.upper) if inner else []
+            knots[component.label] = [float(component.lower), *at, float(component.upper)]
     return Design(terms, levels, knots)

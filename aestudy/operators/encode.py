@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aestudy import columns as C
 from aestudy.operators.checks import require_columns, require_strings
-from aestudy.operators.values import MAX_LEVELS, collect_levels_and_null
+from aestudy.operators.values import MAX_LEVELS, levels_of
 
 NULL_LEVEL = "None"
 
@@ -34,7 +34,7 @@ def one_hot(df: DataFrame, column: str, levels: Sequence[str | None], drop_first
 def learned_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list[str | None]:
     """Sorted levels of the data; NULL, where it occurs, is the last level."""
     require_strings(df, [column])
-    return collect_levels_and_null(df, column, max_levels)
+    return levels_of(df, [column], max_levels)[column]
 
 
 def ordinal(column: str, levels: Sequence[str], unknown: int = -1) -> Column:

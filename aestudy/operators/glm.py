@@ -32,6 +32,8 @@ ALPHA_MAX = 10.0
 MIN_ALPHA_RATIO = 1e-6
 N_ALPHAS = 100
 
+CELLS_PER_TASK = 20_000
+
 
 def penalty_path(
     n_alphas: int = N_ALPHAS, alpha_max: float = ALPHA_MAX, min_ratio: float = MIN_ALPHA_RATIO
@@ -163,7 +165,7 @@ def fit_glm_path(
     expected: str = C.EXPECTED,
     tol: float = 1e-8,
     max_iter: int = 100,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> GLMPath:
     """Fit one regression per penalty.
 
@@ -176,18 +178,17 @@ def fit_glm_path(
     require_columns(df.columns, [*design.variables, actual, expected])
     alphas = penalty_path() if alphas is None else [float(a) for a in alphas]
     merged = merge_cells(df, design, actual, expected, keep_null=True).persist()
-    usable = merged.dropna(how="any", subset=design.variables)
-    encoded = design.with_basis(usable).select(
-        "y", "e", "n", "n_bad", F.ln(F.when(F.col("e") > 0, F.col("e"))).alias("log_e"), *[design.feature(c).alias(f"x{i}") for i, c in enumerate(design.columns)]
-    )
-    assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(len(design.columns))], outputCol="features")
-    training = assembler.transform(encoded).select("y", "n", "n_bad", "log_e", "features").persist()
+    complete = F.lit(True)
+    for v in design.variables:
+        complete = complete & F.col(v).isNotNull()
+    training = None
     try:
-        n_all = merged.agg(F.sum("n").alias("n")).first()["n"] or 0
-        totals = training.agg(
-            F.sum("n").alias("n"),
-            F.sum("y").alias("y"),
-            F.sum("n_bad").alias("n_bad"),
+        totals = merged.agg(
+            F.sum("n").alias("n_all"),
+            F.count_if(complete).alias("n_cells"),
+            F.sum(F.when(complete, F.col("n"))).alias("n"),
+            F.sum(F.when(complete, F.col("y"))).alias("y"),
+            F.sum(F.when(complete, F.col("n_bad"))).alias("n_bad"),
         ).first()
         if not totals["n"]:
             raise ValueError("there are no rows to fit a regression to")
@@ -195,6 +196,12 @@ def fit_glm_path(
             raise ValueError(f"{totals['n_bad']} rows lack an actual or have a non-positive expected count")
         if not totals["y"] > 0:
             raise ValueError("the actual counts sum to zero")
+        usable = merged.filter(complete).coalesce(1 + totals["n_cells"] // CELLS_PER_TASK)
+        encoded = design.with_basis(usable).select(
+            "y", F.ln("e").alias("log_e"), *[design.feature(c).alias(f"x{i}") for i, c in enumerate(design.columns)]
+        )
+        assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(len(design.columns))], outputCol="features")
+        training = assembler.transform(encoded).select("y", "log_e", "features").persist()
 
         def fit(alpha: float) -> tuple[float, list[float]]:
             solver = GeneralizedLinearRegression(
@@ -213,7 +220,8 @@ def fit_glm_path(
         with ThreadPool(max(1, min(parallelism, len(alphas)))) as pool:
             fits = pool.map(inheritable_thread_target(df.sparkSession)(fit), alphas, chunksize=1)
     finally:
-        training.unpersist()
+        if training is not None:
+            training.unpersist()
         merged.unpersist()
     return GLMPath(
         design=design,
@@ -221,5 +229,5 @@ def fit_glm_path(
         intercepts=[f[0] for f in fits],
         coefficients=[f[1] for f in fits],
         n_rows=int(totals["n"]),
-        n_dropped=int(n_all - totals["n"]),
+        n_dropped=int(totals["n_all"] - totals["n"]),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aestudy.operators.checks import require_columns
-from aestudy.operators.values import collect_levels, integer_range
+from aestudy.operators.values import integer_range, levels_of
 
 MAX_GRID_ROWS = 50_000_000
 
@@ -41,8 +41,8 @@ def grid_axes(df: DataFrame, variables: Sequence[str]) -> dict[str, Axis]:
     axes = {}
     for v, (lo, hi) in integer_range(df, numbers).items():
         axes[v] = Axis(v, types[v], start=lo, size=hi - lo + 1)
-    for v in strings:
-        levels = tuple(collect_levels(df, v))
+    for v, found in levels_of(df, strings).items():
+        levels = tuple(x for x in found if x is not None)
         if not levels:
             raise ValueError(f"column {v!r} has no value")
         axes[v] = Axis(v, types[v], size=len(levels), levels=levels)

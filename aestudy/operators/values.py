@@ -19,21 +19,42 @@ def level_frame(df: DataFrame, column: str) -> DataFrame:
 
 def collect_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list:
     """Sorted distinct non-NULL values; more than ``max_levels`` raises instead of being gathered."""
-    return [v for v in collect_levels_and_null(df, column, max_levels) if v is not None]
+    return [v for v in levels_of(df, [column], max_levels)[column] if v is not None]
 
 
-def collect_levels_and_null(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list:
-    """Like ``collect_levels``; NULL, where it occurs, is the last entry."""
-    rows = df.select(column).distinct().limit(max_levels + 2).collect()
-    values = sorted(r[0] for r in rows if r[0] is not None)
-    if len(values) > max_levels:
-        raise ValueError(f"column {column!r} has more than {max_levels} levels")
-    return values + [None] * (len(rows) - len(values))
+def levels_of(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
+    """Sorted distinct values of several columns of one type, NULL last where it occurs.
+
+    One job reads them all: values are paired with their column's number and deduplicated before
+    the shuffle. A column with more than ``max_levels`` levels raises.
+    """
+    if not columns:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col("`" + c + "`").alias("v")) for i, c in enumerate(columns)])
+    rows = df.select(F.inline(pairs)).distinct().limit((max_levels + 1) * len(columns) + 1).collect()
+    found: dict[str, list] = {c: [] for c in columns}
+    nulls = set()
+    for r in rows:
+        if r["v"] is None:
+            nulls.add(columns[r["c"]])
+        else:
+            found[columns[r["c"]]].append(r["v"])
+    for c, values in found.items():
+        if len(values) > max_levels:
+            raise ValueError(f"column {c!r} has more than {max_levels} levels")
+        values.sort()
+    return {c: values + [None] * (c in nulls) for c, values in found.items()}
 
 
 def baseline_levels(df: DataFrame, column: str, baseline: str, max_levels: int = MAX_LEVELS) -> list[str]:
     """Category levels with the baseline first and the others sorted."""
-    return [baseline] + [v for v in collect_levels(df, column, max_levels) if v != baseline]
+    return baseline_first(collect_levels(df, column, max_levels), baseline)
+
+
+def baseline_first(levels: Sequence[str | None], baseline: str | None) -> list[str]:
+    """Levels without NULL, the baseline (whether seen or not) moved to the front."""
+    seen = [v for v in levels if v is not None]
+    return seen if baseline is None else [baseline] + [v for v in seen if v != baseline]
 
 
 def integer_range(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:

@@ -61,7 +61,7 @@ def train_glm_study(
     keys: Sequence[str] = tuple(C.REGRESSION_KEYS),
     alphas: Sequence[float] | None = None,
     alpha_index: int | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> GLMStudy:
     """Fit the regression path on the training cells of a labelled study and diagnose it.
 
