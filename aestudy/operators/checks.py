@@ -71,12 +71,12 @@ class KeyProfile:
     max_rows_per_key: int
 
 
-def key_profile(df: DataFrame, keys: Sequence[str]) -> KeyProfile:
-    """Size of a table and of its largest key group, from one aggregate."""
-    row = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
-        .first()
-    )
-    return KeyProfile(int(row["n_rows"]), int(row["most"]))
+def key_profiles(tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> list[KeyProfile]:
+    """Size of every table and of its largest key group, from one job for all."""
+    parts = None
+    for i, (df, keys) in enumerate(tables):
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        part = sizes.agg(F.lit(i).alias("place"), F.sum("n").alias("n_rows"), F.max("n").alias("most"))
+        parts = part if parts is None else parts.unionByName(part)
+    rows = [] if parts is None else parts.orderBy("place").collect()
+    return [KeyProfile(r["n_rows"] or 0, r["most"] or 0) for r in rows]

@@ -16,7 +16,7 @@ from aestudy.operators.checks import duplicate_keys, require_columns
 from aestudy.operators.design import Design, DesignColumn, term_name, term_variables
 from aestudy.operators.glm import INTERCEPT, GLMPath
 from aestudy.operators.grid import MAX_GRID_ROWS, grid_axes, prediction_grid
-from aestudy.operators.lookup import BROADCAST_ROWS, many_to_one_join, unmatched_keys
+from aestudy.operators.lookup import BROADCAST_ROWS, lookup, unique_key_profiles, unmatched_keys
 from aestudy.operators.study import all_close
 
 VALUE_TOLERANCE = 1e-12
@@ -204,12 +204,15 @@ def join_factors(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join factor tables by their variables and multiply; see ``FactorAnalysis.append_factors``."""
+    keys = {g: [c for c in t.columns if c not in ("factor", "term_group")] for g, t in tables.items()}
+    keyed = [g for g in tables if keys[g]]
+    require_columns(df.columns, [k for g in keyed for k in keys[g]])
+    profiles = dict(zip(keyed, unique_key_profiles([(tables[g], keys[g]) for g in keyed])))
     names = []
     for group, table in tables.items():
         name = f"factor_{group}"
-        keys = [c for c in table.columns if c not in ("factor", "term_group")]
-        if keys:
-            df = many_to_one_join(df, table, keys, "factor", name, broadcast_rows)
+        if group in profiles:
+            df = lookup(df, table, keys[group], "factor", name, profiles[group], broadcast_rows)
         else:
             df = df.withColumn(name, F.lit(_single_factor(table)))
         names.append(name)

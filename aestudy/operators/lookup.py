@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aestudy.operators.checks import KeyProfile, duplicate_keys, key_profile, require_columns
+from aestudy.operators.checks import KeyProfile, duplicate_keys, key_profiles, require_columns
 
 BROADCAST_ROWS = 500_000
 
@@ -28,13 +28,20 @@ def many_to_one_join(
     """
     require_columns(df.columns, keys)
     require_columns(table.columns, [*keys, value])
-    profile = key_profile(table, keys)
-    if profile.max_rows_per_key > 1:
-        sample = duplicate_keys(table, keys).limit(5).collect()
-        raise ValueError(f"lookup keys are not unique: {[r.asDict() for r in sample]}")
+    (profile,) = unique_key_profiles([(table, keys)])
     return lookup(df, table, keys, value, output, profile, broadcast_rows)
 
 
+def unique_key_profiles(tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> list[KeyProfile]:
+    """Sizes of lookup tables; raises if one of them repeats a key."""
+    profiles = key_profiles(tables)
+    for (table, keys), profile in zip(tables, profiles):
+        if profile.max_rows_per_key > 1:
+            sample = duplicate_keys(table, keys).limit(5).collect()
+            raise ValueError(f"lookup keys are not unique: {[r.asDict() for r in sample]}")
+    return profiles
+
+
 def lookup(
     df: DataFrame,
     table: DataFrame,

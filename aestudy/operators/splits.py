@@ -38,15 +38,14 @@ class SplitRules:
     def gain(self, g: str, h: str) -> str:
         """Drop of the second-order loss when the group takes its own weight, as SQL text.
 
-        Equal to ``g^2 / (h + lambda)`` unless the step limit holds the weight back.
+        With the weight's size ``w = min(|g| / (h + lambda), step limit)`` it is
+        ``w (2 |g| - (h + lambda) w)``, which is ``g^2 / (h + lambda)`` below the limit.
         """
-        total = f"({h} + {text.number(self.reg_lambda)})"
-        free = f"({g}) * ({g}) / {total}"
+        size, total = f"abs({g})", f"({h} + {text.number(self.reg_lambda)})"
         if not self.max_delta_step:
-            return free
-        step = text.number(self.max_delta_step)
-        at_limit = f"2D * abs({g}) * {step} - {total} * {step} * {step}"
-        return f"(CASE WHEN abs({g}) <= {step} * {total} THEN {free} ELSE {at_limit} END)"
+            return f"{size} * {size} / {total}"
+        weight = f"least({size} / {total}, {text.number(self.max_delta_step)})"
+        return f"{weight} * (2D * {size} - {total} * {weight})"
 
     def leaf_weight(self, g: float, h: float) -> float:
         raw = -g / (h + self.reg_lambda)

@@ -355,12 +355,11 @@ def prediction_grid_query(spark: SparkSession, d: str) -> DataFrame:
 def factor_tables_query(spark: SparkSession, d: str) -> DataFrame:
     """Factor tables of a saturated two-way model in long form; factors are the cells' A/E."""
     with cached(train_cells(spark, d, [C.SEX, C.SMOKER])) as train:
-        analysis = factors.FactorAnalysis(spark, _saturated(train))
-        tables = analysis.factor_tables(train)
-    long = factors.long_factors(tables)
-    base = long.filter(F.col("term_group") == "intercept").select(F.col("factor").alias("base"))
-    scaled = long.filter(F.col("term_group") != "intercept").join(F.broadcast(base))
-    return rounded(scaled.select(C.SMOKER, C.SEX, "term_group", (F.col("factor") * F.col("base")).alias("factor")), ["factor"])
+        model = _saturated(train)
+        long = factors.long_factors(factors.FactorAnalysis(spark, model).factor_tables(train))
+    base = float(np.exp(model.intercepts[0]))
+    scaled = long.filter(F.col("term_group") != "intercept").withColumn("factor", F.col("factor") * base)
+    return rounded(scaled.select(C.SMOKER, C.SEX, "term_group", "factor"), ["factor"])
 
 
 def _band_factors(spark: SparkSession, d: str) -> DataFrame:
