@@ -20,7 +20,7 @@ from aestudy.functions.poisson import usable_counts
 from aestudy.operators.checks import require_columns
 from aestudy.operators.encode import EncodedColumn, encode
 from aestudy.operators.splits import Features, SplitRules, number_value
-from aestudy.operators.tree import Tree, grow_tree
+from aestudy.operators.tree import CELLS_PER_TASK, Tree, grow_tree
 from aestudy.sources.checkpoints import cut_lineage
 
 # Parameters of the boosted study model.
@@ -32,7 +32,6 @@ PATIENCE = 10
 MAX_BINS = 256
 
 BLOCK = 10
-CELLS_PER_TASK = 50_000
 INLINE_TREES = 60
 LOOKUP_ROWS = 1_000_000
 

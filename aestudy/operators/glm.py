@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aestudy import columns as C
+from aestudy.functions import text
 from aestudy.functions.poisson import fail_unless, usable_counts, y_log_ratio
 from aestudy.operators.checks import require_columns
 from aestudy.operators.deviance import null_deviance
@@ -99,18 +100,19 @@ class GLMPath:
         All penalties are scored by one job over the merged feature combinations.
         """
         merged = merge_cells(df, self.design, actual, expected)
-        features = F.array(*[self.design.feature(c) for c in self.design.columns])
         table = [[float(b), *map(float, w)] for b, w in zip(self.intercepts, self.coefficients)]
-        encoded = self.design.with_basis(merged).select(
-            "y", "e", "n", "n_bad", "y_log_rate", "y_log_y", F.array_insert(features, 1, F.lit(1.0)).alias("x")
+        features = [self.design.feature(c).alias(f"x{i}") for i, c in enumerate(self.design.columns)]
+        sums = ["y", "e", "n", "n_bad", "y_log_rate", "y_log_y"]
+        weights = "array(" + ", ".join(text.numbers(row) for row in table) + ")"
+        dot = " + ".join(["w[0]", *[f"w[{i + 1}] * x{i}" for i in range(len(features))]])
+        scored = (
+            self.design.with_basis(merged)
+            .select(*sums, *features)
+            .selectExpr("*", f"posexplode({weights}) AS (alpha_index, w)")
+            .selectExpr("alpha_index", *sums, f"{dot} AS eta")
         )
-        one_row_per_alpha = encoded.select(
-            "*", F.posexplode(F.array(*[F.array(*[F.lit(v) for v in row]) for row in table])).alias("alpha_index", "w")
-        )
-        dot = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
         per_alpha = (
-            one_row_per_alpha.withColumn("eta", dot)
-            .groupBy("alpha_index")
+            scored.groupBy("alpha_index")
             .agg(
                 F.sum("n").alias("n"),
                 F.sum("y").alias("y"),

@@ -30,6 +30,8 @@ PATH_AND = " AND "
 TREE_DEPTH = 3
 TREE_ETA = 0.3
 
+CELLS_PER_TASK = 50_000
+
 NODE_SCHEMA = (
     "nodeid int, depth int, feature string, threshold double, yes int, no int, missing int, "
     "gain double, cover double, leaf double, source string, is_level boolean, level string"
@@ -261,15 +263,15 @@ def fit_residual_tree(
         .persist()
     )
     try:
-        n_bad = cells.agg(F.sum("__bad").alias("bad")).first()["bad"]
-        if n_bad is None:
+        totals = cells.agg(F.sum("__bad").alias("bad"), F.count(F.lit(1)).alias("n_cells")).first()
+        if not totals["n_cells"]:
             raise ValueError("there are no rows to fit a tree to")
-        if n_bad:
-            raise ValueError(f"{n_bad} rows lack an actual or have a non-positive exposure")
+        if totals["bad"]:
+            raise ValueError(f"{totals['bad']} rows lack an actual or have a non-positive exposure")
         widen = exp(rules.max_delta_step)
         features = describe_features(cells, ["__y", "__e", "__bad"])
         return grow_tree(
-            cells,
+            cells.coalesce(1 + totals["n_cells"] // CELLS_PER_TASK),
             features,
             g="__e - __y",
             h=f"__e * {text.number(widen)}",

@@ -62,6 +62,11 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 
 
+def full_name(catalog: str, schema: str, table: str) -> str:
+    """Three-part table name from run parameters."""
+    return f"{catalog}.{schema}.{table}"
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
 
