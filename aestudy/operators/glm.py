@@ -16,7 +16,7 @@ import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aestudy import columns as C
@@ -35,6 +35,11 @@ N_ALPHAS = 100
 
 CELLS_PER_TASK = 20_000
 
+# Along directions that only the penalty holds, rounding moves the coefficients by about
+# ROUNDING / regParam in every step without changing a prediction. Waiting for smaller moves is futile.
+ROUNDING = 1e-15
+MAX_TOL = 1e-5
+
 
 def penalty_path(
     n_alphas: int = N_ALPHAS, alpha_max: float = ALPHA_MAX, min_ratio: float = MIN_ALPHA_RATIO
@@ -95,10 +100,19 @@ class GLMPath:
         return self.design.with_basis(df, columns).select(*kept, mean.alias(output))
 
     def path_stats(self, df: DataFrame, actual: str = C.ACTUAL, expected: str = C.EXPECTED) -> DataFrame:
-        """``(alpha_index, d2)``: share of the Poisson null deviance explained at every penalty.
+        """``(alpha_index, d2)``: share of the Poisson null deviance explained at every penalty."""
+        sums = self._path_sums(df, actual, expected)
+        null = null_deviance(F.col("n"), F.col("y"), F.col("yly"))
+        score = F.when(F.col("n") >= 2, F.lit(1.0) - F.try_divide(_checked(F.col("dev")), null))
+        return sums.select("alpha_index", score.alias("d2"))
 
-        All penalties are scored by one job over the merged feature combinations.
-        """
+    def path_totals(self, df: DataFrame, actual: str = C.ACTUAL, expected: str = C.EXPECTED) -> DataFrame:
+        """``(alpha_index, actual, predicted)`` over the rows that have all features."""
+        sums = self._path_sums(df, actual, expected)
+        return sums.select("alpha_index", F.col("y").alias("actual"), _checked(F.col("mean")).alias("predicted"))
+
+    def _path_sums(self, df: DataFrame, actual: str, expected: str) -> DataFrame:
+        """Sums per penalty; one job over the merged feature combinations scores them all."""
         merged = merge_cells(df, self.design, actual, expected)
         table = [[float(b), *map(float, w)] for b, w in zip(self.intercepts, self.coefficients)]
         features = [self.design.feature(c).alias(f"x{i}") for i, c in enumerate(self.design.columns)]
@@ -111,23 +125,18 @@ class GLMPath:
             .selectExpr("*", f"posexplode({weights}) AS (alpha_index, w)")
             .selectExpr("alpha_index", *sums, f"{dot} AS eta")
         )
-        per_alpha = (
-            scored.groupBy("alpha_index")
-            .agg(
-                F.sum("n").alias("n"),
-                F.sum("y").alias("y"),
-                F.sum("y_log_y").alias("yly"),
-                F.sum("n_bad").alias("n_bad"),
-                F.sum(
-                    F.lit(2.0)
-                    * (F.col("y_log_rate") - F.col("y") * F.col("eta") - F.col("y") + F.col("e") * F.exp("eta"))
-                ).alias("dev"),
-            )
+        return scored.groupBy("alpha_index").agg(
+            F.sum("n").alias("n"),
+            F.sum("y").alias("y"),
+            F.sum("y_log_y").alias("yly"),
+            F.sum("n_bad").alias("n_bad"),
+            F.expr("sum(e * exp(eta))").alias("mean"),
+            F.expr("2D * sum(y_log_rate - y * eta - y + e * exp(eta))").alias("dev"),
         )
-        null = null_deviance(F.col("n"), F.col("y"), F.col("yly"))
-        deviance = fail_unless(F.col("n_bad") == 0, "rows lack an actual or a positive expected count", F.col("dev"))
-        score = F.when(F.col("n") >= 2, F.lit(1.0) - F.try_divide(deviance, null))
-        return per_alpha.select("alpha_index", score.alias("d2"))
+
+
+def _checked(value: Column) -> Column:
+    return fail_unless(F.col("n_bad") == 0, "rows lack an actual or a positive expected count", value)
 
 
 def best_alpha(path_stats: DataFrame) -> int:
@@ -206,14 +215,15 @@ def fit_glm_path(
         training = assembler.transform(encoded).select("y", "log_e", "features").persist()
 
         def fit(alpha: float) -> tuple[float, list[float]]:
+            penalty = alpha * totals["n"] / totals["y"]
             solver = GeneralizedLinearRegression(
                 family="poisson",
                 link="log",
                 labelCol="y",
                 featuresCol="features",
                 offsetCol="log_e",
-                regParam=alpha * totals["n"] / totals["y"],
-                tol=tol,
+                regParam=penalty,
+                tol=max(tol, min(MAX_TOL, ROUNDING / penalty)) if penalty > 0 else tol,
                 maxIter=max_iter,
             )
             model = solver.fit(training)

@@ -253,7 +253,7 @@ def _saturated(train: DataFrame) -> GLMPath:
     """One rate per combination; the penalty is too small to show, yet keeps the solver steady."""
     design = fit_design(train, cross(Cat(C.SMOKER, "F"), Cat(C.SEX, "O")))
     size = train.agg(F.sum(C.ACTUAL).alias("y"), F.count(F.lit(1)).alias("n")).first()
-    return fit_glm_path(train, design, alphas=[1e-8 * size["y"] / size["n"]])
+    return fit_glm_path(train, design, alphas=[1e-7 * size["y"] / size["n"]])
 
 
 def glm_saturated(spark: SparkSession, d: str) -> DataFrame:
@@ -275,12 +275,7 @@ def glm_path(spark: SparkSession, d: str) -> DataFrame:
 def glm_path_totals(spark: SparkSession, d: str) -> DataFrame:
     """The free intercept makes fitted and actual counts agree at every penalty."""
     model = fitted_path(spark, d)
-    train = train_cells(spark, d, C.REGRESSION_KEYS)
-    for i in range(len(model.alphas)):
-        train = model.predict(train, i, exposure=C.EXPECTED, output=f"mean_{i}")
-    totals = train.agg(F.sum(C.ACTUAL).alias("actual"), *[F.sum(f"mean_{i}").alias(f"mean_{i}") for i in range(len(model.alphas))])
-    rows = F.array(*[F.struct(F.lit(i).alias("alpha_index"), F.col(f"mean_{i}").alias("predicted"), F.col("actual")) for i in range(len(model.alphas))])
-    return rounded(totals.select(F.inline(rows)), ["predicted"], 3)
+    return rounded(model.path_totals(train_cells(spark, d, C.REGRESSION_KEYS)), ["predicted"], 3)
 
 
 def glm_path_stats(spark: SparkSession, d: str) -> DataFrame:
