@@ -39,3 +39,15 @@ def slices(items: list, sizes: Iterable[int], most: int) -> Iterable[tuple[int,
         total += size
     if start < len(items):
         yield start, len(items)
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose identifier and text ``decisions`` (doc_id, text_sha256, kept) keeps, each once."""
+    key = fresh_name("row_key", docs.columns)
+
+    def row_key(own_id: Column, digest: Column) -> Column:
+        return F.concat(F.coalesce(own_id.cast("string"), F.lit("-")), F.lit(":"), digest).alias(key)
+
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    kept = decisions.where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")))
+    return docs.withColumn(key, row_key(F.col(id_col), digest)).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

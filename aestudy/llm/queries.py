@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aestudy.llm import bpe_stream, pattern_packing, simhash, token_files, tree_dedup, url_filter
+from aestudy.llm import bpe_stream, context_tree, pattern_packing, quality_gbt, robust_outliers, secret_scan, simhash, token_files, tree_dedup, url_filter
+from aestudy.llm.common import in_fold
 from aestudy.llm.oracles import oracle_sql as oracle_sql
 from aestudy.sources.checkpoints import scratch_path
 
@@ -33,6 +34,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, pages.where(F.col("url").rlike(LISTED_HOSTS)), URL_RULES)
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers.judge_quality(table(spark, sf_dir, "documents"))
+
+
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_texts(table(spark, sf_dir, "documents"), folds=10)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -48,6 +57,19 @@ def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack(pieces, most=1024)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan_secrets(docs, secret_scan.fit_network(docs))
+
+
+def op8_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_gbt.fit_quality(docs, table(spark, sf_dir, "labels"), folds=5)
+    scored = quality_gbt.score_quality(docs, model)
+    held_out = in_fold(F.col("doc_id"), 5).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= quality_gbt.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
 
@@ -59,5 +81,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op4_exact_dedup, op5_bpe_stream, op6_pattern_packing, op9_simhash, op10_token_files)
+    found = (op1_url_filter, op2_robust_outliers, op3_context_tree, op4_exact_dedup, op5_bpe_stream, op6_pattern_packing, op7_secret_scan, op8_quality_gbt, op9_simhash, op10_token_files)
     return {f.__name__: f for f in found}

@@ -18,6 +18,7 @@ empty; a null identifier gets the component of its fingerprint, null if no membe
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -57,18 +58,22 @@ def fingerprint_of(text: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and the fingerprint's bits as a signed long, one row per row of ``docs``."""
+    """doc_id, the fingerprint's bits as a signed long and the text's SHA-256, one row per row of ``docs``."""
     if words < 1:
         raise ValueError("a shingle has at least one word")
     rows = keyed_texts(docs, id_col, text_col)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            bits = np.array([fingerprint_of(t.as_py(), words) for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
+            bits, digests = [], []
+            for text in batch.column(1).cast(pa.binary()):
+                whole = text.as_py()
+                bits.append(fingerprint_of(whole, words))
+                digests.append(hashlib.sha256(whole).digest())
+            signed = pa.array(np.array(bits, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed, pa.array(digests, pa.binary())], names=["doc_id", "bits", "digest"])
 
-    return rows.mapInArrow(mark, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bits long")
+    return rows.mapInArrow(mark, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bits long, digest binary")
 
 
 def segment_bounds(segments: int) -> list[tuple[int, int]]:
@@ -132,14 +137,22 @@ def near_groups(
     radius: int = 3,
     segments: int = 2,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, kept, text_sha256.
 
-    component_id is the smallest identifier reachable over links, the row's own included.
+    component_id is the smallest identifier reachable over links, the row's own included; the row that
+    has it is kept, of several such rows those with the smallest text digest.
     """
     marked = cut_lineage(fingerprints(docs, id_col, text_col, words))
-    nodes = cut_lineage(marked.groupBy("bits").agg(F.min("doc_id").alias("first")))
+    own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")
+    nodes = cut_lineage(marked.groupBy("bits").agg(F.min(own).alias("first")))
     roots = contract(links(nodes.select("bits"), radius, segments))
     rooted = nodes.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(smallest, "root").select("bits", "component_id")
-    return marked.join(labels, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("stays"))
+    labels = rooted.join(smallest, "root").select("bits", "stays")
+    return marked.join(labels, "bits").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
+        F.col("stays.doc_id").alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("digest") == F.col("stays.digest"))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
