@@ -141,7 +141,7 @@ def count_keys(rows: DataFrame) -> DataFrame:
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """log of the gamma function for x >= 1/2."""
     z = x + 8.0
-    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
     product = x.copy()
     for i in range(1, 8):
         product *= x + i
@@ -268,7 +268,9 @@ def score_texts(
     The model and the word counts come from the rows outside the held-out fold.
     """
     rows = keyed_texts(docs, id_col, text_col)
-    rows = rows.withColumn("train", ~in_fold(F.col("doc_id"), folds))
+    kind = rows.schema["doc_id"].dataType
+    # Identifiers travel as text: pandas would turn whole numbers beside nulls into floating point.
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("train", ~in_fold(F.col("doc_id"), folds))
     counts = cut_lineage(count_keys(rows))
     is_word = F.substring("key", 1, 1) == F.lit(WORD)
     sizes = counts.agg(
@@ -283,7 +285,6 @@ def score_texts(
 
     words = counts.where(is_word & (F.col("train") > 0)).select("key", F.col("train").cast("double").alias("value"))
     values = gram_values(counts).union(words)
-    kind = rows.schema["doc_id"].dataType.simpleString()
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     asked = dealt.groupBy("block").applyInPandas(lambda frame: block_requests(frame), "block int, key binary")
     answers = asked.join(values.hint("shuffle_hash"), "key").select("block", "key", "value")
@@ -316,8 +317,9 @@ def score_texts(
             }
         )
 
-    return (
+    scored = (
         dealt.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInPandas(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+        .applyInPandas(score, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     )
+    return scored.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -3,8 +3,8 @@
 Documents are cut into pieces of at most ``most`` tokens (the first one takes the remainder). The
 histogram of piece lengths has ``most`` entries, whatever the corpus, so it is planned on the driver:
 all patterns of one to three lengths that fill a sequence exactly are the columns of a least-squares
-fit whose non-negative repeat counts should use up the histogram; counts are rounded to what is
-there, and the pieces left over are packed best-fit decreasing, counted by length. Tasks then place
+fit whose non-negative repeat counts should use up the histogram; counts (or a share of them) are
+rounded to what is there, and the pieces left over are packed best-fit decreasing, counted by length. Tasks then place
 the pieces: a piece's rank among those of its length (ranks are counted in blocks, so that a length
 that a third of all pieces share is never in one task) leads to its pattern, repeat and offset.
 
@@ -19,7 +19,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +30,7 @@ from aestudy.sources.checkpoints import cut_lineage
 #: Rows of one length that are ranked in one block.
 ROWS_PER_BLOCK = 100_000
 STEPS = 1500
+SHARES = (1.0, 0.9, 0.7, 0.5, 0.25, 0.0)
 
 
 def cut_pieces(
@@ -117,28 +117,36 @@ def fit_repeats(patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
     return x
 
 
-def plan_patterns(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) of all sequences for ``histogram``, whose entry i counts the pieces of length i."""
+def rounded_plan(patterns: np.ndarray, repeats: np.ndarray, histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Rounded repeats of the patterns, as far as the pieces go, and sequences of what they leave over."""
     left = histogram.astype(np.int64).copy()
-    most = len(left) - 1
     plan: list[tuple[tuple[int, ...], int]] = []
-    lengths = np.flatnonzero(left)
-    patterns = full_patterns(lengths, most) if len(lengths) else np.zeros((0, 3), dtype=np.int64)
-    if len(patterns):
-        repeats = fit_repeats(patterns, left)
-        for j in np.argsort(-repeats, kind="stable"):
-            wanted = int(round(repeats[j]))
-            if not wanted:
-                break
-            own = [int(v) for v in patterns[j] if v]
-            count = min(wanted, min(left[v] // own.count(v) for v in own))
-            if count > 0:
-                for v in own:
-                    left[v] -= count
-                plan.append((tuple(own), int(count)))
+    for j in np.argsort(-repeats, kind="stable"):
+        wanted = int(round(repeats[j]))
+        if not wanted:
+            break
+        own = [int(v) for v in patterns[j] if v]
+        count = min(wanted, min(left[v] // own.count(v) for v in own))
+        if count > 0:
+            for v in own:
+                left[v] -= count
+            plan.append((tuple(own), int(count)))
     return plan + pack_left_over(left)
 
 
+def plan_patterns(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) of all sequences for ``histogram``, whose entry i counts the pieces of length i.
+
+    The fit may spend short pieces that longer ones left over would need. So its repeat counts are also
+    tried at the shares ``SHARES``, down to none, and the plan with the fewest sequences is taken.
+    """
+    lengths = np.flatnonzero(histogram)
+    patterns = full_patterns(lengths, len(histogram) - 1) if len(lengths) else np.zeros((0, 3), dtype=np.int64)
+    repeats = fit_repeats(patterns, histogram) if len(patterns) else np.zeros(0)
+    plans = [rounded_plan(patterns, share * repeats, histogram) for share in SHARES]
+    return min(plans, key=lambda plan: sum(count for _, count in plan))
+
+
 def pack_left_over(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing on counts: all pieces of a length are placed together."""
     most = len(left) - 1
@@ -214,18 +222,20 @@ def pack(pieces: DataFrame, most: int = 1024) -> DataFrame:
     ranked = dealt.withColumn("rank", F.row_number().over(order)).join(bases, ["length", "block"])
     ranked = ranked.withColumn("rank", F.col("rank") - 1 + F.col("before"))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            number = places["base"][frame["length"]] + frame["rank"].to_numpy()
+    names = pieces.columns
+    at = names.index("length")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = places["base"][batch.column(at).to_numpy()] + batch.column(len(names)).to_numpy()
             run = np.searchsorted(places["first"], number, side="right") - 1
-            placed = frame.drop(columns="rank")
-            placed["sequence_id"] = places["sequence"][run] + number - places["first"][run]
-            placed["offset"] = places["offset"][run]
-            yield placed
+            sequence = places["sequence"][run] + number - places["first"][run]
+            columns = [*batch.columns[:-1], pa.array(sequence), pa.array(places["offset"][run])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
-    kept = ranked.select(*pieces.columns, "rank")
+    kept = ranked.select(*names, "rank")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return kept.mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    return kept.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
