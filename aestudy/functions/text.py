@@ -6,6 +6,7 @@ JVM instead of one per operator.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 
@@ -20,7 +21,11 @@ def string(value: str | None) -> str:
 
 
 def number(value: float) -> str:
-    return f"{float(value)!r}D"
+    value = float(value)
+    if not math.isfinite(value):
+        spelled = "NaN" if math.isnan(value) else "Infinity" if value > 0 else "-Infinity"
+        return f"CAST('{spelled}' AS DOUBLE)"
+    return f"{value!r}D"
 
 
 def numbers(values: Iterable[float]) -> str:

@@ -6,12 +6,12 @@ expression over the cells; at its end the margins are written out and lineage is
 """
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field, replace
-from math import exp, prod
+from dataclasses import dataclass, field
+from math import exp
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aestudy import columns as C
@@ -32,8 +32,6 @@ PATIENCE = 10
 MAX_BINS = 256
 
 BLOCK = 10
-INLINE_TREES = 60
-LOOKUP_ROWS = 1_000_000
 
 
 @dataclass
@@ -57,105 +55,18 @@ class BoostModel:
         exposure: str | None = None,
         output: str = C.PREDICTION,
         iterations: int | None = None,
-        method: str | None = None,
-        lookup_rows: int = LOOKUP_ROWS,
     ) -> DataFrame:
         """Add the fitted mean, or without ``exposure`` the multiplier of expected.
 
-        A short ensemble is one expression. A long one depends on its features only through the
-        intervals between its thresholds: all interval combinations are scored once and looked up
-        by number, as long as there are at most ``lookup_rows`` of them. Beyond that the trees are
-        walked in Arrow batches. ``method`` (``inline``, ``lookup``, ``batch``) overrides the choice.
+        Trees are walked in Arrow batches, all rows of a batch at once, however many trees there are.
         """
         require_columns(df.columns, self.input_cols)
-        trees = self.used_trees(iterations)
-        axes = [_Axis.of(e.name, trees) for e in self.encoding]
-        small = prod(a.size for a in axes) <= lookup_rows
-        if method is None:
-            method = "inline" if len(trees) <= INLINE_TREES else "lookup" if small else "batch"
-        elif method == "lookup" and not small:
-            raise ValueError(f"the thresholds make more than {lookup_rows} combinations")
+        names = [e.name for e in self.encoding]
         kept = [c for c in df.columns if c != output]
-        work = {e.name: f"__x{i}" for i, e in enumerate(self.encoding)}
-        encoded = df.withColumns({work[e.name]: e.value() for e in self.encoding})
-        if method == "inline":
-            margin = margin_of([_renamed(t, work) for t in trees])
-        elif method == "lookup":
-            encoded, margin = _look_up(encoded, axes, trees, work)
-        else:
-            margin = ensemble_udf(trees, [e.name for e in self.encoding])(
-                F.struct(*[F.col(work[e.name]).alias(e.name) for e in self.encoding])
-            )
-        mean = F.exp(margin)
+        mean = F.exp(ensemble_udf(self.used_trees(iterations), names)(F.struct(*[e.value().alias(e.name) for e in self.encoding])))
         if exposure is not None:
             mean = mean * F.col(exposure)
-        return encoded.select(*kept, mean.alias(output))
-
-
-def _renamed(tree: Tree, work: dict[str, str]) -> Tree:
-    return Tree([replace(n, source=work[n.source]) if n.is_split else n for n in tree.nodes])
-
-
-def margin_of(trees: Sequence[Tree]) -> Column:
-    """Sum of the trees' leaf values, added pairwise to keep the expression shallow."""
-    parts = [t.leaf_value() for t in trees] or [F.lit(0.0)]
-    while len(parts) > 1:
-        parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0]
-
-
-@dataclass(frozen=True)
-class _Axis:
-    """The intervals that an ensemble's thresholds cut one feature into, and one for missing."""
-
-    name: str
-    cuts: tuple[float, ...]
-
-    @classmethod
-    def of(cls, name: str, trees: Sequence[Tree]) -> "_Axis":
-        return cls(name, tuple(sorted({n.threshold for t in trees for n in t.splits if n.source == name})))
-
-    @property
-    def size(self) -> int:
-        return len(self.cuts) + 2
-
-    def place(self, x: Column) -> Column:
-        at = F.lit(0)
-        for cut in self.cuts:
-            at = at + (x >= F.lit(cut)).cast("int")
-        return F.when(x.isNull(), F.lit(self.size - 1)).otherwise(at)
-
-    def inner_value(self, place: Column) -> Column:
-        """A number inside the interval; NULL for the missing one."""
-        if not self.cuts:
-            return F.when(place < self.size - 1, F.lit(0.0))
-        values = [self.cuts[0] - 1.0, *self.cuts]
-        return F.when(place < self.size - 1, F.element_at(F.array(*[F.lit(v) for v in values]), (place + 1).cast("int")))
-
-
-def _look_up(
-    encoded: DataFrame, axes: Sequence[_Axis], trees: Sequence[Tree], work: dict[str, str]
-) -> tuple[DataFrame, Column]:
-    """Join each row with the margin of its interval combination.
-
-    The table has as many rows as there are combinations, a number known and bounded beforehand.
-    """
-    total = prod(a.size for a in axes)
-    number, stride, values = F.lit(0).cast("long"), total, []
-    for axis in axes:
-        stride //= axis.size
-        number = number + axis.place(number_value(work[axis.name])).cast("long") * F.lit(stride)
-        place = F.floor(F.col("id") / F.lit(stride)) % F.lit(axis.size)
-        values.append(axis.inner_value(place).alias(axis.name))
-    scored = (
-        encoded.sparkSession.range(total)
-        .select(F.col("id").alias("__combination"), F.struct(*values).alias("row"))
-        .select("__combination", ensemble_udf(trees, [a.name for a in axes])("row").alias("__margin"))
-    )
-    joined = encoded.withColumn("__number", number).join(
-        F.broadcast(scored), F.col("__number") == F.col("__combination"), "left"
-    )
-    return joined, F.col("__margin")
+        return df.select(*kept, mean.alias(output))
 
 
 def ensemble_udf(trees: Sequence[Tree], names: Sequence[str]):
@@ -198,23 +109,35 @@ def _flatten(tree: Tree, names: list[str]) -> tuple:
 
 
 def bin_cuts(df: DataFrame, names: Sequence[str], max_bins: int) -> dict[str, list[float]]:
-    """Quantile cut points of the columns that have (about) more than ``max_bins`` distinct values."""
-    counts = df.agg(*[F.approx_count_distinct(n).alias(f"n{i}") for i, n in enumerate(names)]).first()
-    many = [n for i, n in enumerate(names) if counts[f"n{i}"] > max_bins]
-    if not many:
-        return {}
-    probabilities = [b / max_bins for b in range(max_bins)]
-    row = df.agg(
-        *[F.percentile_approx(number_value(n), probabilities, 100 * max_bins).alias(f"q{i}") for i, n in enumerate(many)],
-        *[F.min(number_value(n)).alias(f"lo{i}") for i, n in enumerate(many)],
-    ).first()
-    return {n: sorted({row[f"lo{i}"], *row[f"q{i}"]}) for i, n in enumerate(many)}
+    """Lower ends of the bins of columns with more than ``max_bins`` distinct values.
 
-
-def binned(x: Column, cuts: Sequence[float]) -> Column:
-    """Lower end of the bin that holds the value; values below all bins join the first."""
-    held = F.greatest(F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= x)), F.lit(1))
-    return F.when(x.isNotNull(), F.element_at(F.array(*[F.lit(float(c)) for c in cuts]), held))
+    Distinct values are counted exactly, and bins hold equal shares of the rows. Running counts come
+    from sorted partitions and the partitions' totals, so no task holds all values of a column; how
+    the values are partitioned does not change the cuts.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("i"), number_value(n).alias("v")) for i, n in enumerate(names)])
+    counted = df.select(F.inline(values)).where(F.col("v").isNotNull()).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    ordered = cut_lineage(counted.repartitionByRange("i", "v").withColumn("part", F.spark_partition_id()))
+    sizes = ordered.groupBy("i", "part").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values"))
+    by_part, column = Window.partitionBy("i").orderBy("part"), Window.partitionBy("i")
+    before = F.coalesce(F.sum("rows").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("i", "part", before.alias("before"), F.sum("rows").over(column).alias("all_rows"), F.sum("values").over(column).alias("all_values"))
+    inside = Window.partitionBy("i", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    wide = ordered.join(sizes.where(F.col("all_values") > max_bins), ["i", "part"])
+    place = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    bins = wide.select("i", "v", F.floor(place * max_bins / F.col("all_rows")).alias("bin")).groupBy("i", "bin").agg(F.min("v").alias("v"))
+    cuts: dict[str, list[float]] = {}
+    for row in bins.orderBy("i", "v").collect():
+        cuts.setdefault(names[row["i"]], []).append(row["v"])
+    return cuts
+
+
+def binned(x: str, cuts: Sequence[float]) -> str:
+    """Lower end of the bin that holds the value, as SQL text: a balanced tree of comparisons."""
+    if len(cuts) == 1:
+        return text.number(cuts[0])
+    middle = len(cuts) // 2
+    return f"CASE WHEN {x} < {text.number(cuts[middle])} THEN {binned(x, cuts[:middle])} ELSE {binned(x, cuts[middle:])} END"
 
 
 def boost_cells(
@@ -232,7 +155,8 @@ def boost_cells(
     if valid is not None:
         rows = rows.unionByName(encode(valid, encoding, [actual, expected]).withColumn("__valid", F.lit(True)))
     if cuts:
-        rows = rows.withColumns({n: binned(number_value(n), c) for n, c in cuts.items()})
+        rows = rows.withColumns({n: number_value(n) for n in cuts})
+        rows = rows.withColumns({n: F.expr(f"CASE WHEN {text.name(n)} IS NOT NULL THEN {binned(text.name(n), c)} END") for n, c in cuts.items()})
     y, e = F.col(actual).cast("double"), F.col(expected).cast("double")
     fine = usable_counts(y, e)
     cells = rows.groupBy("__valid", *names).agg(
@@ -313,8 +237,9 @@ def fit_boost(
             if len(trees) < max_rounds:
                 others = [text.name(c) for c in current.columns if c != "__f"]
                 step = table_margin(grown, features.columns, max_depth)
-                current = cut_lineage(current.selectExpr(*others, f"__f + {step} AS __f")).persist()
-                held.append(current)
+                current = cut_lineage(current.selectExpr(*others, f"__f + {step} AS __f"))
+                held.pop().unpersist()
+                held.append(current.persist())
         best = int(np.argmin(history)) if history else len(trees) - 1
         return BoostModel(list(encoding), trees, best, history)
     finally:

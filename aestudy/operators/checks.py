@@ -56,6 +56,15 @@ def cast_like(df: DataFrame, template: T.StructType) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def cast_failures(df: DataFrame, template: T.StructType) -> DataFrame:
+    """One row with the number of values per column that ``cast_like`` turns into NULL."""
+    cast = cast_like(df, template)
+    changed = [f.name for f in df.schema.fields if f.dataType != cast.schema[f.name].dataType]
+    lost = {f"__{c}": F.col(c).isNotNull() for c in changed}
+    present = cast_like(df.withColumns(lost), template) if lost else df
+    return present.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(f"__{c}") & F.col(c).isNull()).alias(c) for c in changed])
+
+
 def without_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(how="any", subset=list(columns)) if columns else df
 
@@ -69,14 +78,28 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 class KeyProfile:
     n_rows: int
     max_rows_per_key: int
+    n_repeated: int = 0
+    n_bytes: int = 0
 
 
 def key_profiles(tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> list[KeyProfile]:
-    """Size of every table and of its largest key group, from one job for all."""
+    """Size of every table and of its largest key group, from one job for all.
+
+    Bytes are those of the keys as text, with what a hashed row takes beside them.
+    """
     parts = None
     for i, (df, keys) in enumerate(tables):
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        part = sizes.agg(F.lit(i).alias("place"), F.sum("n").alias("n_rows"), F.max("n").alias("most"))
+        width = F.lit(64)
+        for key in keys:
+            width = width + F.lit(8) + F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0))
+        part = sizes.agg(
+            F.lit(i).alias("place"),
+            F.sum("n").alias("n_rows"),
+            F.max("n").alias("most"),
+            F.count_if(F.col("n") > 1).alias("repeated"),
+            F.sum(width * F.col("n")).alias("bytes"),
+        )
         parts = part if parts is None else parts.unionByName(part)
     rows = [] if parts is None else parts.orderBy("place").collect()
-    return [KeyProfile(r["n_rows"] or 0, r["most"] or 0) for r in rows]
+    return [KeyProfile(r["n_rows"] or 0, r["most"] or 0, r["repeated"] or 0, r["bytes"] or 0) for r in rows]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aestudy import columns as C
 from aestudy.operators.checks import require_columns, require_strings
-from aestudy.operators.values import MAX_LEVELS, levels_of
+from aestudy.operators.values import levels_of
 
 NULL_LEVEL = "None"
 
@@ -20,18 +20,23 @@ def indicator(column: str, level: str | None) -> Column:
     return F.col(column).eqNullSafe(F.lit(level).cast("string")).cast("double")
 
 
-def indicator_name(column: str, level: str | None) -> str:
-    return f"{column}_{NULL_LEVEL if level is None else level}"
+def indicator_name(column: str, level: str | None, levels: Sequence[str | None] = ()) -> str:
+    """Column and level; NULL is called ``None``, with underscores behind while a level has that name."""
+    if level is None:
+        level = NULL_LEVEL
+        while level in levels:
+            level += "_"
+    return f"{column}_{level}"
 
 
 def one_hot(df: DataFrame, column: str, levels: Sequence[str | None], drop_first: bool = True) -> DataFrame:
     """Add one indicator per level of a given list; values outside the list are zero everywhere."""
     require_strings(df, [column])
     used = list(levels)[1:] if drop_first else list(levels)
-    return df.withColumns({indicator_name(column, v): indicator(column, v) for v in used})
+    return df.withColumns({indicator_name(column, v, levels): indicator(column, v) for v in used})
 
 
-def learned_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list[str | None]:
+def learned_levels(df: DataFrame, column: str, max_levels: int | None = None) -> list[str | None]:
     """Sorted levels of the data; NULL, where it occurs, is the last level."""
     require_strings(df, [column])
     return levels_of(df, [column], max_levels)[column]
@@ -62,7 +67,7 @@ class EncodedColumn:
 
 def one_hot_columns(column: str, levels: Sequence[str | None], drop_first: bool = True) -> list[EncodedColumn]:
     used = list(levels)[1:] if drop_first else list(levels)
-    return [EncodedColumn(indicator_name(column, v), column, "indicator", (v,)) for v in used]
+    return [EncodedColumn(indicator_name(column, v, levels), column, "indicator", (v,)) for v in used]
 
 
 def ordinal_column(column: str, levels: Sequence[str]) -> EncodedColumn:

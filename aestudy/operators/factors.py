@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from aestudy.operators.checks import duplicate_keys, require_columns
 from aestudy.operators.design import Design, DesignColumn, term_name, term_variables
 from aestudy.operators.glm import INTERCEPT, GLMPath
-from aestudy.operators.grid import MAX_GRID_ROWS, grid_axes, prediction_grid
-from aestudy.operators.lookup import BROADCAST_ROWS, lookup, unique_key_profiles, unmatched_keys
+from aestudy.operators.grid import grid_axes, prediction_grid
+from aestudy.operators.lookup import BROADCAST_BYTES, lookup, unique_key_profiles, unmatched_keys
 from aestudy.operators.study import all_close
+from aestudy.sources.checkpoints import cut_lineage
 
 VALUE_TOLERANCE = 1e-12
 PRODUCT_TOLERANCE = 1e-10
+#: Terms that an error names, beside the number of all.
+SHOWN_TERMS = 20
 
 
 def variable_order(design: Design) -> dict[str, int]:
@@ -106,7 +109,7 @@ class FactorAnalysis:
         used = [v for t in self.groups[group] if t != INTERCEPT for v in self._column[t].variables]
         return ordered_variables(self.design, used)
 
-    def factor_tables(self, train: DataFrame, max_rows: int = MAX_GRID_ROWS) -> dict[str, DataFrame]:
+    def factor_tables(self, train: DataFrame, max_rows: int | None = None) -> dict[str, DataFrame]:
         """One table ``(variables..., factor, term_group)`` per group.
 
         Values come from ``train``: all integers of a numeric variable's range, and the levels that
@@ -131,14 +134,18 @@ class FactorAnalysis:
         df: DataFrame,
         tables: dict[str, DataFrame],
         output: str = "model_pred",
-        strict: bool = False,
-        broadcast_rows: int = BROADCAST_ROWS,
+        strict: bool = True,
+        broadcast_bytes: int = BROADCAST_BYTES,
     ) -> DataFrame:
         """Join every factor table as ``factor_<group>`` and multiply the factors.
 
-        A row without an entry in some table counts that factor as 1, or raises with ``strict``.
+        A row without an entry in some table raises, or without ``strict`` counts that factor as 1.
         """
-        return join_factors(df, tables, output, strict, broadcast_rows)
+        return join_factors(df, tables, output, strict, broadcast_bytes)
+
+    def predict_by_factors(self, df: DataFrame, output: str = "model_pred") -> DataFrame:
+        """Factors and their product for ``df``, from tables over the values of ``df`` itself."""
+        return self.append_factors(df, self.factor_tables(df), output)
 
     def reconstructs(self, df: DataFrame, tables: dict[str, DataFrame], tolerance: float = PRODUCT_TOLERANCE) -> bool:
         """Whether the product of factors equals the direct prediction on every row."""
@@ -156,17 +163,12 @@ def normalize_factor_map(factor_map: DataFrame, terms: DataFrame) -> DataFrame:
     given = factor_map.withColumns(
         {"term": F.col("term").cast("string"), "term_group": F.col("term_group").cast("string")}
     )
-    repeated = [r["term"] for r in duplicate_keys(given, ["term"]).orderBy("term").collect()]
-    if repeated:
-        raise ValueError(f"factor_map contains duplicate terms: {repeated}")
-    stray = unmatched_keys(terms, given, "term").orderBy("side", "term").collect()
-    if stray:
-        found = {s: [r["term"] for r in stray if r["side"] == s] for s in ("missing", "unexpected")}
-        raise ValueError(f"factor_map terms must match the coefficients exactly: {found}")
+    _refuse(duplicate_keys(given, ["term"]).select("term"), "are given more than once (duplicate)")
+    stray = unmatched_keys(terms, given, "term")
+    _refuse(stray.where("side = 'missing'").select("term"), "of the model are missing from the map")
+    _refuse(stray.where("side = 'unexpected'").select("term"), "of the map are unexpected: the model has no such terms")
     if "term_value" in given.columns:
-        off = wrong_values(given, terms).limit(5).collect()
-        if off:
-            raise ValueError(f"factor_map term_value differs from the fitted value: {[r['term'] for r in off]}")
+        _refuse(wrong_values(given, terms).select("term"), "have another term_value than the fitted one")
     return (
         given.select("term", "term_group")
         .join(terms, "term")
@@ -175,6 +177,13 @@ def normalize_factor_map(factor_map: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
+def _refuse(terms: DataFrame, what: str) -> None:
+    """Raise if there are any terms, with their number and the first few."""
+    first = [r["term"] for r in terms.orderBy("term").limit(SHOWN_TERMS).collect()]
+    if first:
+        raise ValueError(f"{terms.count()} terms {what}, the first are {first}")
+
+
 def wrong_values(given: DataFrame, terms: DataFrame, tolerance: float = VALUE_TOLERANCE) -> DataFrame:
     """Terms whose given value is missing or not the fitted one."""
     fitted = terms.select("term", F.col("term_value").alias("fitted_value"))
@@ -200,19 +209,20 @@ def join_factors(
     df: DataFrame,
     tables: dict[str, DataFrame],
     output: str = "model_pred",
-    strict: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
+    strict: bool = True,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join factor tables by their variables and multiply; see ``FactorAnalysis.append_factors``."""
     keys = {g: [c for c in t.columns if c not in ("factor", "term_group")] for g, t in tables.items()}
     keyed = [g for g in tables if keys[g]]
     require_columns(df.columns, [k for g in keyed for k in keys[g]])
+    tables = {g: cut_lineage(t) if g in keyed else t for g, t in tables.items()}
     profiles = dict(zip(keyed, unique_key_profiles([(tables[g], keys[g]) for g in keyed])))
     names = []
     for group, table in tables.items():
         name = f"factor_{group}"
         if group in profiles:
-            df = lookup(df, table, keys[group], "factor", name, profiles[group], broadcast_rows)
+            df = lookup(df, table, keys[group], "factor", name, profiles[group], broadcast_bytes)
         else:
             df = df.withColumn(name, F.lit(_single_factor(table)))
         names.append(name)

@@ -8,14 +8,11 @@ added up in the same pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +30,11 @@ ALPHA_MAX = 10.0
 MIN_ALPHA_RATIO = 1e-6
 N_ALPHAS = 100
 
-CELLS_PER_TASK = 20_000
-
-# Along directions that only the penalty holds, rounding moves the coefficients by about
-# ROUNDING / regParam in every step without changing a prediction. Waiting for smaller moves is futile.
-ROUNDING = 1e-15
-MAX_TOL = 1e-5
+CELLS_PER_TASK = 2_000
+#: Cells whose outer products are held at once, and numbers that a pass sums for all its penalties.
+CELLS_AT_ONCE = 512
+SUMS_PER_PASS = 4_000_000
+MAX_COLUMNS = 4096
 
 
 def penalty_path(
@@ -111,20 +107,37 @@ class GLMPath:
         sums = self._path_sums(df, actual, expected)
         return sums.select("alpha_index", F.col("y").alias("actual"), _checked(F.col("mean")).alias("predicted"))
 
-    def _path_sums(self, df: DataFrame, actual: str, expected: str) -> DataFrame:
-        """Sums per penalty; one job over the merged feature combinations scores them all."""
+    def path_scores(self, df: DataFrame, actual: str = C.ACTUAL, expected: str = C.EXPECTED) -> DataFrame:
+        """``(alpha_index, pos, score)``: the objective's derivative by every coefficient, zero at a fit."""
+        scored, names = self._scored_cells(df, actual, expected)
+        residual = "(e * exp(eta) - y)"
+        sums = ", ".join([f"sum({residual})", *[f"sum({residual} * {x})" for x in names]])
+        rows = scored.groupBy("alpha_index").agg(F.sum("n").alias("n"), F.expr(f"array({sums})").alias("s"))
+        held = [(i, pos, a * w) for i, a in enumerate(self.alphas) for pos, w in enumerate([0.0, *self.coefficients[i]])]
+        pull = df.sparkSession.createDataFrame(held, "alpha_index int, pos int, pull double")
+        rows = rows.select("alpha_index", "n", F.posexplode("s").alias("pos", "s")).join(pull, ["alpha_index", "pos"])
+        return rows.select("alpha_index", "pos", (F.col("s") / F.col("n") + F.col("pull")).alias("score"))
+
+    def _scored_cells(self, df: DataFrame, actual: str, expected: str) -> tuple[DataFrame, list[str]]:
+        """The merged cells with their features (their names beside) and the predictor at every penalty."""
         merged = merge_cells(df, self.design, actual, expected)
         table = [[float(b), *map(float, w)] for b, w in zip(self.intercepts, self.coefficients)]
-        features = [self.design.feature(c).alias(f"x{i}") for i, c in enumerate(self.design.columns)]
+        names = [f"x{i}" for i in range(len(self.design.columns))]
+        features = [self.design.feature(c).alias(x) for x, c in zip(names, self.design.columns)]
         sums = ["y", "e", "n", "n_bad", "y_log_rate", "y_log_y"]
         weights = "array(" + ", ".join(text.numbers(row) for row in table) + ")"
-        dot = " + ".join(["w[0]", *[f"w[{i + 1}] * x{i}" for i in range(len(features))]])
+        dot = " + ".join(["w[0]", *[f"w[{i + 1}] * {x}" for i, x in enumerate(names)]])
         scored = (
             self.design.with_basis(merged)
             .select(*sums, *features)
             .selectExpr("*", f"posexplode({weights}) AS (alpha_index, w)")
-            .selectExpr("alpha_index", *sums, f"{dot} AS eta")
+            .selectExpr("alpha_index", *sums, *names, f"{dot} AS eta")
         )
+        return scored, names
+
+    def _path_sums(self, df: DataFrame, actual: str, expected: str) -> DataFrame:
+        """Sums per penalty; one job over the merged feature combinations scores them all."""
+        scored, _ = self._scored_cells(df, actual, expected)
         return scored.groupBy("alpha_index").agg(
             F.sum("n").alias("n"),
             F.sum("y").alias("y"),
@@ -174,19 +187,20 @@ def fit_glm_path(
     alphas: Sequence[float] | None = None,
     actual: str = C.ACTUAL,
     expected: str = C.EXPECTED,
-    tol: float = 1e-8,
+    tol: float = 1e-14,
     max_iter: int = 100,
-    parallelism: int = 8,
 ) -> GLMPath:
     """Fit one regression per penalty.
 
     The objective is ``deviance / (2 n) + alpha / 2 |b|^2`` with ``n`` the number of rows of ``df``
-    and a free intercept. The solver scales its penalty by the working weights, which sum to the
-    total count, hence ``regParam = alpha n / sum(y)``. Fits of different penalties do not depend
-    on each other and are submitted from a few driver threads. Newton steps converge quadratically, so
-    coefficients that moved by less than ``tol`` in the last step are exact to rounding.
+    and a free intercept. All penalties take their Newton steps together: one pass over the cells
+    sums gradients and Hessians for every open penalty, so the number of jobs does not grow with the
+    path. A step that does not lower the objective is halved. A fit ends with the step whose squared
+    Newton decrement is at most ``tol``; convergence is quadratic, so what it leaves over is rounding.
     """
     require_columns(df.columns, [*design.variables, actual, expected])
+    if len(design.columns) >= MAX_COLUMNS:
+        raise ValueError(f"the design has {len(design.columns)} columns, the solver takes fewer than {MAX_COLUMNS}")
     alphas = penalty_path() if alphas is None else [float(a) for a in alphas]
     merged = merge_cells(df, design, actual, expected, keep_null=True).persist()
     complete = F.lit(True)
@@ -199,6 +213,7 @@ def fit_glm_path(
             F.count_if(complete).alias("n_cells"),
             F.sum(F.when(complete, F.col("n"))).alias("n"),
             F.sum(F.when(complete, F.col("y"))).alias("y"),
+            F.sum(F.when(complete, F.col("e"))).alias("e"),
             F.sum(F.when(complete, F.col("n_bad"))).alias("n_bad"),
         ).first()
         if not totals["n"]:
@@ -207,30 +222,15 @@ def fit_glm_path(
             raise ValueError(f"{totals['n_bad']} rows lack an actual or have a non-positive expected count")
         if not totals["y"] > 0:
             raise ValueError("the actual counts sum to zero")
-        usable = merged.filter(complete).coalesce(1 + totals["n_cells"] // CELLS_PER_TASK)
-        encoded = design.with_basis(usable).select(
-            "y", F.ln("e").alias("log_e"), *[design.feature(c).alias(f"x{i}") for i, c in enumerate(design.columns)]
-        )
-        assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(len(design.columns))], outputCol="features")
-        training = assembler.transform(encoded).select("y", "log_e", "features").persist()
-
-        def fit(alpha: float) -> tuple[float, list[float]]:
-            penalty = alpha * totals["n"] / totals["y"]
-            solver = GeneralizedLinearRegression(
-                family="poisson",
-                link="log",
-                labelCol="y",
-                featuresCol="features",
-                offsetCol="log_e",
-                regParam=penalty,
-                tol=max(tol, min(MAX_TOL, ROUNDING / penalty)) if penalty > 0 else tol,
-                maxIter=max_iter,
-            )
-            model = solver.fit(training)
-            return float(model.intercept), [float(c) for c in model.coefficients]
-
-        with ThreadPool(max(1, min(parallelism, len(alphas)))) as pool:
-            fits = pool.map(inheritable_thread_target(df.sparkSession)(fit), alphas, chunksize=1)
+        usable = merged.filter(complete).repartition(1 + totals["n_cells"] // CELLS_PER_TASK)
+        features = [design.feature(c).cast("double") for c in design.columns]
+        training = design.with_basis(usable).select("y", F.ln("e").alias("log_e"), F.array(F.lit(1.0), *features).alias("x")).persist()
+        start = np.zeros(len(features) + 1)
+        start[0] = np.log(totals["y"] / totals["e"])
+        at_once = max(1, SUMS_PER_PASS // (len(start) + 1) ** 2)
+        fits = []
+        for first in range(0, len(alphas), at_once):
+            fits += _newton_path(training, np.array(alphas[first : first + at_once]), start, totals["n"], tol, max_iter)
     finally:
         if training is not None:
             training.unpersist()
@@ -238,8 +238,77 @@ def fit_glm_path(
     return GLMPath(
         design=design,
         alphas=alphas,
-        intercepts=[f[0] for f in fits],
-        coefficients=[f[1] for f in fits],
+        intercepts=[float(b[0]) for b in fits],
+        coefficients=[[float(c) for c in b[1:]] for b in fits],
         n_rows=int(totals["n"]),
         n_dropped=int(totals["n_all"] - totals["n"]),
     )
+
+
+def _newton_path(training: DataFrame, alphas: np.ndarray, start: np.ndarray, n: int, tol: float, max_iter: int) -> list[np.ndarray]:
+    """Coefficients, intercept first, at every penalty."""
+    size = len(start)
+    held = np.ones(size)
+    held[0] = 0.0
+    tried = np.tile(start, (len(alphas), 1))
+    best = tried.copy()
+    lowest = np.full(len(alphas), np.inf)
+    open_fits = list(range(len(alphas)))
+    for _ in range(max_iter):
+        if not open_fits:
+            return list(best)
+        sums = _newton_sums(training, tried[open_fits])
+        going = []
+        for i, own in zip(open_fits, sums):
+            b, penalty = tried[i], alphas[i] * held
+            value = own[0] / n + 0.5 * float(penalty @ (b * b))
+            if not value <= lowest[i] + 1e-13 * abs(lowest[i]) and np.isfinite(lowest[i]):
+                tried[i] = (b + best[i]) / 2
+                going.append(i)
+                continue
+            best[i], lowest[i] = b.copy(), value
+            gradient = own[1 : 1 + size] / n + penalty * b
+            hessian = own[1 + size :].reshape(size, size) / n + np.diag(penalty)
+            step = np.linalg.lstsq(hessian, gradient, rcond=1e-15)[0]
+            tried[i] = b - step
+            if float(gradient @ step) <= tol:
+                best[i] = tried[i]
+            else:
+                going.append(i)
+        open_fits = going
+    raise ValueError(f"{len(open_fits)} of {len(alphas)} fits did not converge in {max_iter} passes")
+
+
+def _newton_sums(training: DataFrame, betas: np.ndarray) -> list[np.ndarray]:
+    """Objective, gradient and Hessian over all cells, flat in one array, for each row of ``betas``.
+
+    Tasks add up their own cells; their sums are added as they stream into one task per penalty.
+    """
+    k, size = betas.shape
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, 1 + size + size * size))
+        for batch in batches:
+            y_all, log_e = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows = batch.column(2).flatten().to_numpy().reshape(-1, size)
+            for at in range(0, len(rows), CELLS_AT_ONCE):
+                x, y = rows[at : at + CELLS_AT_ONCE], y_all[at : at + CELLS_AT_ONCE, None]
+                eta = x @ betas.T + log_e[at : at + CELLS_AT_ONCE, None]
+                mu = np.exp(np.minimum(eta, 700.0))
+                total[:, 0] += (mu - y * eta).sum(axis=0)
+                total[:, 1 : 1 + size] += (mu - y).T @ x
+                total[:, 1 + size :] += mu.T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array([t.tobytes() for t in total], pa.binary())], names=["i", "sums"])
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(part.as_py())
+                totals[i] = totals[i] + own if i in totals else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["i", "sums"])
+
+    parts = training.mapInArrow(add_up, "i int, sums binary")
+    rows = parts.repartition("i").mapInArrow(join_up, "i int, sums binary").collect()
+    found = {r["i"]: np.frombuffer(bytes(r["sums"])) for r in rows}
+    return [found[i] for i in range(k)]

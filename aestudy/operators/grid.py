@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from aestudy.operators.checks import require_columns
 from aestudy.operators.values import integer_range, levels_of
 
-MAX_GRID_ROWS = 50_000_000
-
 
 @dataclass(frozen=True)
 class Axis:
@@ -50,15 +48,15 @@ def grid_axes(df: DataFrame, variables: Sequence[str]) -> dict[str, Axis]:
 
 
 def prediction_grid(
-    spark: SparkSession, axes: Sequence[Axis], max_rows: int = MAX_GRID_ROWS
+    spark: SparkSession, axes: Sequence[Axis], max_rows: int | None = None
 ) -> DataFrame:
     """The product of the axes, first variable slowest.
 
     The row number is read as a number with one digit per variable, so executors write the rows
-    down directly and no join takes place. A grid over ``max_rows`` raises before any work.
+    down directly and no join takes place. A grid over ``max_rows``, where given, raises before any work.
     """
     n_rows = prod(a.size for a in axes)
-    if n_rows > max_rows:
+    if max_rows is not None and n_rows > max_rows:
         raise ValueError(f"the grid over {[a.name for a in axes]} has {n_rows} rows, more than {max_rows}")
     columns, stride = [], n_rows
     for axis in axes:

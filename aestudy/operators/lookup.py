@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aestudy.operators.checks import KeyProfile, duplicate_keys, key_profiles, require_columns
+from aestudy.sources.checkpoints import cut_lineage
 
-BROADCAST_ROWS = 500_000
+#: Estimated size up to which a lookup table is sent to all executors; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
 
 
 def many_to_one_join(
@@ -18,18 +20,19 @@ def many_to_one_join(
     keys: Sequence[str],
     value: str,
     output: str,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left join that adds ``table[value]`` as ``output``; a repeated key on the right raises.
 
-    The table is counted while its keys are checked, and broadcast only up to ``broadcast_rows``.
-    A larger one is joined by a shuffle on the keys, where adaptive execution splits the partitions
+    The table is made once, measured while its keys are checked, and broadcast only up to an estimated
+    ``broadcast_bytes``. A larger one is joined by a shuffle on the keys, where adaptive execution splits the partitions
     of hot keys. NULL keys match NULL.
     """
     require_columns(df.columns, keys)
     require_columns(table.columns, [*keys, value])
+    table = cut_lineage(table.select(*keys, value))
     (profile,) = unique_key_profiles([(table, keys)])
-    return lookup(df, table, keys, value, output, profile, broadcast_rows)
+    return lookup(df, table, keys, value, output, profile, broadcast_bytes)
 
 
 def unique_key_profiles(tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> list[KeyProfile]:
@@ -37,8 +40,8 @@ def unique_key_profiles(tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> li
     profiles = key_profiles(tables)
     for (table, keys), profile in zip(tables, profiles):
         if profile.max_rows_per_key > 1:
-            sample = duplicate_keys(table, keys).limit(5).collect()
-            raise ValueError(f"lookup keys are not unique: {[r.asDict() for r in sample]}")
+            sample = duplicate_keys(table, keys).orderBy(*keys).limit(5).collect()
+            raise ValueError(f"{profile.n_repeated} lookup keys are not unique, such as {[r.asDict() for r in sample]}")
     return profiles
 
 
@@ -49,10 +52,10 @@ def lookup(
     value: str,
     output: str,
     profile: KeyProfile,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     right = table.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(value).alias("__value"))
-    right = F.broadcast(right) if profile.n_rows <= broadcast_rows else right.hint("merge")
+    right = F.broadcast(right) if profile.n_bytes <= broadcast_bytes else right.hint("merge")
     matches = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     kept = [c for c in df.columns if c != output]
     return df.join(right, on=matches, how="left").select(*kept, F.col("__value").alias(output))

@@ -220,7 +220,9 @@ def split_candidates(sums: DataFrame, features: Features, rules: SplitRules) ->
     is_first = " OR ".join(
         f"(feature = {text.string(c)} AND level <=> {text.string(v)})" for c, v in features.first_levels.items()
     )
-    between = "(value + next_value) / 2"
+    middle = "(value + next_value) / 2"
+    # Next to an infinite value, or where the middle rounds to the lower value, the upper one is the cut.
+    between = f"CASE WHEN {middle} > value AND {middle} <= next_value THEN {middle} ELSE next_value END"
     if features.binned:
         between = f"CASE WHEN feature IN {text.strings(features.binned)} THEN next_value ELSE {between} END"
     with_missing, inner = "miss_n > 0", "next_value IS NOT NULL"

@@ -354,32 +354,39 @@ def _path(conditions: Sequence[str]) -> str:
     return PATH_AND.join(conditions) if conditions else ROOT_PATH
 
 
-def tree_report(statistics: DataFrame) -> DataFrame:
+def _node_rows(statistics: DataFrame) -> list[DataFrame]:
+    """The statistics' sides as rows: parent, left and right of every split."""
+    figures = {"n": "n", "sum_y": "sum_y", "sum_exp": "sum_exp", "ae": "ae", "dev": "dev"}
+    return [
+        statistics.select("nodeid", F.lit(side).alias("side"), *[F.col(f"{c}_{side}").alias(name) for c, name in figures.items()])
+        for side in ("parent", "left", "right")
+    ]
+
+
+def tree_report(statistics: DataFrame, tree: Tree) -> DataFrame:
     """``(ord, depth, label, ae, y)`` per node: the root, then each subtree, siblings by label.
 
-    The table has two rows per split, so one ordered window over it is small.
+    The table has two rows per split, so one ordered window over it is small. Conditions are taken
+    from the tree, as a level may hold the word that joins them in the statistics.
     """
-    root = statistics.filter(F.col("path_pretty") == ROOT_PATH).select(
-        F.array().cast("array<string>").alias("steps"), F.col("ae_parent").alias("ae"), F.col("sum_y_parent").alias("y")
-    )
-    for side in ("left", "right"):
-        root = root.unionByName(
-            statistics.select(
-                F.split(f"{side}_path_pretty", PATH_AND).alias("steps"),
-                F.col(f"ae_{side}").alias("ae"),
-                F.col(f"sum_y_{side}").alias("y"),
-            )
-        )
+    paths = tree.paths()
+    rows = [(n.nodeid, side, paths[to]) for n in tree.splits for side, to in (("left", n.yes), ("right", n.no))]
+    rows += [(n.nodeid, "parent", []) for n in tree.splits if n.nodeid == 0]
+    steps = statistics.sparkSession.createDataFrame(rows, "nodeid int, side string, steps array<string>")
+    parent, left, right = _node_rows(statistics)
+    nodes = parent.unionByName(left).unionByName(right).join(F.broadcast(steps), ["nodeid", "side"])
     label = F.when(F.size("steps") == 0, F.lit("root")).otherwise(F.try_element_at("steps", F.lit(-1)))
-    return root.select(
+    return nodes.select(
         F.row_number().over(W.orderBy("steps")).alias("ord"),
         F.size("steps").alias("depth"),
         label.alias("label"),
         "ae",
-        "y",
+        F.col("sum_y").alias("y"),
     ).orderBy("ord")
 
 
 def node_summary(statistics: DataFrame) -> DataFrame:
-    """One row per split with the figures of parent and both sides, by node id."""
-    return statistics.orderBy("nodeid")
+    """``(nodeid, side, n, sum_y, sum_exp, ae, dev)``: parent, left and right of every split, by node id."""
+    parent, left, right = _node_rows(statistics)
+    place = F.array_position(F.array(F.lit("parent"), F.lit("left"), F.lit("right")), F.col("side"))
+    return parent.unionByName(left).unionByName(right).orderBy("nodeid", place)

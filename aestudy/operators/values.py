@@ -1,4 +1,4 @@
-"""Levels, ranges and quantiles of one column, with bounds on what reaches the driver."""
+"""Levels, ranges and quantiles of one column."""
 
 from __future__ import annotations
 
@@ -8,30 +8,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 10_000
-MAX_DISTINCT = 50_000
-
 
 def level_frame(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-NULL values, sorted."""
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
-def collect_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-NULL values; more than ``max_levels`` raises instead of being gathered."""
+def collect_levels(df: DataFrame, column: str, max_levels: int | None = None) -> list:
+    """Sorted distinct non-NULL values; more than ``max_levels``, where given, raise instead of being gathered."""
     return [v for v in levels_of(df, [column], max_levels)[column] if v is not None]
 
 
-def levels_of(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
+def levels_of(df: DataFrame, columns: Sequence[str], max_levels: int | None = None) -> dict[str, list]:
     """Sorted distinct values of several columns of one type, NULL last where it occurs.
 
     One job reads them all: values are paired with their column's number and deduplicated before
-    the shuffle. A column with more than ``max_levels`` levels raises.
+    the shuffle. A column with more than ``max_levels`` levels, where that is given, raises.
     """
     if not columns:
         return {}
     pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col("`" + c + "`").alias("v")) for i, c in enumerate(columns)])
-    rows = df.select(F.inline(pairs)).distinct().limit((max_levels + 1) * len(columns) + 1).collect()
+    distinct = df.select(F.inline(pairs)).distinct()
+    rows = (distinct if max_levels is None else distinct.limit((max_levels + 1) * len(columns) + 1)).collect()
     found: dict[str, list] = {c: [] for c in columns}
     nulls = set()
     for r in rows:
@@ -40,13 +38,13 @@ def levels_of(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVEL
         else:
             found[columns[r["c"]]].append(r["v"])
     for c, values in found.items():
-        if len(values) > max_levels:
+        if max_levels is not None and len(values) > max_levels:
             raise ValueError(f"column {c!r} has more than {max_levels} levels")
         values.sort()
     return {c: values + [None] * (c in nulls) for c, values in found.items()}
 
 
-def baseline_levels(df: DataFrame, column: str, baseline: str, max_levels: int = MAX_LEVELS) -> list[str]:
+def baseline_levels(df: DataFrame, column: str, baseline: str, max_levels: int | None = None) -> list[str]:
     """Category levels with the baseline first and the others sorted."""
     return baseline_first(collect_levels(df, column, max_levels), baseline)
 
@@ -79,65 +77,46 @@ def value_range(df: DataFrame, column: str) -> DataFrame:
     return bounds.select(F.explode(F.sequence("lo", "hi")).alias(column))
 
 
-def first_value(df: DataFrame, column: str):
-    """A value of the column that does not depend on row order (the smallest), or None."""
-    return df.agg(F.min(column).alias("v")).first()["v"]
+def first_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with a value of each column that does not depend on row order: the smallest."""
+    return df.agg(*[F.min(c).alias(c) for c in columns])
 
 
-def distinct_quantiles(
-    df: DataFrame,
-    column: str,
-    probabilities: Sequence[float],
-    lower: float,
-    upper: float,
-    max_distinct: int = MAX_DISTINCT,
-) -> list[float]:
+def distinct_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], lower: float, upper: float) -> list[float]:
     """Exact linear-interpolation quantiles of the distinct values within two bounds.
 
-    Up to ``max_distinct`` values are sorted on the driver. Beyond that the order statistics are
-    found by counting values in ever narrower slices, so no task and no driver step ever holds them.
+    The order statistics are found by counting values in ever narrower slices, so no task and no
+    driver step ever holds the values, however many there are.
     """
     value = F.col(column).cast("double")
-    distinct = df.where(value.between(lower, upper)).select(value.alias("v")).distinct()
-    rows = distinct.limit(max_distinct + 1).collect()
-    if not rows:
-        raise ValueError(f"column {column!r} has no value between {lower} and {upper}")
-    if len(rows) <= max_distinct:
-        values = np.array(sorted(r["v"] for r in rows))
-        return [float(q) for q in np.quantile(values, list(probabilities))]
-
-    distinct = distinct.persist()
+    distinct = df.where(value.between(lower, upper)).select(value.alias("v")).distinct().persist()
     try:
-        n = distinct.count()
-        places = [p * (n - 1) for p in probabilities]
-        ranks = sorted({r for p in places for r in (int(np.floor(p)), int(np.ceil(p)))})
-        at = {r: _order_statistic(distinct, r, float(lower), float(upper), max_distinct) for r in ranks}
+        slices = _slices(distinct, float(lower), float(upper))
+        if not slices:
+            raise ValueError(f"column {column!r} has no value between {lower} and {upper}")
+        places = [p * (sum(r["n"] for r in slices) - 1) for p in probabilities]
+        ranks = {r for p in places for r in (int(np.floor(p)), int(np.ceil(p)))}
+        at = {r: _order_statistic(distinct, r, slices) for r in ranks}
     finally:
         distinct.unpersist()
-    out = []
-    for p in places:
-        lo, hi = int(np.floor(p)), int(np.ceil(p))
-        out.append(at[lo] + (at[hi] - at[lo]) * (p - lo))
-    return out
+    return [at[lo] + (at[int(np.ceil(p))] - at[lo]) * (p - lo) for p in places for lo in [int(np.floor(p))]]
+
+
+def _slices(distinct: DataFrame, lo: float, hi: float, slices: int = 1024) -> list:
+    """Number, smallest and largest of the values in each non-empty slice of ``[lo, hi]``, in order."""
+    width = F.lit((hi - lo) / slices or 1.0)
+    number = F.least(F.floor((F.col("v") - F.lit(lo)) / width), F.lit(slices - 1))
+    counted = distinct.where(F.col("v").between(lo, hi)).groupBy(number.alias("s"))
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("s").collect()
 
 
-def _order_statistic(distinct: DataFrame, rank: int, lo: float, hi: float, max_collect: int, slices: int = 1024) -> float:
-    """The value with ``rank`` smaller ones, among distinct values that lie in ``[lo, hi]``."""
+def _order_statistic(distinct: DataFrame, rank: int, slices: Sequence) -> float:
+    """The value with ``rank`` smaller ones, among the distinct values that the slices count."""
     while True:
-        width = (hi - lo) / slices
-        inside = distinct.where(F.col("v").between(lo, hi))
-        slice_no = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(slices - 1))
-        per_slice = (
-            inside.groupBy(slice_no.alias("s"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("s")
-            .collect()
-        )
-        for row in per_slice:
+        for row in slices:
             if rank < row["n"]:
                 break
             rank -= row["n"]
-        if row["n"] <= max_collect:
-            values = inside.where(F.col("v").between(row["lo"], row["hi"])).select("v").collect()
-            return float(sorted(v["v"] for v in values)[rank])
-        lo, hi = row["lo"], row["hi"]
+        if row["n"] <= 2:
+            return float(row["lo"] if rank == 0 else row["hi"])
+        slices = _slices(distinct, row["lo"], row["hi"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -30,6 +31,14 @@ class ScoringRun:
     totals: Row
 
 
+def _resolved(spark: SparkSession, table: str) -> tuple[str, ...]:
+    """Catalog, namespace and name that a table identifier stands for."""
+    parts = [p.lower() for p in re.findall(r"`(?:[^`]|``)+`|[^.`]+", table)]
+    parts = [p[1:-1].replace("``", "`") if p.startswith("`") else p for p in parts]
+    here = [spark.catalog.currentCatalog().lower(), spark.catalog.currentDatabase().lower()]
+    return tuple([*here[: max(0, 3 - len(parts))], *parts])
+
+
 def run_scoring(
     spark: SparkSession,
     model_path: str,
@@ -42,7 +51,7 @@ def run_scoring(
     **options,
 ) -> ScoringRun:
     """Select the study, label it, score every row, overwrite the output table and total it."""
-    if input_table == output_table:
+    if _resolved(spark, input_table) == _resolved(spark, output_table):
         raise ValueError("the output table must not be the input table")
     model = load_model(spark, model_path)
     study = label_dataset(

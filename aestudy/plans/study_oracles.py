@@ -525,6 +525,64 @@ SELECT x AS "Sex", s AS "Smoker_Status", round(rate, 6) AS prediction FROM rates
         "glm_path_totals": f"""WITH {STUDY}, totals AS (SELECT sum("Death_Count") AS y FROM study WHERE "DATASET" = 'TRAIN')
 SELECT CAST(i AS INTEGER) AS alpha_index, round(y, 3) AS predicted, y AS actual
 FROM totals, generate_series(0, {PATH_LENGTH - 1}) AS g(i)""",
+        "glm_path_scores": f"""WITH {STUDY},
+levels AS (
+  SELECT count(DISTINCT "Smoker_Status") AS s, count(DISTINCT "Sex") - 1 AS x, count(DISTINCT "Face_Amount_Band") - 1 AS b
+  FROM study WHERE "DATASET" = 'TRAIN'
+), size AS (SELECT 4 + s + x + b + 4 * (s - 1) + 4 * x + 5 * (s - 1) * x AS p FROM levels)
+SELECT CAST(i AS INTEGER) AS alpha_index, CAST(j AS INTEGER) AS pos, 0::DOUBLE AS score
+FROM size, generate_series(0, {PATH_LENGTH - 1}) AS g(i), generate_series(0, 1000) AS h(j) WHERE j <= p""",
+        "glm_path_binary": f"""WITH RECURSIVE {STUDY}, {cells_cte("cells", KEYS_7)},
+c AS (SELECT "Sex" AS x, "Death_Count" AS y, "ExpDth_VBT2015wMI_Cnt" AS e FROM cells WHERE "DATASET" = 'TRAIN'),
+t AS (
+  SELECT count(*) AS n, sum(y) AS y, sum(e) FILTER (x = 'O') AS e0, sum(e) FILTER (x = 'F') AS e1,
+         sum(y) FILTER (x = 'F') AS y1, sum(CASE WHEN y > 0 THEN y * ln(y) ELSE 0 END) AS yly
+  FROM c
+),
+a AS (SELECT i, 10 * pow(1e-6, i / {PATH_LENGTH - 1}.0) AS alpha FROM generate_series(0, {PATH_LENGTH - 1}) AS g(i)),
+b(i, lo, hi, k) AS (
+  SELECT i, -20::DOUBLE, 20::DOUBLE, 0 FROM a
+  UNION ALL
+  SELECT i, CASE WHEN f > 0 THEN mid ELSE lo END, CASE WHEN f > 0 THEN hi ELSE mid END, k + 1
+  FROM (
+    SELECT b.i, lo, hi, k, (lo + hi) / 2 AS mid,
+           (y1 - e1 * exp((lo + hi) / 2) * y / (e0 + e1 * exp((lo + hi) / 2))) / n - alpha * (lo + hi) / 2 AS f
+    FROM b JOIN a ON a.i = b.i, t WHERE k < 80
+  )
+),
+fits AS (SELECT i, lo AS slope, ln(y / (e0 + e1 * exp(lo))) AS intercept FROM b, t WHERE k = 80),
+scored AS (
+  SELECT i, intercept, slope, y, e * exp(intercept + CASE WHEN x = 'F' THEN slope ELSE 0 END) AS mu FROM fits, c
+),
+devs AS (
+  SELECT i, intercept, slope, 2 * sum(CASE WHEN y > 0 THEN y * ln(y / mu) ELSE 0 END - y + mu) AS dev FROM scored GROUP BY ALL
+)
+SELECT CAST(i AS INTEGER) AS alpha_index, round(intercept, 6) AS intercept, round(slope, 6) AS slope,
+       round(1 - dev / (2 * (t.yly - t.y * ln(t.y / t.n))), 6) AS d2
+FROM devs, t""",
+        "factor_uncovered": f"""WITH {STUDY}, {cells_cte("cells", KEYS_4)}
+SELECT "DATASET", "Smoker_Status", "Attained_Age", "Sex", "Face_Amount_Band",
+       round(exp(-4 + 0.03125 * "Attained_Age" + CASE "Smoker_Status" WHEN 'O' THEN 0.25 + 0.015625 * "Attained_Age"
+                 WHEN 'P' THEN -0.5 - 0.0078125 * "Attained_Age" ELSE 0 END), 9) AS model_pred
+FROM cells""",
+        "node_summary": fixed_tree_stats()
+        + " UNION ALL ".join(
+            f"SELECT nodeid, '{side}' AS side, n_{side} AS n, sum_y_{side} AS sum_y, sum_exp_{side} AS sum_exp, ae_{side} AS ae, dev_{side} AS dev FROM stats"
+            for side in ("parent", "left", "right")
+        ),
+        "boost_wide_feature": """WITH counted AS (SELECT l_orderkey::DOUBLE AS v, count(*) AS n FROM lineitem GROUP BY 1),
+placed AS (
+  SELECT v, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(n) OVER () AS total
+  FROM counted
+),
+cuts AS (SELECT min(v) AS cut FROM placed GROUP BY floor(before * 256 / total::DOUBLE))
+SELECT 'order' AS feature, CAST(row_number() OVER (ORDER BY cut) - 1 AS INTEGER) AS place, cut FROM cuts""",
+        "boost_predict_long": f"""WITH {STUDY}, {cells_cte("cells", KEYS_4)},
+counted AS (SELECT *, 50 - least(greatest("Attained_Age", 0), 50) AS below FROM cells)
+SELECT "DATASET", "Sex", "Smoker_Status", "Attained_Age", "Face_Amount_Band",
+       round(exp(4 * (below / 128.0::DOUBLE - (50 - below) / 256.0::DOUBLE)), 9) AS prediction
+FROM counted""",
         "factor_map": f"""WITH {STUDY},
 smoker AS (SELECT DISTINCT "Smoker_Status" AS v FROM study),
 sex AS (SELECT DISTINCT "Sex" AS v FROM study WHERE "Sex" <> 'O'),

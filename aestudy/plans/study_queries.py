@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -17,15 +17,15 @@ from aestudy.functions.spline import basis_columns
 from aestudy.operators import boost, factors, tree
 from aestudy.operators.checks import cast_like, duplicate_keys, split_schema, without_nulls
 from aestudy.operators.deviance import d2_score, poisson_deviance
-from aestudy.operators.design import Cat, cross, fit_design
+from aestudy.operators.design import Cat, Num, cross, fit_design
 from aestudy.operators.encode import indicator, learned_levels, one_hot, ordinal
 from aestudy.operators.glm import GLMPath, fit_glm_path, penalty_path
 from aestudy.operators.grid import grid_axes, prediction_grid
 from aestudy.operators.lookup import many_to_one_join, unmatched_keys
 from aestudy.operators.score import score_with_udf, scoring_udf
 from aestudy.operators.splits import MAX_DELTA_STEP, SplitRules, best_splits, describe_features, split_candidates, value_sums
-from aestudy.operators.study import actual_to_predicted, predicted_count, prediction_difference, subset
-from aestudy.operators.values import baseline_levels, distinct_quantiles, level_frame, value_range
+from aestudy.operators.study import actual_to_predicted, predicted_count, prediction_difference, study_cells, subset
+from aestudy.operators.values import baseline_levels, distinct_quantiles, first_values, value_range
 from aestudy.plans.driver_tables import (
     age_spline,
     cells,
@@ -37,7 +37,7 @@ from aestudy.plans.driver_tables import (
     train_cells,
 )
 from aestudy.plans.scoring import post_score_check
-from aestudy.sources.checkpoints import scratch_path
+from aestudy.sources.checkpoints import cut_lineage, scratch_path
 from aestudy.sources.models import load_model, save_model
 from aestudy.sources.tables import (
     STUDY_SCHEMA,
@@ -51,7 +51,7 @@ from aestudy.sources.tables import (
 
 # A rate near the overall one, so that fixed models have plausible means.
 BASE_RATE = 0.0133
-PATH_LENGTH = 6
+PATH_LENGTH = 100
 
 MULTIPLIERS = {"Sex": {"F": 1.25}, "Smoker_Status": {"O": 0.8, "P": 1.5}}
 AGE_SLOPE = 0.01
@@ -71,15 +71,6 @@ FIXED_TREE = tree.Tree(
 )
 
 
-@contextmanager
-def cached(df: DataFrame):
-    df.persist()
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 def rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
 
@@ -200,17 +191,16 @@ def category_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def level_counts(spark: SparkSession, d: str) -> DataFrame:
     """Sorted levels of the clean plan column, with the rows of each."""
-    base = study_base(spark, d)
-    return level_frame(base, C.PLAN).join(base.groupBy(C.PLAN).agg(F.count(F.lit(1)).alias("n_rows")), C.PLAN)
+    plans = study_base(spark, d).where(F.col(C.PLAN).isNotNull())
+    return plans.groupBy(C.PLAN).agg(F.count(F.lit(1)).alias("n_rows")).orderBy(C.PLAN)
 
 
 def value_range_query(spark: SparkSession, d: str) -> DataFrame:
     return value_range(selected_study(spark, d).filter(F.col(C.ATTAINED_AGE) % 3 != 0), C.ATTAINED_AGE)
 
 
-def first_values(spark: SparkSession, d: str) -> DataFrame:
-    study = selected_study(spark, d)
-    return study.agg(*[F.min(c).alias(c) for c in (C.SEX, C.SMOKER, C.FACE_BAND, C.ATTAINED_AGE)])
+def first_values_query(spark: SparkSession, d: str) -> DataFrame:
+    return first_values(selected_study(spark, d), [C.SEX, C.SMOKER, C.FACE_BAND, C.ATTAINED_AGE])
 
 
 def one_hot_fixed(spark: SparkSession, d: str) -> DataFrame:
@@ -238,11 +228,10 @@ def spline_knots(spark: SparkSession, d: str) -> DataFrame:
 
 def spline_basis(spark: SparkSession, d: str) -> DataFrame:
     spline = age_spline()
-    study = selected_study(spark, d)
-    found = distinct_quantiles(study, C.ATTAINED_AGE, [1 / 3, 2 / 3], spline.lower, spline.upper)
+    summed = cut_lineage(selected_study(spark, d).groupBy(C.ATTAINED_AGE).agg(F.count(F.lit(1)).alias("n_rows")))
+    found = distinct_quantiles(summed, C.ATTAINED_AGE, [1 / 3, 2 / 3], spline.lower, spline.upper)
     knots = [float(spline.lower), *found, float(spline.upper)]
     basis = basis_columns(F.col(C.ATTAINED_AGE), knots)
-    summed = study.groupBy(C.ATTAINED_AGE).agg(F.count(F.lit(1)).alias("n_rows"))
     return rounded(summed.withColumns({f"cr_{i + 1}": b for i, b in enumerate(basis)}), [f"cr_{i + 1}" for i in range(4)], 9)
 
 
@@ -257,30 +246,46 @@ def _saturated(train: DataFrame) -> GLMPath:
 
 
 def glm_saturated(spark: SparkSession, d: str) -> DataFrame:
-    with cached(train_cells(spark, d, [C.SEX, C.SMOKER])) as train:
-        model = _saturated(train)
-    scored = model.predict(train_cells(spark, d, [C.SEX, C.SMOKER]))
-    return rounded(scored, [C.PREDICTION]).select(C.SEX, C.SMOKER, C.PREDICTION)
+    train = cut_lineage(train_cells(spark, d, [C.SEX, C.SMOKER]))
+    return rounded(_saturated(train).predict(train), [C.PREDICTION]).select(C.SEX, C.SMOKER, C.PREDICTION)
 
 
-def fitted_path(spark: SparkSession, d: str, n_alphas: int = PATH_LENGTH) -> GLMPath:
-    with cached(train_cells(spark, d, C.REGRESSION_KEYS)) as train:
-        return fit_glm_path(train, fit_design(train, order_terms()), penalty_path(n_alphas))
+def fitted_path(spark: SparkSession, d: str) -> tuple[GLMPath, DataFrame]:
+    """The whole penalty path, and the training cells it was fitted to."""
+    train = cut_lineage(train_cells(spark, d, C.REGRESSION_KEYS))
+    return fit_glm_path(train, fit_design(train, order_terms()), penalty_path(PATH_LENGTH)), train
 
 
 def glm_path(spark: SparkSession, d: str) -> DataFrame:
-    return fitted_path(spark, d).coefficient_table(spark)
+    return fitted_path(spark, d)[0].coefficient_table(spark)
 
 
 def glm_path_totals(spark: SparkSession, d: str) -> DataFrame:
     """The free intercept makes fitted and actual counts agree at every penalty."""
-    model = fitted_path(spark, d)
-    return rounded(model.path_totals(train_cells(spark, d, C.REGRESSION_KEYS)), ["predicted"], 3)
+    model, train = fitted_path(spark, d)
+    return rounded(model.path_totals(train), ["predicted"], 3)
 
 
 def glm_path_stats(spark: SparkSession, d: str) -> DataFrame:
-    model = fitted_path(spark, d)
-    return model.path_stats(train_cells(spark, d, C.REGRESSION_KEYS))
+    model, train = fitted_path(spark, d)
+    return model.path_stats(train)
+
+
+def glm_path_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The penalised score equations of every fit of the path, which hold to rounding."""
+    model, train = fitted_path(spark, d)
+    return model.path_scores(train).withColumn("score", F.abs(F.round("score", 6)))
+
+
+def glm_path_binary(spark: SparkSession, d: str) -> DataFrame:
+    """The whole path of a model with one indicator: coefficients and explained deviance."""
+    train = cut_lineage(train_cells(spark, d, C.REGRESSION_KEYS).withColumn("is_f", indicator(C.SEX, "F")))
+    model = fit_glm_path(train, fit_design(train, [(Num("is_f"),)]), penalty_path(PATH_LENGTH))
+    terms = model.coefficient_table(spark).groupBy("alpha_index").agg(
+        F.max(F.when(F.col("pos") == 0, F.col("term_value"))).alias("intercept"),
+        F.max(F.when(F.col("pos") == 1, F.col("term_value"))).alias("slope"),
+    )
+    return rounded(terms.join(model.path_stats(train), "alpha_index"), ["intercept", "slope", "d2"])
 
 
 # Factor tables
@@ -349,9 +354,9 @@ def prediction_grid_query(spark: SparkSession, d: str) -> DataFrame:
 
 def factor_tables_query(spark: SparkSession, d: str) -> DataFrame:
     """Factor tables of a saturated two-way model in long form; factors are the cells' A/E."""
-    with cached(train_cells(spark, d, [C.SEX, C.SMOKER])) as train:
-        model = _saturated(train)
-        long = factors.long_factors(factors.FactorAnalysis(spark, model).factor_tables(train))
+    train = cut_lineage(train_cells(spark, d, [C.SEX, C.SMOKER]))
+    model = _saturated(train)
+    long = factors.long_factors(factors.FactorAnalysis(spark, model).factor_tables(train))
     base = float(np.exp(model.intercepts[0]))
     scaled = long.filter(F.col("term_group") != "intercept").withColumn("factor", F.col("factor") * base)
     return rounded(scaled.select(C.SMOKER, C.SEX, "term_group", "factor"), ["factor"])
@@ -375,21 +380,37 @@ def factor_join(spark: SparkSession, d: str) -> DataFrame:
 def factor_product(spark: SparkSession, d: str) -> DataFrame:
     base = selected_study(spark, d).agg(F.round(F.sum(C.ACTUAL) / F.sum(C.EXPECTED), 6).alias("factor"), F.lit("intercept").alias("term_group"))
     tables = {"intercept": base, "Smoker_x_Band": _band_factors(spark, d)}
-    return rounded(factors.join_factors(cells(spark, d, C.BOOST_KEYS), tables), ["model_pred"], 8).drop(C.ACTUAL, C.EXPECTED)
+    return rounded(factors.join_factors(cells(spark, d, C.BOOST_KEYS), tables, strict=False), ["model_pred"], 8).drop(C.ACTUAL, C.EXPECTED)
 
 
 def factor_reconstruct(spark: SparkSession, d: str) -> DataFrame:
-    """Per data set: cells, cells without a prediction, and whether factors give the prediction."""
-    with cached(train_cells(spark, d, C.REGRESSION_KEYS)) as train:
-        model = fit_glm_path(train, fit_design(train, order_terms()), [1e-4])
-        analysis = factors.FactorAnalysis(spark, model)
-        tables = analysis.factor_tables(train)
-    everything = model.predict(cells(spark, d, C.REGRESSION_KEYS), output="direct")
-    both = analysis.append_factors(everything, tables)
+    """Per data set: cells, cells without a prediction, and whether factors give the prediction.
+
+    The model is the last of the whole path; the tables cover the cells that are scored.
+    """
+    everything = cut_lineage(cells(spark, d, C.REGRESSION_KEYS))
+    train = subset(everything, C.TRAIN).drop(C.DATASET)
+    model = fit_glm_path(train, fit_design(train, order_terms()), penalty_path(PATH_LENGTH))
+    both = factors.FactorAnalysis(spark, model).predict_by_factors(model.predict(everything, output="direct"))
     checked = prediction_difference(both, "model_pred", "direct", by=[C.DATASET])
     return checked.select(C.DATASET, "n_rows", "n_missing", (F.col("max_rel_diff") <= factors.PRODUCT_TOLERANCE).alias("matches"))
 
 
+#: Intercept, slope of the age, and both again by level.
+UNCOVERED_WEIGHTS = {"": (-4.0, 0.03125), "F": (0.0, 0.0), "O": (0.25, 0.015625), "P": (-0.5, -0.0078125)}
+
+
+def factor_uncovered(spark: SparkSession, d: str) -> DataFrame:
+    """Factors of a model that saw ages up to 30 only, on cells of all ages."""
+    everything = cut_lineage(cells(spark, d, C.BOOST_KEYS))
+    young = everything.where(F.col(C.ATTAINED_AGE) <= 30)
+    design = fit_design(young, [(Cat(C.SMOKER, "F"),), (Num(C.ATTAINED_AGE),), (Num(C.ATTAINED_AGE), Cat(C.SMOKER, "F"))])
+    weights = [UNCOVERED_WEIGHTS["".join(re.findall(r"\[(?:T\.)?(\w)\]", name))][C.ATTAINED_AGE in name] for name in design.column_names]
+    model = GLMPath(design, [0.0], [UNCOVERED_WEIGHTS[""][0]], [weights])
+    scored = factors.FactorAnalysis(spark, model).predict_by_factors(everything)
+    return rounded(scored.select(C.DATASET, C.SMOKER, C.ATTAINED_AGE, C.SEX, C.FACE_BAND, "model_pred"), ["model_pred"], 9)
+
+
 # Trees and boosting
 
 
@@ -401,9 +422,8 @@ def _gradient() -> tuple[str, str]:
 def tree_root_split(spark: SparkSession, d: str) -> DataFrame:
     """The best root split of the training cells."""
     keys = [C.ISSUE_YEAR, C.SEX, C.SMOKER, C.ATTAINED_AGE, C.FACE_BAND]
-    train = train_cells(spark, d, keys)
-    with cached(train):
-        features = describe_features(train, [C.ACTUAL, C.EXPECTED])
+    train = cut_lineage(train_cells(spark, d, keys))
+    features = describe_features(train, [C.ACTUAL, C.EXPECTED])
     sums = value_sums(train, features, "0", [0], *_gradient())
     best = best_splits(split_candidates(sums, features, SplitRules()))
     return rounded(best.select("feature", "level", "threshold", "gain", F.col("left_h").alias("cover_left"), F.col("right_h").alias("cover_right")), ["gain", "cover_left", "cover_right"], 4)
@@ -411,9 +431,8 @@ def tree_root_split(spark: SparkSession, d: str) -> DataFrame:
 
 def split_candidates_query(spark: SparkSession, d: str) -> DataFrame:
     """Every admissible root split with its gain."""
-    train = train_cells(spark, d, [C.SEX, C.SMOKER, C.ATTAINED_AGE])
-    with cached(train):
-        features = describe_features(train, [C.ACTUAL, C.EXPECTED])
+    train = cut_lineage(train_cells(spark, d, [C.SEX, C.SMOKER, C.ATTAINED_AGE]))
+    features = describe_features(train, [C.ACTUAL, C.EXPECTED])
     sums = value_sums(train, features, "0", [0], *_gradient())
     return rounded(split_candidates(sums, features, SplitRules()).select("feature", "level", "threshold", "gain"), ["gain"], 4)
 
@@ -440,12 +459,17 @@ def tree_split_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def tree_report(spark: SparkSession, d: str) -> DataFrame:
     stats = tree.split_statistics(_tree_rows(spark, d), FIXED_TREE, C.ACTUAL, "model_pred")
-    return rounded(tree.tree_report(stats), ["ae", "y"], 4)
+    return rounded(tree.tree_report(stats, FIXED_TREE), ["ae", "y"], 4)
+
+
+def node_summary(spark: SparkSession, d: str) -> DataFrame:
+    stats = tree.split_statistics(_tree_rows(spark, d), FIXED_TREE, C.ACTUAL, "model_pred")
+    return rounded(tree.node_summary(stats), ["sum_y", "sum_exp", "ae", "dev"], 4)
 
 
 def residual_tree(spark: SparkSession, d: str) -> DataFrame:
     """A fitted tree over the training rows, with the statistics of its splits."""
-    rows = _residual_rows(spark, d)
+    rows = cut_lineage(_residual_rows(spark, d))
     fitted = tree.fit_residual_tree(rows, C.ACTUAL, "model_pred")
     return _rounded_statistics(tree.split_statistics(rows, fitted, C.ACTUAL, "model_pred"))
 
@@ -464,21 +488,24 @@ def _residual_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def fitted_boost(spark: SparkSession, d: str, rounds: int, learning_rate: float = 0.3) -> boost.BoostModel:
-    with cached(cells(spark, d, C.BOOST_KEYS)) as study:
-        scaled = study.withColumn(C.EXPECTED, F.col(C.EXPECTED) / 64)
-        return boost.fit_boost(
-            subset(scaled, C.TRAIN),
-            subset(scaled, C.TEST),
-            order_encoding(),
-            learning_rate=learning_rate,
-            rules=SplitRules(gamma=0.0),
-            max_rounds=rounds,
-        )
+def fitted_boost(study: DataFrame, rounds: int, learning_rate: float = 0.3) -> boost.BoostModel:
+    scaled = study.withColumn(C.EXPECTED, F.col(C.EXPECTED) / 64)
+    return boost.fit_boost(
+        subset(scaled, C.TRAIN),
+        subset(scaled, C.TEST),
+        order_encoding(),
+        learning_rate=learning_rate,
+        rules=SplitRules(gamma=0.0),
+        max_rounds=rounds,
+    )
+
+
+def boost_cells(spark: SparkSession, d: str) -> DataFrame:
+    return cut_lineage(cells(spark, d, C.BOOST_KEYS))
 
 
 def boost_one_round(spark: SparkSession, d: str) -> DataFrame:
-    model = fitted_boost(spark, d, rounds=1)
+    model = fitted_boost(boost_cells(spark, d), rounds=1)
     return rounded(model.trees[0].to_frame(spark), ["gain", "cover"], 4).withColumn("leaf", F.round("leaf", 6)).select(
         "nodeid", "depth", "feature", "threshold", "yes", "no", "gain", "cover", "leaf"
     )
@@ -486,17 +513,38 @@ def boost_one_round(spark: SparkSession, d: str) -> DataFrame:
 
 def boost_fit(spark: SparkSession, d: str) -> DataFrame:
     """Validation loss after every round."""
-    model = fitted_boost(spark, d, rounds=4)
+    model = fitted_boost(boost_cells(spark, d), rounds=4)
     rows = [(i, round(loss, 6), i == model.best_iteration) for i, loss in enumerate(model.history)]
     return spark.createDataFrame(rows, "round int, loss double, is_best boolean")
 
 
 def boost_predict(spark: SparkSession, d: str) -> DataFrame:
-    model = fitted_boost(spark, d, rounds=3)
-    scored = model.predict(cells(spark, d, C.BOOST_KEYS), iterations=3)
+    study = boost_cells(spark, d)
+    scored = fitted_boost(study, rounds=3).predict(study, iterations=3)
     return rounded(scored, [C.PREDICTION]).drop(C.ACTUAL, C.EXPECTED)
 
 
+def boost_wide_feature(spark: SparkSession, d: str) -> DataFrame:
+    """Bin cuts of a column with far more values than bins, weighted by its rows."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("double").alias("order"), F.col("l_linenumber").alias("line"))
+    cuts = boost.bin_cuts(lines, ["order", "line"], 256)
+    rows = [(name, i, float(v)) for name, own in cuts.items() for i, v in enumerate(own)]
+    return spark.createDataFrame(rows, "feature string, place int, cut double")
+
+
+LONG_TREES = [
+    tree.Tree([tree.Node(0, 0, C.ATTAINED_AGE, i % 50 + 0.5, 1, 2, 1, 1.0, 1.0, None, C.ATTAINED_AGE), tree.Node(1, 1, leaf=2.0**-7), tree.Node(2, 1, leaf=-(2.0**-8))])
+    for i in range(200)
+]
+
+
+def boost_predict_long(spark: SparkSession, d: str) -> DataFrame:
+    """Prediction by 200 trees, one cut of the age each."""
+    model = boost.BoostModel(order_encoding(), LONG_TREES, len(LONG_TREES) - 1)
+    scored = model.predict(cells(spark, d, C.BOOST_KEYS))
+    return rounded(scored, [C.PREDICTION], 9).drop(C.ACTUAL, C.EXPECTED)
+
+
 # Scoring
 
 
@@ -533,11 +581,11 @@ def score_udf(spark: SparkSession, d: str) -> DataFrame:
 
 def score_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Fit, save, load, score every row, write, read back and total."""
-    with cached(train_cells(spark, d, [C.SEX, C.SMOKER])) as train:
-        model = _saturated(train)
+    study = cut_lineage(selected_study(spark, d))
+    model = _saturated(cut_lineage(study_cells(subset(study, C.TRAIN), [C.SEX, C.SMOKER])))
     path = scratch_path(spark, "model")
     save_model(spark, model, path)
-    scored = load_model(spark, path).predict(selected_study(spark, d))
+    scored = load_model(spark, path).predict(study)
     written = overwrite_parquet(scored, scratch_path(spark, "scored"))
     ratios = rounded(post_score_check(written), ["actual_over_predicted", "predicted_over_actual"], 4)
     return rounded(ratios, ["predicted"], 2)
@@ -554,8 +602,9 @@ def scored_view(spark: SparkSession, d: str) -> DataFrame:
 def run_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of two runs, appended and read back."""
     path = scratch_path(spark, "metrics")
+    totals = {r[C.DATASET]: r for r in actual_to_predicted(selected_study(spark, d), by=[C.DATASET]).collect()}
     for run, dataset in (("first", C.TRAIN), ("second", C.TEST)):
-        row = actual_to_predicted(subset(selected_study(spark, d), dataset)).first()
+        row = totals[dataset]
         metrics = {"actual": row["actual"], "expected": row["predicted"], "ae": round(row["actual_over_predicted"], 6)}
         append_records(metrics_frame(spark, run, metrics), path)
     return spark.read.parquet(path)
@@ -588,7 +637,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "category_levels": category_levels,
         "level_counts": level_counts,
         "value_range": value_range_query,
-        "first_values": first_values,
+        "first_values": first_values_query,
         "one_hot_fixed": one_hot_fixed,
         "ordinal_fixed": ordinal_fixed,
         "one_hot_learned": one_hot_learned,
@@ -598,6 +647,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "glm_path": glm_path,
         "glm_path_totals": glm_path_totals,
         "glm_path_stats": glm_path_stats,
+        "glm_path_scores": glm_path_scores,
+        "glm_path_binary": glm_path_binary,
         "factor_map": factor_map_query,
         "factor_map_check": factor_map_check,
         "factor_values_check": factor_values_check,
@@ -607,16 +658,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "factor_join": factor_join,
         "factor_product": factor_product,
         "factor_reconstruct": factor_reconstruct,
+        "factor_uncovered": factor_uncovered,
         "split_candidates": split_candidates_query,
         "tree_root_split": tree_root_split,
         "tree_route": tree_route,
         "tree_split_stats": tree_split_stats,
         "tree_report": tree_report,
+        "node_summary": node_summary,
         "residual_tree": residual_tree,
         "residual_tree_nodes": residual_tree_nodes,
         "boost_one_round": boost_one_round,
         "boost_fit": boost_fit,
         "boost_predict": boost_predict,
+        "boost_wide_feature": boost_wide_feature,
+        "boost_predict_long": boost_predict_long,
         "score_expr": score_expr,
         "score_udf": score_udf,
         "score_roundtrip": score_roundtrip,

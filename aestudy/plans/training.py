@@ -61,7 +61,6 @@ def train_glm_study(
     keys: Sequence[str] = tuple(C.REGRESSION_KEYS),
     alphas: Sequence[float] | None = None,
     alpha_index: int | None = None,
-    parallelism: int = 8,
 ) -> GLMStudy:
     """Fit the regression path on the training cells of a labelled study and diagnose it.
 
@@ -71,7 +70,7 @@ def train_glm_study(
     cells = study_cells(study, keys).persist()
     train, test = subset(cells, C.TRAIN), subset(cells, C.TEST)
     design = fit_design(train, study_terms() if terms is None else terms)
-    model = fit_glm_path(train, design, alphas, parallelism=parallelism)
+    model = fit_glm_path(train, design, alphas)
     train_stats, test_stats = model.path_stats(train), model.path_stats(test)
     has_test = test.dropna(subset=design.variables).limit(1).count() > 0
     if alpha_index is None:

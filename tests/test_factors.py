@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aestudy import columns as C
-from aestudy.operators.design import Cat, Spline, cross, fit_design
+from aestudy.operators.design import Cat, Num, Spline, cross, fit_design
 from aestudy.operators.factors import FactorAnalysis, group_members, join_factors, long_factors
 from aestudy.operators.glm import GLMPath, fit_glm_path
 from aestudy.operators.lookup import many_to_one_join, unmatched_keys
@@ -61,7 +61,7 @@ def test_factors_reconstruct_predictions(analysis, study):
 
 def test_shuffled_and_broadcast_joins_agree(analysis, study):
     tables = analysis.factor_tables(study)
-    shuffled = analysis.append_factors(study, tables, broadcast_rows=0)
+    shuffled = analysis.append_factors(study, tables, broadcast_bytes=0)
     assert "BroadcastHashJoin" not in str(shuffled._jdf.queryExecution().executedPlan())
     total = shuffled.agg(F.sum("model_pred")).first()[0]
     assert total == pytest.approx(analysis.append_factors(study, tables).agg(F.sum("model_pred")).first()[0], rel=1e-12)
@@ -109,10 +109,10 @@ def test_missing_factor_counts_as_one_or_raises(spark):
         "intercept": spark.createDataFrame([(2.0, "intercept")], "factor double, term_group string"),
         "k": spark.createDataFrame([("a", 3.0, "k"), (None, 5.0, "k")], "k string, factor double, term_group string"),
     }
-    out = {r.n: r.model_pred for r in join_factors(df, tables).collect()}
+    out = {r.n: r.model_pred for r in join_factors(df, tables, strict=False).collect()}
     assert out == {1: 6.0, 2: 2.0, 3: 10.0}
     with pytest.raises(Exception, match="no factor_k"):
-        join_factors(df, tables, strict=True).collect()
+        join_factors(df, tables).collect()
 
 
 def test_repeated_lookup_keys_raise(spark):
@@ -125,7 +125,7 @@ def test_hot_lookup_key_keeps_every_row(spark):
     """A third of the rows carry one key, on a table too large to broadcast."""
     df = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id")
     table = spark.range(40_000).selectExpr("id AS k", "CAST(id AS DOUBLE) AS v")
-    out = many_to_one_join(df, table, ["k"], "v", "out", broadcast_rows=100)
+    out = many_to_one_join(df, table, ["k"], "v", "out", broadcast_bytes=100)
     assert out.count() == 30_000
     assert out.agg(F.sum(F.col("out") - F.col("k"))).first()[0] == 0
 
@@ -145,3 +145,13 @@ def test_leftover_terms_share_a_group_by_variable(spark, study):
     analysis = FactorAnalysis(spark, GLMPath(design, [0.0], [0.1], [list(np.linspace(-1, 1, len(design.columns)))]))
     assert list(analysis.groups) == ["intercept", "Attained_Age", "Sex"]
     assert analysis.reconstructs(study.filter(F.col(C.ACTUAL) >= 0), analysis.factor_tables(study))
+
+
+def test_values_beyond_the_training_range_are_covered_by_the_scored_frame(spark, study):
+    design = fit_design(study, [(Num("Attained_Age"),), (Cat("Sex", "M"),)])
+    analysis = FactorAnalysis(spark, GLMPath(design, [0.0], [0.1], [list(np.linspace(-0.3, 0.02, len(design.columns)))]))
+    old = study.limit(5).withColumn("Attained_Age", F.lit(140))
+    with pytest.raises(Exception, match="no factor_Attained_Age"):
+        analysis.append_factors(old, analysis.factor_tables(study)).collect()
+    both = analysis.predict_by_factors(analysis.model.predict(old, 0, output="direct")).collect()
+    assert [r.model_pred for r in both] == pytest.approx([r.direct for r in both], rel=1e-12)

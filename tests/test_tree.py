@@ -173,7 +173,7 @@ def test_split_statistics_equal_row_sums(rows):
     tree = fit_residual_tree(df, "y", "e")
     stats = split_statistics(df, tree, "y", "e")
     assert stats.columns == SPLIT_COLUMNS
-    by_id = {r.nodeid: r for r in node_summary(stats).collect()}
+    by_id = {r.nodeid: r for r in stats.collect()}
     assert list(by_id) == [n.nodeid for n in tree.splits]
 
     def walk(nodeid, part, path):
@@ -218,7 +218,7 @@ def test_routing_of_missing_and_unknown_values(spark):
 
 def test_report_lists_subtrees_in_order(spark):
     df = spark.createDataFrame([(20.0, "M", 1.0, 2.0), (20.0, "F", 0.0, 1.0), (40.0, "F", 3.0, 1.0)], "age double, sex string, y double, e double")
-    report = tree_report(split_statistics(df, SMALL, "y", "e")).collect()
+    report = tree_report(split_statistics(df, SMALL, "y", "e"), SMALL).collect()
     assert [(r.ord, r.depth, r.label, r.y) for r in report] == [
         (1, 0, "root", 4.0),
         (2, 1, "age < 30.0", 1.0),
@@ -226,6 +226,8 @@ def test_report_lists_subtrees_in_order(spark):
         (4, 2, "sex_M >= 0.5", 1.0),
         (5, 1, "age >= 30.0", 3.0),
     ]
+    nodes = [(r.nodeid, r.side, r.n, r.sum_y) for r in node_summary(split_statistics(df, SMALL, "y", "e")).collect()]
+    assert nodes == [(0, "parent", 3, 4.0), (0, "left", 2, 1.0), (0, "right", 1, 3.0), (1, "parent", 2, 1.0), (1, "left", 1, 0.0), (1, "right", 1, 1.0)]
     zero = split_statistics(df, SMALL, "y", "e").filter("nodeid = 1").first()
     assert zero.ae_left == 0.0 and zero.dev_left == pytest.approx(2e-15, rel=1e-6)
 
@@ -249,3 +251,16 @@ def test_missing_response_column_raises(rows):
 def test_features_know_their_columns(rows):
     features = describe_features(rows[1], ["y", "e"])
     assert features == Features(["age", "year"], ["sex", "band"], {"sex": "F", "band": "a"})
+
+
+def test_levels_with_the_joining_word_keep_depth_and_label(spark):
+    df = spark.createDataFrame([("P AND Q", 1.0, 2.0), ("x", 3.0, 1.0)], "kind string, y double, e double")
+    tree = Tree([Node(0, 0, "kind_P AND Q", 0.5, 1, 2, 1, 1.0, 1.0, None, "kind", True, "P AND Q"), Node(1, 1, leaf=0.1), Node(2, 1, leaf=0.2)])
+    report = [(r.depth, r.label) for r in tree_report(split_statistics(df, tree, "y", "e"), tree).collect()]
+    assert report == [(0, "root"), (1, "kind_P AND Q < 0.5"), (1, "kind_P AND Q >= 0.5")]
+
+
+def test_infinite_values_can_be_split(spark):
+    data = [(v, y, 4.0) for v, y in ((float("-inf"), 9.0), (1.0, 1.0), (2.0, 1.0), (float("inf"), 9.0)) for _ in range(20)]
+    fitted = fit_residual_tree(spark.createDataFrame(data, "x double, y double, e double"), "y", "e")
+    assert {n.threshold for n in fitted.splits} == {1.0, float("inf")}
