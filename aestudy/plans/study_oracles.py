@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aestudy.plans.study_queries import BASE_RATE, PATH_LENGTH
+from aestudy.plans.study_queries import BASE_RATE, PATH_LENGTH, STOP_RATE
 
 BASE = """
 base AS (
@@ -368,6 +368,43 @@ SELECT CAST(round AS INTEGER) AS round, round(loss, 6) AS loss,
 FROM losses"""
 
 
+def boost_to_stop() -> str:
+    """One indicator, depth 1: a round is a step of six numbers, so a recursion runs to the stop."""
+    sums = ", ".join(
+        f"""sum({c}) FILTER ("DATASET" = '{part}' AND "Sex" {test} 'F') AS {name}{group}"""
+        for part, suffix in (("TRAIN", ""), ("TEST", "v"))
+        for group, test in ((0, "<>"), (1, "="))
+        for c, name in (('"Death_Count"', f"y{suffix}"), ('"ExpDth_VBT2015wMI_Cnt" / 64', f"e{suffix}"))
+    )
+    drop = f"{gain('g0', 'h0')} + {gain('g1', 'h1')} - {gain('(g0 + g1)', '(h0 + h1)')}"
+    whole = leaf("(g0 + g1)", "(h0 + h1)", STOP_RATE)
+    return f"""WITH RECURSIVE {STUDY}, {cells_cte("cells", KEYS_4)},
+t AS (SELECT {sums}, count(*) FILTER ("DATASET" = 'TEST') AS nv FROM cells),
+r(k, m0, m1, loss, best, best_k) AS (
+  SELECT -1, 0::DOUBLE, 0::DOUBLE, 'inf'::DOUBLE, 'inf'::DOUBLE, 0
+  UNION ALL
+  SELECT k + 1, m0, m1, l, least(l, best), CASE WHEN l < best THEN k + 1 ELSE best_k END
+  FROM (
+    SELECT k, m0, m1, best, best_k, (ev0 * exp(m0) - yv0 * m0 + ev1 * exp(m1) - yv1 * m1) / nv AS l
+    FROM (
+      SELECT k, best, best_k,
+             m0 + CASE WHEN split THEN {leaf("g0", "h0", STOP_RATE)} ELSE {whole} END AS m0,
+             m1 + CASE WHEN split THEN {leaf("g1", "h1", STOP_RATE)} ELSE {whole} END AS m1
+      FROM (
+        SELECT *, least(h0, h1) >= 1 AND {drop} >= 1 AS split
+        FROM (
+          SELECT r.*, e0 * exp(m0) - y0 AS g0, e1 * exp(m1) - y1 AS g1,
+                 e0 * exp(m0 + 0.7::DOUBLE) AS h0, e1 * exp(m1 + 0.7::DOUBLE) AS h1
+          FROM r, t WHERE k < 999 AND k - best_k < 10
+        )
+      )
+    ), t
+  )
+)
+SELECT CAST(k AS INTEGER) AS round, round(loss, 6) AS loss, k = (SELECT arg_min(k, loss) FROM r) AS is_best
+FROM r WHERE k >= 0"""
+
+
 def boost_predict(rounds: int) -> str:
     return f"""WITH {STUDY}, {", ".join(boost_ctes(rounds))}
 SELECT "DATASET", "Sex", "Smoker_Status", "Attained_Age", band AS "Face_Amount_Band", round(exp(f), 6) AS prediction
@@ -637,6 +674,7 @@ FROM aged GROUP BY 1""",
         "residual_tree_nodes": residual_tree_nodes(),
         "boost_one_round": boost_one_round(),
         "boost_fit": boost_fit(4),
+        "boost_to_stop": boost_to_stop(),
         "boost_predict": boost_predict(3),
         "score_expr": SCORED,
         "score_udf": SCORED,

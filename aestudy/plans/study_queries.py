@@ -18,7 +18,7 @@ from aestudy.operators import boost, factors, tree
 from aestudy.operators.checks import cast_like, duplicate_keys, split_schema, without_nulls
 from aestudy.operators.deviance import d2_score, poisson_deviance
 from aestudy.operators.design import Cat, Num, cross, fit_design
-from aestudy.operators.encode import indicator, learned_levels, one_hot, ordinal
+from aestudy.operators.encode import indicator, learned_levels, one_hot, one_hot_columns, ordinal
 from aestudy.operators.glm import GLMPath, fit_glm_path, penalty_path
 from aestudy.operators.grid import grid_axes, prediction_grid
 from aestudy.operators.lookup import many_to_one_join, unmatched_keys
@@ -52,6 +52,7 @@ from aestudy.sources.tables import (
 # A rate near the overall one, so that fixed models have plausible means.
 BASE_RATE = 0.0133
 PATH_LENGTH = 100
+STOP_RATE = 0.05
 
 MULTIPLIERS = {"Sex": {"F": 1.25}, "Smoker_Status": {"O": 0.8, "P": 1.5}}
 AGE_SLOPE = 0.01
@@ -513,11 +514,27 @@ def boost_one_round(spark: SparkSession, d: str) -> DataFrame:
 
 def boost_fit(spark: SparkSession, d: str) -> DataFrame:
     """Validation loss after every round."""
-    model = fitted_boost(boost_cells(spark, d), rounds=4)
+    return _history(spark, fitted_boost(boost_cells(spark, d), rounds=4))
+
+
+def _history(spark: SparkSession, model: boost.BoostModel) -> DataFrame:
     rows = [(i, round(loss, 6), i == model.best_iteration) for i, loss in enumerate(model.history)]
     return spark.createDataFrame(rows, "round int, loss double, is_best boolean")
 
 
+def boost_full(spark: SparkSession, d: str) -> DataFrame:
+    """Validation loss of the whole configuration: up to 1000 rounds of depth 3, until it stops by itself."""
+    study = boost_cells(spark, d).withColumn(C.EXPECTED, F.col(C.EXPECTED) / 64)
+    return _history(spark, boost.fit_boost(subset(study, C.TRAIN), subset(study, C.TEST), order_encoding()))
+
+
+def boost_to_stop(spark: SparkSession, d: str) -> DataFrame:
+    """The same gamma, rounds and patience with one indicator, depth 1 and a larger rate, until it stops."""
+    study = boost_cells(spark, d).withColumn(C.EXPECTED, F.col(C.EXPECTED) / 64)
+    encoding = one_hot_columns(C.SEX, ["O", "F"])
+    return _history(spark, boost.fit_boost(subset(study, C.TRAIN), subset(study, C.TEST), encoding, max_depth=1, learning_rate=STOP_RATE))
+
+
 def boost_predict(spark: SparkSession, d: str) -> DataFrame:
     study = boost_cells(spark, d)
     scored = fitted_boost(study, rounds=3).predict(study, iterations=3)
@@ -669,6 +686,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "residual_tree_nodes": residual_tree_nodes,
         "boost_one_round": boost_one_round,
         "boost_fit": boost_fit,
+        "boost_full": boost_full,
+        "boost_to_stop": boost_to_stop,
         "boost_predict": boost_predict,
         "boost_wide_feature": boost_wide_feature,
         "boost_predict_long": boost_predict_long,
