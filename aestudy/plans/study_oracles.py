@@ -268,6 +268,25 @@ SELECT CAST(nodeid AS INTEGER) AS nodeid, CAST(depth AS INTEGER) AS depth, featu
 FROM nodes"""
 
 
+def residual_tree_fitted() -> str:
+    """The trees of both data sets on the counts that the training rates expect."""
+    ctes, parts = [], []
+    for dataset, p in (("TRAIN", "a"), ("TEST", "z")):
+        ctes.append(f"""{p}rows AS (
+  SELECT "Issue_Year", "Sex", "Smoker_Status", "Attained_Age", "Face_Amount_Band", y, e, e - y AS g, e * exp(0.7) AS h
+  FROM (
+    SELECT "Issue_Year", "Sex", "Smoker_Status", "Attained_Age", "Face_Amount_Band", sum("Death_Count") AS y,
+           any_value(rate) * sum("ExpDth_VBT2015wMI_Cnt") AS e
+    FROM study JOIN rates ON x = "Sex" AND s = "Smoker_Status" WHERE "DATASET" = '{dataset}' GROUP BY 1, 2, 3, 4, 5
+  )
+)""")
+        ctes += grow_ctes(p, f"{p}rows", ["Issue_Year", "Attained_Age"], ["Sex", "Smoker_Status", "Face_Amount_Band"], 3)
+        ctes.append(nodes_cte(p, 3, 0.3))
+        parts.append(f"""SELECT '{dataset}' AS "DATASET", CAST(nodeid AS INTEGER) AS nodeid, CAST(depth AS INTEGER) AS depth, feature, threshold,
+       round(gain, 2) AS gain, round(leaf, 4) AS leaf FROM {p}nodes""")
+    return f"WITH {STUDY}, {SATURATED}, {', '.join(ctes)} " + " UNION ALL ".join(parts)
+
+
 def residual_tree() -> str:
     grown = grow_ctes("", "tree_rows", ["Issue_Year", "Attained_Age"], ["Sex", "Smoker_Status", "Face_Amount_Band"], 3)
     sums = []
@@ -675,6 +694,15 @@ FROM aged GROUP BY 1""",
         "boost_one_round": boost_one_round(),
         "boost_fit": boost_fit(4),
         "boost_to_stop": boost_to_stop(),
+        "boost_roundtrip": f"""WITH {STUDY}, {", ".join(boost_ctes(3))}
+SELECT "DATASET", count(*) AS n_rows, sum(y) AS actual, round(sum(exp(f) * e * 64), 4) AS predicted,
+       round(sum(exp(f) * e * 64), 4) AS predicted_mean
+FROM m3 GROUP BY 1""",
+        "scoring_schema": """SELECT * FROM (VALUES ('inputs', 'Sex', 'string'), ('inputs', 'Smoker_Status', 'string'),
+  ('inputs', 'Face_Amount_Band', 'string'), ('outputs', 'prediction', 'double')) AS s(role, column_name, column_type), (SELECT 5::BIGINT AS sample_rows)
+UNION ALL SELECT 'inputs', 'Attained_Age', CASE data_type WHEN 'BIGINT' THEN 'long' ELSE 'integer' END, 5::BIGINT
+FROM information_schema.columns WHERE table_name = 'part' AND column_name = 'p_size'""",
+        "residual_tree_fitted": residual_tree_fitted(),
         "boost_predict": boost_predict(3),
         "score_expr": SCORED,
         "score_udf": SCORED,

@@ -541,6 +541,46 @@ def boost_predict(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scored, [C.PREDICTION]).drop(C.ACTUAL, C.EXPECTED)
 
 
+def boost_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A boosted model saved, loaded, scored with and without the expected column, and totalled."""
+    study = boost_cells(spark, d)
+    path = scratch_path(spark, "boosted")
+    save_model(spark, fitted_boost(study, rounds=3), path, study)
+    model = load_model(spark, path)
+    scored = model.predict(model.predict(study, iterations=3), exposure=C.EXPECTED, output="mean", iterations=3)
+    totals = scored.groupBy(C.DATASET).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(C.ACTUAL).alias("actual"),
+        F.sum(predicted_count()).alias("predicted"),
+        F.sum("mean").alias("predicted_mean"),
+    )
+    return rounded(totals, ["predicted", "predicted_mean"], 4)
+
+
+def scoring_schema_query(spark: SparkSession, d: str) -> DataFrame:
+    """Columns and types that a saved model says it reads and writes, and the rows of its sample."""
+    study = boost_cells(spark, d)
+    path = scratch_path(spark, "described")
+    save_model(spark, boost.BoostModel(order_encoding(), LONG_TREES[:2], 1), path, study)
+    stored = spark.read.parquet(f"{path}/schema").select("role", F.from_json(F.get_json_object("schema", "$.fields"), "array<struct<name:string,type:string>>").alias("fields"))
+    sample = spark.read.parquet(f"{path}/sample").agg(F.count(F.lit(1)).alias("sample_rows"))
+    return stored.select("role", F.inline("fields").alias("column_name", "column_type")).crossJoin(sample)
+
+
+def residual_tree_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """A residual tree of each data set on the counts that a model fitted to the training cells expects."""
+    keys = [C.ISSUE_YEAR, C.SEX, C.SMOKER, C.ATTAINED_AGE, C.FACE_BAND]
+    study = cut_lineage(cells(spark, d, keys))
+    model = _saturated(cut_lineage(study_cells(subset(study, C.TRAIN), [C.SEX, C.SMOKER]).drop(C.DATASET)))
+    fitted = cut_lineage(model.predict(study, exposure=C.EXPECTED, output="model_pred").drop(C.EXPECTED))
+    out = None
+    for dataset in (C.TRAIN, C.TEST):
+        found = tree.fit_residual_tree(subset(fitted, dataset).drop(C.DATASET), C.ACTUAL, "model_pred").to_frame(spark)
+        rows = found.select(F.lit(dataset).alias(C.DATASET), "nodeid", "depth", "feature", "threshold", "gain", "leaf")
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(rounded(out, ["gain"], 2), ["leaf"], 4)
+
+
 def boost_wide_feature(spark: SparkSession, d: str) -> DataFrame:
     """Bin cuts of a column with far more values than bins, weighted by its rows."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("double").alias("order"), F.col("l_linenumber").alias("line"))
@@ -689,6 +729,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "boost_full": boost_full,
         "boost_to_stop": boost_to_stop,
         "boost_predict": boost_predict,
+        "boost_roundtrip": boost_roundtrip,
+        "scoring_schema": scoring_schema_query,
+        "residual_tree_fitted": residual_tree_fitted,
         "boost_wide_feature": boost_wide_feature,
         "boost_predict_long": boost_predict_long,
         "score_expr": score_expr,

@@ -9,6 +9,7 @@ from aestudy.operators.design import Cat, Component, Design, Num, Spline
 from aestudy.operators.encode import EncodedColumn
 from aestudy.operators.glm import GLMPath
 from aestudy.operators.tree import NODE_SCHEMA, Node, Tree
+from aestudy.sources.tables import overwrite_parquet, sample_input, scoring_schema
 
 TERMS_SCHEMA = (
     "term int, place int, kind string, var string, baseline string, df int, lower double, upper double, "
@@ -108,10 +109,15 @@ def trees_from(nodes: DataFrame) -> list[Tree]:
     return [Tree(trees[i]) for i in sorted(trees)]
 
 
-def save_model(spark: SparkSession, model: GLMPath | BoostModel, path: str) -> None:
+def save_model(spark: SparkSession, model: GLMPath | BoostModel, path: str, training: DataFrame | None = None) -> None:
+    """Write a model; with its ``training`` rows also its input and output schema and a sample of the input."""
     kind = "glm" if isinstance(model, GLMPath) else "boost"
     (save_glm if kind == "glm" else save_boost)(spark, model, path)
     _write(spark, [(kind, list(model.input_cols))], "kind string, input_cols array<string>", f"{path}/model")
+    if training is not None:
+        schemas = scoring_schema(training, model.input_cols)
+        _write(spark, sorted(schemas.items()), "role string, schema string", f"{path}/schema")
+        overwrite_parquet(sample_input(training, model.input_cols), f"{path}/sample")
 
 
 def load_model(spark: SparkSession, path: str) -> GLMPath | BoostModel:
