@@ -177,9 +177,6 @@ class Design:
                     working[Atom(component, "", basis=i).slot] = b
         return df.withColumns(working) if working else df
 
-    def working_columns(self) -> list[str]:
-        return list(dict.fromkeys(a.slot for c in self.columns for a in c.atoms if a.slot))
-
     def feature(self, column: DesignColumn) -> Column:
         """A design column over the output of ``with_basis``; NULL if one of its variables is."""
         value = None

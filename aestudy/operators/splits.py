@@ -88,9 +88,9 @@ def describe_features(
     split = split_schema(df, response)
     if not split.numbers and not split.strings:
         raise ValueError("there is no feature column")
-    measures = [F.approx_count_distinct(number_value(c)).alias(f"n{i}") for i, c in enumerate(split.numbers)]
+    measures = [F.count_distinct(number_value(c)).alias(f"n{i}") for i, c in enumerate(split.numbers)]
     for i, c in enumerate(split.strings):
-        measures.append(F.approx_count_distinct(F.col("`" + c + "`")).alias(f"s{i}"))
+        measures.append(F.count_distinct(F.col("`" + c + "`")).alias(f"s{i}"))
         measures.append(F.min("`" + c + "`").alias(f"first{i}"))
     row = df.agg(*measures).first()
     wide_numbers = [c for i, c in enumerate(split.numbers) if row[f"n{i}"] > wide]

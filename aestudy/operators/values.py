@@ -9,11 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def level_frame(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-NULL values, sorted."""
-    return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
-
-
 def collect_levels(df: DataFrame, column: str, max_levels: int | None = None) -> list:
     """Sorted distinct non-NULL values; more than ``max_levels``, where given, raise instead of being gathered."""
     return [v for v in levels_of(df, [column], max_levels)[column] if v is not None]

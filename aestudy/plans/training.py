@@ -6,15 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from aestudy import columns as C
 from aestudy.operators.boost import BoostModel, fit_boost
-from aestudy.operators.design import Cat, Spline, Term, cross, fit_design
+from aestudy.operators.design import Cat, Spline, Term, cross, fit_design, term_name
 from aestudy.operators.encode import EncodedColumn, study_encoding
 from aestudy.operators.factors import FactorAnalysis
 from aestudy.operators.glm import GLMPath, best_alpha, fit_glm_path
 from aestudy.operators.study import actual_to_predicted, predicted_count, study_cells, subset
 from aestudy.operators.tree import Tree, fit_residual_tree, split_statistics
+from aestudy.sources.tables import record_run
 
 
 def study_terms() -> list[Term]:
@@ -61,11 +63,14 @@ def train_glm_study(
     keys: Sequence[str] = tuple(C.REGRESSION_KEYS),
     alphas: Sequence[float] | None = None,
     alpha_index: int | None = None,
+    records: str | None = None,
+    run_id: str = "glm",
 ) -> GLMStudy:
     """Fit the regression path on the training cells of a labelled study and diagnose it.
 
     The study is read once, into cells. Without ``alpha_index`` the penalty that explains most test
-    deviance is used (most training deviance when there are no test cells).
+    deviance is used (most training deviance when there are no test cells). With ``records`` the run's
+    terms, penalty and ratio are appended to the record tables there.
     """
     cells = study_cells(study, keys).persist()
     train, test = subset(cells, C.TRAIN), subset(cells, C.TEST)
@@ -82,6 +87,11 @@ def train_glm_study(
     tables = factors.factor_tables(complete)
     factors.check(complete, tables)
     ratio = actual_to_predicted(model.predict(complete, alpha_index), predicted_count()).first()
+    if records is not None:
+        chosen = model.index(alpha_index)
+        params = {"terms": " + ".join(term_name(t) for t in design.terms), "n_alphas": len(model.alphas), "alpha": model.alphas[chosen]}
+        scores = train_stats.where(F.col("alpha_index") == chosen).first()
+        record_run(study.sparkSession, records, run_id, params, {"predicted_over_actual": ratio["predicted_over_actual"], "train_d2": scores["d2"]})
     return GLMStudy(
         cells=cells,
         model=model,
@@ -102,15 +112,23 @@ def train_boost_study(
     study: DataFrame,
     encoding: Sequence[EncodedColumn] | None = None,
     keys: Sequence[str] = tuple(C.BOOST_KEYS),
+    records: str | None = None,
+    run_id: str = "boost",
     **options,
 ) -> tuple[BoostModel, float]:
-    """Boost on the training cells, stop on the test cells; also predicted/actual on the latter."""
+    """Boost on the training cells, stop on the test cells; also predicted/actual on the latter.
+
+    With ``records`` the run's parameters, best iteration and ratio are appended there.
+    """
     cells = study_cells(study, keys).persist()
     try:
         valid = subset(cells, C.TEST)
         model = fit_boost(subset(cells, C.TRAIN), valid, study_encoding() if encoding is None else encoding, **options)
         scored = model.predict(valid, exposure=C.EXPECTED)
         totals = actual_to_predicted(scored, C.PREDICTION).first()
+        if records is not None:
+            metrics = {"predicted_over_actual": totals["predicted_over_actual"], "best_iteration": model.best_iteration, "loss": model.history[model.best_iteration]}
+            record_run(study.sparkSession, records, run_id, {"inputs": ", ".join(model.input_cols), **options}, metrics)
         return model, totals["predicted_over_actual"]
     finally:
         cells.unpersist()

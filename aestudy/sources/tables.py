@@ -62,11 +62,6 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 
 
-def full_name(catalog: str, schema: str, table: str) -> str:
-    """Three-part table name from run parameters."""
-    return f"{catalog}.{schema}.{table}"
-
-
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
 
@@ -115,6 +110,12 @@ def params_frame(spark: SparkSession, run_id: str, params: Mapping[str, object])
     return spark.createDataFrame(rows, "run_id string, param string, value string")
 
 
+def record_run(spark: SparkSession, path: str, run_id: str, params: Mapping[str, object], metrics: Mapping[str, float]) -> None:
+    """Append a run's parameters and metrics to the record tables under ``path``."""
+    append_records(params_frame(spark, run_id, params), f"{path}/params")
+    append_records(metrics_frame(spark, run_id, metrics), f"{path}/metrics")
+
+
 def append_records(records: DataFrame, path: str) -> None:
     """Append run records; one small file per run."""
     records.coalesce(1).write.mode("append").parquet(path)

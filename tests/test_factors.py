@@ -24,16 +24,18 @@ def analysis(spark, model):
     return FactorAnalysis(spark, model, 1)
 
 
-def test_terms_are_grouped_greedily(analysis):
-    members = {frozenset(r.model_terms) for r in group_members(analysis.factor_map()).collect()}
-    assert members == {
-        frozenset(["intercept"]),
-        frozenset(
-            [AGE, "Smoker_Status", "Sex", f"{AGE}:Smoker_Status", f"{AGE}:Sex", "Smoker_Status:Sex", f"{AGE}:Smoker_Status:Sex"]
-        ),
-        frozenset(["Face_Amount_Band", "Face_Amount_Band:Sex"]),
-        frozenset(["Face_Amount_Band:Smoker_Status"]),
-    }
+def test_terms_join_the_widest_group_that_holds_their_variables(spark):
+    rows = [(a, b, c, d) for a in "pq" for b in "rs" for c in "tu" for d in (1, 2)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d int")
+    a, b, c, d = Cat("a"), Cat("b"), Cat("c"), Num("d")
+    design = fit_design(df, [(a,), (b,), (c,), (d,), (a, b), (b, c), (d, c)])
+    model = GLMPath(design, [0.0], [0.0], [[0.0] * len(design.columns)])
+    groups = {g: sorted({t for t in m if t != "intercept"}) for g, m in ((r.term_group, r.model_terms) for r in group_members(FactorAnalysis(spark, model).factor_map()).collect())}
+    # Three pairs are equally wide; each main effect goes to the first that holds it.
+    assert groups == {"intercept": [], "a_x_b": ["a", "a:b", "b"], "b_x_c": ["b:c", "c"], "c_x_d": ["d", "d:c"]}
+
+
+def test_groups_of_the_study_model(analysis):
     assert list(analysis.groups) == ["intercept", AGE_SMOKER_SEX, "Sex_x_Face_Amount_Band", "Smoker_Status_x_Face_Amount_Band"]
 
 

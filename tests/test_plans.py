@@ -100,8 +100,27 @@ def test_batch_scoring(spark, labelled, glm, tmp_path):
     assert run.totals["actual_over_predicted"] * run.totals["predicted_over_actual"] == pytest.approx(1.0)
     again = run_scoring(spark, str(tmp_path / "model"), "scoring_input", "scoring_output", alpha_index=0)
     assert again.totals["n_rows"] == run.totals["n_rows"] == labelled.count()
-    with pytest.raises(ValueError, match="must not be"):
-        run_scoring(spark, str(tmp_path / "model"), "scoring_input", "scoring_input")
+    for same in ("scoring_input", "SCORING_INPUT", "default.scoring_input", "`spark_catalog`.default.`scoring_input`"):
+        with pytest.raises(ValueError, match="must not be"):
+            run_scoring(spark, str(tmp_path / "model"), "scoring_input", same)
+
+
+def test_training_runs_leave_records(spark, labelled, tmp_path):
+    path = str(tmp_path / "records")
+    train_glm_study(labelled, alphas=[1e-1, 1e-3], alpha_index=1, records=path).close()
+    train_boost_study(labelled, records=path, run_id="b", max_rounds=1, learning_rate=0.3)
+    params = {(r.run_id, r.param): r.value for r in spark.read.parquet(f"{path}/params").collect()}
+    metrics = {(r.run_id, r.metric): r.value for r in spark.read.parquet(f"{path}/metrics").collect()}
+    assert params["glm", "alpha"] == "0.001" and params["b", "max_rounds"] == "1" and "Sex" in params["b", "inputs"]
+    assert metrics["glm", "predicted_over_actual"] == pytest.approx(1.0, abs=1e-9) and metrics["b", "best_iteration"] == 0
+
+
+def test_schema_and_sample_travel_with_a_model(spark, study, glm, tmp_path):
+    path = str(tmp_path / "described")
+    save_model(spark, glm, path, study)
+    roles = {r.role: r.schema for r in spark.read.parquet(f"{path}/schema").collect()}
+    assert set(roles) == {"inputs", "outputs"} and "Attained_Age" in roles["inputs"]
+    assert spark.read.parquet(f"{path}/sample").columns == glm.input_cols
 
 
 def test_glm_training_run(labelled):
