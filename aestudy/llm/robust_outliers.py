@@ -11,7 +11,8 @@ A step is one aggregation: distances fall into fine bins, sums are taken per gro
 running count over the few bins of a group says which bins are in. All rows count, no group is
 brought into one task, and the parameters reach the rows by a join that is salted, so that a source
 with a third of all rows is spread. Covariances are pulled towards a wide fixed one with the weight
-of ``PRIOR_ROWS`` rows, which keeps small or constant groups regular.
+of ``PRIOR_ROWS`` rows, which keeps small groups regular, and each variance has ``FLOOR`` added, which
+keeps constant statistics of large groups from rejecting texts for the least difference.
 
 Only DataFrame functions are used. Nulls: a null text has no words and fails the base rules; null
 languages and sources are groups of their own. Repeated rows are judged each.
@@ -37,6 +38,8 @@ BINS_PER_UNIT = 24
 PRIOR_ROWS = 20.0
 #: Variances of the fixed covariance, by transformed statistic.
 PRIOR = {"z_words": 1.5, "z_length": 0.03, "z_symbols": 1.0, "z_lines": 1.0, "z_repeats": 2.0}
+#: Least variances: a passage or line that occurs twice in a text is no outlier, even where no other text has any.
+FLOOR = {"z_words": 0.05, "z_length": 0.001, "z_symbols": 0.02, "z_lines": 0.06, "z_repeats": 0.3}
 NAMES = list(PRIOR)
 #: Squared distance at the 1 - 1e-6 quantile of chi-square with five degrees of freedom.
 CUTOFF = 35.9
@@ -127,7 +130,8 @@ def with_factor(moments: DataFrame, scale: float) -> DataFrame:
     for i, j in pairs():
         own = (F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * F.lit(scale)
         prior = PRIOR[NAMES[i]] * PRIOR_ROWS if i == j else 0.0
-        cov[f"v{i}_{j}"] = (own * F.col("n") + F.lit(prior)) / (F.col("n") + PRIOR_ROWS)
+        floor = FLOOR[NAMES[i]] if i == j else 0.0
+        cov[f"v{i}_{j}"] = (own * F.col("n") + F.lit(prior)) / (F.col("n") + PRIOR_ROWS) + F.lit(floor)
     df = df.withColumns(cov)
     for j in range(len(NAMES)):
         taken = [F.col(f"c{j}_{k}") * F.col(f"c{j}_{k}") for k in range(j)]

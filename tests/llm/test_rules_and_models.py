@@ -83,7 +83,7 @@ def brute_distances(rows, groups):
 
     def estimate(x, scale):
         cov = ((x.T @ x) / len(x) - np.outer(x.mean(0), x.mean(0))) * scale
-        return x.mean(0), (cov * len(x) + prior * weight) / (len(x) + weight)
+        return x.mean(0), (cov * len(x) + prior * weight) / (len(x) + weight) + np.diag(list(robust_outliers.FLOOR.values()))
 
     def distance(x, mean, cov):
         return ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1)
