@@ -1,14 +1,20 @@
 """Near duplicates by SimHash fingerprints and multi-index hashing.
 
-A fingerprint has a bit set where over half of the text's shingle hashes have it set. Fingerprints of
-64 bits are cut into segments; two that differ in at most ``radius`` bits differ in at most
-radius // segments bits of some segment. So each distinct fingerprint is entered once per segment
-into a table, and looks up the whole Hamming ball of that small radius around each of its own
-segments; what it meets is linked if the complete distance is at most ``radius``. With two segments
-of 32 bits and radius 3 that is 2 table rows and 66 lookups for each fingerprint, and chance
-meetings stay rare up to billions of fingerprints. Equal fingerprints are one node, so copies are
-never paired. Links are joined into components by alternating star contractions, whose number of
-rounds grows with the logarithm of the graph.
+A fingerprint has a bit set where over half of the text's shingle hashes have it set; it has one or
+more parts of 64 bits, each cut into segments. Two fingerprints that differ in at most ``radius``
+bits differ in at most radius // segments bits of some segment. So each distinct fingerprint enters a
+table and looks up small Hamming balls around each of its segments, and what it meets is linked if
+the complete distance is at most ``radius``. With two segments of 32 bits and radius 3 that is 2 table
+rows and 66 lookups for each fingerprint, and chance meetings stay rare up to billions of
+fingerprints. Where the radius is too large for that (128 bits), ``reach`` bounds the difference in
+the nearest segment, and a pair is missed with the chance that no segment is that near.
+
+Equal fingerprints are one node, so copies are never paired. First every node is linked to the
+smallest one that shares a segment with it, where they are near enough. Only nodes that are in
+different components after that are compared over the balls, so a group of near copies does
+not put out all its pairs. Links are joined into components by alternating star contractions, whose
+number of rounds grows with the logarithm of the graph. Nodes of several parts are numbered by a
+64-bit hash of them; two of them share a number with a chance of 2^-64.
 
 Words are maximal runs of characters other than space and tab to carriage return, with A-Z
 lower-cased; shingles are words joined by a space, repeats included. A text of fewer words is one
@@ -25,7 +31,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aestudy.llm.common import keyed_texts
@@ -36,48 +42,59 @@ SEED = 42
 BLOCK = 1 << 16
 
 
-def fingerprint_of(text: bytes, words: int) -> int:
-    """Unsigned 64-bit fingerprint of a UTF-8 text."""
+def fingerprint_of(text: bytes, words: int, lanes: int = 1) -> list[int]:
+    """Unsigned 64-bit parts of the fingerprint of a UTF-8 text; part i votes over hashes of seed 42 + i."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return [0] * lanes
     joined = b" ".join(parts)
+    seeds = range(SEED, SEED + lanes)
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return [xxhash.xxh64_intdigest(joined, seed) for seed in seeds]
     ends = [e - 1 for e in accumulate(len(p) + 1 for p in parts)]
     starts = [0, *(e + 1 for e in ends[:-1])]
     total = len(parts) - words + 1
-    counts = np.zeros(64, dtype=np.int64)
+    counts = np.zeros((lanes, 64), dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, total, BLOCK):
         stop = min(at + BLOCK, total)
-        spans = zip(starts[at:stop], ends[at + words - 1 : stop + words - 1])
-        hashes = np.array([digest(joined[a:e], SEED) for a, e in spans], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+        shingles = [joined[a:e] for a, e in zip(starts[at:stop], ends[at + words - 1 : stop + words - 1])]
+        for lane, seed in enumerate(seeds):
+            hashes = np.array([digest(shingle, seed) for shingle in shingles], dtype="<u8")
+            counts[lane] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, the fingerprint's bits as a signed long and the text's SHA-256, one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
+    """doc_id, the fingerprint's parts as signed longs bits0, bits1, ... and the text's SHA-256, one row per row of ``docs``."""
     if words < 1:
         raise ValueError("a shingle has at least one word")
+    if lanes < 1:
+        raise ValueError("a fingerprint has at least one part")
     rows = keyed_texts(docs, id_col, text_col)
+    names = parts_of(lanes)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits, digests = [], []
             for text in batch.column(1).cast(pa.binary()):
                 whole = text.as_py()
-                bits.append(fingerprint_of(whole, words))
+                bits.append(fingerprint_of(whole, words, lanes))
                 digests.append(hashlib.sha256(whole).digest())
-            signed = pa.array(np.array(bits, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed, pa.array(digests, pa.binary())], names=["doc_id", "bits", "digest"])
+            signed = np.array(bits, dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(signed[:, lane])) for lane in range(lanes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests, pa.binary())], names=["doc_id", *names, "digest"])
 
-    return rows.mapInArrow(mark, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bits long, digest binary")
+    longs = ", ".join(f"{name} long" for name in names)
+    return rows.mapInArrow(mark, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {longs}, digest binary")
+
+
+def parts_of(lanes: int) -> list[str]:
+    return [f"bits{lane}" for lane in range(lanes)]
 
 
 def segment_bounds(segments: int) -> list[tuple[int, int]]:
-    """First bit and width of each segment."""
+    """First bit and width of each segment of 64 bits."""
     edges = [round(64 * i / segments) for i in range(segments + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
@@ -87,23 +104,45 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def links(nodes: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
-    """Pairs (low, high) of distinct fingerprints in column ``bits`` that differ in at most ``radius`` bits."""
-    bounds = segment_bounds(segments)
+def entries(nodes: DataFrame, lanes: int, segments: int, reach: int) -> DataFrame:
+    """The rows of ``nodes`` once per segment and value within ``reach`` bits of their own, with columns segment and value."""
+    rows = []
+    for lane, name in enumerate(parts_of(lanes)):
+        for s, (first, width) in enumerate(segment_bounds(segments)):
+            value = F.shiftrightunsigned(F.col(name), first).bitwiseAND(F.lit((1 << width) - 1))
+            rows += [F.struct(F.lit(lane * segments + s).alias("segment"), value.bitwiseXOR(F.lit(m)).alias("value")) for m in ball(width, reach)]
+    return nodes.select("*", F.explode(F.array(*rows)).alias("entry")).select(*nodes.columns, "entry.segment", "entry.value")
+
+
+def distance(low: str, high: str, lanes: int) -> Column:
+    """Bits in which the fingerprints of two struct columns or aliases differ."""
+    return sum((F.bit_count(F.col(f"{low}.{name}").bitwiseXOR(F.col(f"{high}.{name}"))) for name in parts_of(lanes)), F.lit(0))
+
 
-    def entries(masks: list[list[int]], bits: str) -> DataFrame:
-        parts = []
-        for s, (first, width) in enumerate(bounds):
-            value = F.shiftrightunsigned(F.col("bits"), first).bitwiseAND(F.lit((1 << width) - 1))
-            parts += [F.struct(F.lit(s).alias("segment"), value.bitwiseXOR(F.lit(m)).alias("value")) for m in masks[s]]
-        rows = nodes.select(F.col("bits").alias(bits), F.explode(F.array(*parts)).alias("entry"))
-        return rows.select(bits, "entry.segment", "entry.value")
+def star_links(nodes: DataFrame, radius: int, lanes: int, segments: int) -> DataFrame:
+    """Pairs (low, high) of a node and the smallest node with an equal segment, where their complete distance is at most ``radius``.
 
-    table = entries([[0]] * segments, "low")
-    probes = entries([ball(width, radius // segments) for _, width in bounds], "high")
-    distance = F.bit_count(F.col("low").bitwiseXOR(F.col("high")))
-    meet = (table["segment"] == probes["segment"]) & (table["value"] == probes["value"]) & (F.col("low") < F.col("high")) & (distance <= radius)
-    return table.join(probes, meet).select("low", "high").distinct()
+    One pair per row at most, so a group of near copies is mostly one component before any two of its
+    members are compared with each other.
+    """
+    rows = entries(nodes, lanes, segments, 0)
+    heads = rows.groupBy("segment", "value").agg(F.min(F.struct("node", *parts_of(lanes))).alias("head"))
+    near = (F.col("head.node") < F.col("row.node")) & (distance("head", "row", lanes) <= radius)
+    return rows.alias("row").join(heads, ["segment", "value"]).where(near).select(F.col("head.node").alias("low"), F.col("row.node").alias("high")).distinct()
+
+
+def links(nodes: DataFrame, radius: int = 3, segments: int = 2, lanes: int = 1, reach: int | None = None) -> DataFrame:
+    """Pairs (low, high) of different roots with nodes (node, root, bits0, ...) that differ in at most ``radius`` bits.
+
+    A pair is met if some segment of it differs in at most ``reach`` bits. Both sides enter balls, of
+    half the reach each, so that a reach of two costs one bit on either side.
+    """
+    if reach is None:
+        reach = radius // (segments * lanes)
+    low, high = entries(nodes, lanes, segments, reach // 2).alias("low"), entries(nodes, lanes, segments, reach - reach // 2).alias("high")
+    same = (F.col("low.segment") == F.col("high.segment")) & (F.col("low.value") == F.col("high.value"))
+    met = low.join(high, same & (F.col("low.root") < F.col("high.root")) & (distance("low", "high", lanes) <= radius))
+    return met.select(F.col("low.root").alias("low"), F.col("high.root").alias("high")).distinct()
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -136,22 +175,36 @@ def near_groups(
     words: int = 3,
     radius: int = 3,
     segments: int = 2,
+    lanes: int = 1,
+    reach: int | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits a part), component_id, kept, text_sha256.
 
     component_id is the smallest identifier reachable over links, the row's own included; the row that
-    has it is kept, of several such rows those with the smallest text digest.
+    has it is kept, of several such rows those with the smallest text digest. Fingerprints have
+    ``lanes`` parts of 64 bits, each of ``segments`` segments. Without ``reach`` every pair within
+    ``radius`` bits is linked; with it, those with a segment that differs in at most ``reach`` bits.
     """
-    marked = cut_lineage(fingerprints(docs, id_col, text_col, words))
+    parts = parts_of(lanes)
+    node = F.col("bits0") if lanes == 1 else F.xxhash64(*parts)
+    marked = cut_lineage(fingerprints(docs, id_col, text_col, words, lanes).withColumn("node", node))
     own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")
-    nodes = cut_lineage(marked.groupBy("bits").agg(F.min(own).alias("first")))
-    roots = contract(links(nodes.select("bits"), radius, segments))
-    rooted = nodes.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("stays"))
-    labels = rooted.join(smallest, "root").select("bits", "stays")
-    return marked.join(labels, "bits").select(
+    nodes = cut_lineage(marked.groupBy("node", *parts).agg(F.min(own).alias("first")))
+
+    def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        roots = contract(edges).withColumnRenamed("root", "lower")
+        joined = rows.join(roots, rows["root"] == roots["node"], "left")
+        return joined.select(*(rows[c] for c in rows.columns if c != "root"), F.coalesce("lower", rows["root"]).alias("root"))
+
+    bits = nodes.select("node", *parts)
+    starred = cut_lineage(rooted(bits.withColumn("root", F.col("node")), star_links(bits, radius, lanes, segments)))
+    grouped = rooted(starred, links(starred, radius, segments, lanes, reach)).select("node", *parts, "root")
+    firsts = nodes.join(grouped, ["node", *parts])
+    smallest = firsts.groupBy("root").agg(F.min("first").alias("stays"))
+    labels = firsts.join(smallest, "root").select("node", *parts, "stays")
+    return marked.join(labels, ["node", *parts]).select(
         "doc_id",
-        F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
+        F.lower(F.concat(*(F.lpad(F.hex(p), 16, "0") for p in parts))).alias("fingerprint"),
         F.col("stays.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("digest") == F.col("stays.digest"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),

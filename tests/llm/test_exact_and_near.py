@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import cases
@@ -44,7 +45,7 @@ def test_no_python_in_the_dedup_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def brute_fingerprint(text, words):
+def brute_fingerprint(text, words, lanes=1):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     parts, word = [], ""
     for c in lowered + " ":
@@ -56,28 +57,57 @@ def brute_fingerprint(text, words):
     if not parts:
         return 0
     shingles = [" ".join(parts[i : i + words]) for i in range(len(parts) - words + 1)] or [" ".join(parts)]
-    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    whole = 0
+    for lane in range(lanes):
+        hashes = [xxhash.xxh64(s.encode(), seed=42 + lane).intdigest() for s in shingles]
+        whole |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << 64 * lane
+    return whole
 
 
-@pytest.mark.parametrize("words,radius,segments", [(3, 3, 2), (5, 5, 3), (2, 8, 4)])
-def test_components_equal_brute_force(spark, words, radius, segments):
+def hex_parts(fingerprint, lanes):
+    return "".join(f"{fingerprint >> 64 * lane & 2**64 - 1:016x}" for lane in range(lanes))
+
+
+def brute_links(prints, radius, segments=1, lanes=1, reach=None):
+    """Whether two fingerprints are linked, as a function of their places."""
+    cuts = [(64 * lane + a, w) for lane in range(lanes) for a, w in simhash.segment_bounds(segments)]
+
+    def linked(a, b):
+        apart = prints[a] ^ prints[b]
+        if bin(apart).count("1") > radius:
+            return False
+        return reach is None or any(bin(apart >> at & (1 << w) - 1).count("1") <= reach for at, w in cuts)
+
+    return linked
+
+
+def brute_labels(names, linked):
+    """The smallest name reachable from each place."""
+    label = list(names)
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(label)):
+            for b in range(a):
+                if label[a] != label[b] and linked(a, b):
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    return label
+
+
+@pytest.mark.parametrize("words,radius,segments,lanes,reach", [(3, 3, 2, 1, None), (5, 5, 3, 1, None), (2, 8, 4, 1, None), (5, 19, 3, 2, 2), (3, 30, 4, 2, 1)])
+def test_components_equal_brute_force(spark, words, radius, segments, lanes, reach):
     rows = cases.texts()
     for k in range(12):  # a chain of small changes
         rows.append((100 + k, cases.words(400, 9).replace("w3", "q" * k + "w3", k)))
-    prints = [brute_fingerprint(t or "", words) for _, t in rows]
-    label = list(range(len(rows)))
-    for _ in rows:
-        for a in range(len(rows)):
-            for b in range(len(rows)):
-                if bin(prints[a] ^ prints[b]).count("1") <= radius:
-                    label[a] = label[b] = min(label[a], label[b])
+    prints = [brute_fingerprint(t or "", words, lanes) for _, t in rows]
+    label = brute_labels(range(len(rows)), brute_links(prints, radius, segments, lanes, reach))
     smallest = {}
     for (i, _), own in zip(rows, label):
         if i is not None:
             smallest[own] = min(smallest.get(own, i), i)
-    expected = sorted(((i, f"{p:016x}", smallest.get(own)) for (i, _), p, own in zip(rows, prints, label)), key=key)
-    found = simhash.near_groups(cases.frame(spark, rows), words=words, radius=radius, segments=segments).collect()
+    expected = sorted(((i, hex_parts(p, lanes), smallest.get(own)) for (i, _), p, own in zip(rows, prints, label)), key=key)
+    found = simhash.near_groups(cases.frame(spark, rows), words=words, radius=radius, segments=segments, lanes=lanes, reach=reach).collect()
     assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in found), key=key) == expected
     kept = defaultdict(set)
     for r in found:
@@ -86,6 +116,24 @@ def test_components_equal_brute_force(spark, words, radius, segments):
     assert len(kept) == len(set(label)) and all(len(v) == 1 for v in kept.values())
 
 
+def test_edited_copies_are_found_and_others_left_alone(spark):
+    rng = random.Random(5)
+    texts = []
+    for k in range(60):
+        base = [f"{k}x{rng.randrange(500)}" for _ in range(400)]
+        near, far = list(base), list(base)
+        for at in rng.sample(range(400), 5):  # 5 words change 25 of some 400 shingles
+            near[at] = "changed"
+        for at in rng.sample(range(400), 60):
+            far[at] = "rewritten" + str(at)
+        for copy in (base, near, far):
+            texts.append((len(texts), " ".join(copy)))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(cases.frame(spark, texts), words=5, radius=19, segments=3, lanes=2, reach=2).collect()}
+    wanted = [found[i + 1] == i for i in range(0, 180, 3)]
+    assert sum(wanted) >= 57
+    assert all(found[i] == i for i in range(0, 180, 3)) and all(found[i] == i for i in range(2, 180, 3))
+
+
 def test_ball_and_segments_cover_the_radius():
     assert len(simhash.ball(32, 1)) == 33 and len(simhash.ball(16, 2)) == 137
     assert simhash.segment_bounds(3) == [(0, 21), (21, 22), (43, 21)]

@@ -8,7 +8,7 @@ import pytest
 
 from aestudy.llm import quality_gbt, secret_scan
 from aestudy.sources.checkpoints import scratch_path
-from test_exact_and_near import brute_fingerprint
+from test_exact_and_near import brute_fingerprint, brute_labels, brute_links
 from test_rules_and_models import SF
 
 
@@ -39,15 +39,8 @@ def test_stages_equal_brute_force(spark):
     assert {r["doc_id"] for r in exact.collect()} == expected
 
     own = sorted(expected)
-    prints = [brute_fingerprint(rows[i], 5) for i in own]
-    label = list(own)
-    for _ in own:
-        for a in range(len(own)):
-            for b in range(a):
-                if bin(prints[a] ^ prints[b]).count("1") <= 5:
-                    label[a] = label[b] = min(label[a], label[b])
-        if all(x == y or bin(p ^ q).count("1") > 5 for p, x in zip(prints, label) for q, y in zip(prints, label)):
-            break
+    prints = [brute_fingerprint(rows[i], 5, 2) for i in own]
+    label = brute_labels(own, brute_links(prints, 19, 3, 2, 2))
     expected = set(label)
     assert {r["doc_id"] for r in near.collect()} == expected
 
