@@ -16,6 +16,11 @@ not put out all its pairs. Links are joined into components by alternating star
 number of rounds grows with the logarithm of the graph. Nodes of several parts are numbered by a
 64-bit hash of them; two of them share a number with a chance of 2^-64.
 
+With a ``similarity`` the fingerprints only nominate: they are taken over distinct shingles, each
+distinct set of shingles is a node, and two nodes that meet within ``radius`` bits are linked where the
+Jaccard similarity of their sets, computed from the texts, reaches it. Sets are compared by 64-bit
+hashes of the shingles. Sets whose sizes alone rule the similarity out do not meet.
+
 Words are maximal runs of characters other than space and tab to carriage return, with A-Z
 lower-cased; shingles are words joined by a space, repeats included. A text of fewer words is one
 shingle; a text without words has the fingerprint zero, which links like any other. Null texts are
@@ -25,7 +30,9 @@ empty; a null identifier gets the component of its fingerprint, null if no membe
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -42,31 +49,63 @@ SEED = 42
 BLOCK = 1 << 16
 
 
-def fingerprint_of(text: bytes, words: int, lanes: int = 1) -> list[int]:
-    """Unsigned 64-bit parts of the fingerprint of a UTF-8 text; part i votes over hashes of seed 42 + i."""
+def shingled(text: bytes, words: int) -> tuple[bytes, list[int], list[int]]:
+    """The words of a UTF-8 text joined by a space, and where each shingle starts and ends in it."""
     parts = text.lower().split()
-    if not parts:
-        return [0] * lanes
     joined = b" ".join(parts)
-    seeds = range(SEED, SEED + lanes)
     if len(parts) <= words:
-        return [xxhash.xxh64_intdigest(joined, seed) for seed in seeds]
+        return joined, [0] * bool(parts), [len(joined)] * bool(parts)
     ends = [e - 1 for e in accumulate(len(p) + 1 for p in parts)]
     starts = [0, *(e + 1 for e in ends[:-1])]
-    total = len(parts) - words + 1
+    return joined, starts[: len(parts) - words + 1], ends[words - 1 :]
+
+
+def fingerprint_of(text: bytes, words: int, lanes: int = 1) -> list[int]:
+    """Unsigned 64-bit parts of the fingerprint of a UTF-8 text; part i votes over hashes of seed 42 + i."""
+    joined, starts, ends = shingled(text, words)
+    return votes(joined, starts, ends, lanes)
+
+
+def votes(joined: bytes, starts: list[int], ends: list[int], lanes: int) -> list[int]:
+    total = len(starts)
     counts = np.zeros((lanes, 64), dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, total, BLOCK):
-        stop = min(at + BLOCK, total)
-        shingles = [joined[a:e] for a, e in zip(starts[at:stop], ends[at + words - 1 : stop + words - 1])]
-        for lane, seed in enumerate(seeds):
-            hashes = np.array([digest(shingle, seed) for shingle in shingles], dtype="<u8")
+        shingles = [joined[a:e] for a, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])]
+        for lane in range(lanes):
+            hashes = np.array([digest(shingle, SEED + lane) for shingle in shingles], dtype="<u8")
             counts[lane] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
-    """doc_id, the fingerprint's parts as signed longs bits0, bits1, ... and the text's SHA-256, one row per row of ``docs``."""
+def shingle_hashes(joined: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:e], SEED) for a, e in zip(starts, ends)), dtype="<u8", count=len(starts))
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    return np.unique(shingle_hashes(*shingled(text, words)))
+
+
+def set_fingerprint(text: bytes, words: int, lanes: int) -> tuple[list[int], int, int]:
+    """The fingerprint over distinct shingles, their number, and a signed 64-bit name of their set."""
+    joined, starts, ends = shingled(text, words)
+    own, first = np.unique(shingle_hashes(joined, starts, ends), return_index=True)
+    name = int.from_bytes(hashlib.sha256(own.tobytes()).digest()[:8], "little", signed=True)
+    return votes(joined, [starts[i] for i in first], [ends[i] for i in first], lanes), len(own), name
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
+    """Whether two sets of hashes have at least this Jaccard similarity."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * least.denominator >= (len(a) + len(b) - common) * least.numerator
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, sets: bool = False) -> DataFrame:
+    """doc_id, the fingerprint's parts as signed longs bits0, bits1, ... and the text's SHA-256, one row per row of ``docs``.
+
+    ``sets``: over distinct shingles, with their number (size) and the name of their set (node).
+    """
     if words < 1:
         raise ValueError("a shingle has at least one word")
     if lanes < 1:
@@ -76,15 +115,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, digests = [], []
+            bits, digests, sizes, nodes = [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 whole = text.as_py()
-                bits.append(fingerprint_of(whole, words, lanes))
+                if sets:
+                    own, size, node = set_fingerprint(whole, words, lanes)
+                    sizes.append(size)
+                    nodes.append(node)
+                else:
+                    own = fingerprint_of(whole, words, lanes)
+                bits.append(own)
                 digests.append(hashlib.sha256(whole).digest())
             signed = np.array(bits, dtype=np.uint64).reshape(-1, lanes).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(signed[:, lane])) for lane in range(lanes)]
+            columns += [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())] if sets else []
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests, pa.binary())], names=["doc_id", *names, "digest"])
 
+    names += ["size", "node"] if sets else []
     longs = ", ".join(f"{name} long" for name in names)
     return rows.mapInArrow(mark, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {longs}, digest binary")
 
@@ -106,12 +153,16 @@ def ball(width: int, radius: int) -> list[int]:
 
 def entries(nodes: DataFrame, lanes: int, segments: int, reach: int) -> DataFrame:
     """The rows of ``nodes`` once per segment and value within ``reach`` bits of their own, with columns segment and value."""
-    rows = []
+    rows, widths = [], {width for _, width in segment_bounds(segments)}
     for lane, name in enumerate(parts_of(lanes)):
         for s, (first, width) in enumerate(segment_bounds(segments)):
             value = F.shiftrightunsigned(F.col(name), first).bitwiseAND(F.lit((1 << width) - 1))
-            rows += [F.struct(F.lit(lane * segments + s).alias("segment"), value.bitwiseXOR(F.lit(m)).alias("value")) for m in ball(width, reach)]
-    return nodes.select("*", F.explode(F.array(*rows)).alias("entry")).select(*nodes.columns, "entry.segment", "entry.value")
+            rows.append(F.struct(F.lit(lane * segments + s).alias("segment"), F.lit(width).alias("width"), value.alias("value")))
+    own = nodes.select("*", F.explode(F.array(*rows)).alias("entry"))
+    if not reach:
+        return own.select(*nodes.columns, "entry.segment", "entry.value")
+    masks = F.coalesce(*(F.when(F.col("entry.width") == w, F.array(*(F.lit(m).cast("long") for m in ball(w, reach)))) for w in sorted(widths)))
+    return own.select("*", F.explode(masks).alias("mask")).select(*nodes.columns, "entry.segment", F.col("entry.value").bitwiseXOR(F.col("mask")).alias("value"))
 
 
 def distance(low: str, high: str, lanes: int) -> Column:
@@ -145,6 +196,62 @@ def links(nodes: DataFrame, radius: int = 3, segments: int = 2, lanes: int = 1,
     return met.select(F.col("low.root").alias("low"), F.col("high.root").alias("high")).distinct()
 
 
+def banded(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``nodes`` with a band of their size; sets of at least this similarity are in one band or in neighbouring ones."""
+    step = -math.log(similarity) + 1e-9
+    return nodes.withColumn("band", F.when(F.col("size") > 0, F.floor(F.log("size") / step)).otherwise(F.lit(-2)))
+
+
+def star_candidates(nodes: DataFrame, radius: int, lanes: int, segments: int) -> DataFrame:
+    """Pairs (low, high) as in ``star_links``, of nodes with (node, band, bits0, ...), the heads taken by band."""
+    rows = entries(nodes, lanes, segments, 0)
+    heads = rows.groupBy("segment", "value", "band").agg(F.min(F.struct("node", *parts_of(lanes))).alias("head"))
+    near = (F.col("head.node") < F.col("row.node")) & (distance("head", "row", lanes) <= radius)
+    met = rows.alias("row").join(heads, ["segment", "value", "band"]).where(near)
+    return met.select(F.col("head.node").alias("low"), F.col("row.node").alias("high")).distinct()
+
+
+def candidates(nodes: DataFrame, radius: int, segments: int, lanes: int, reach: int | None = None) -> DataFrame:
+    """Pairs (low, high) of nodes (node, root, band, bits0, ...) with different roots, in one band or in neighbouring ones, that differ in at most ``radius`` bits and meet as in ``links``."""
+    if reach is None:
+        reach = radius // (segments * lanes)
+    wide = nodes.withColumn("band", F.explode(F.array(*(F.col("band") + F.lit(k) for k in (-1, 0, 1)))))
+    place = F.shiftleft(F.col("band") * (segments * lanes) + F.col("segment"), 32).bitwiseXOR(F.col("value")) if segments > 1 else F.struct("band", "segment", "value")
+
+    def keyed(rows: DataFrame, reach: int) -> DataFrame:
+        return entries(rows, lanes, segments, reach).select("node", "root", *parts_of(lanes), place.alias("place"))
+
+    low, high = keyed(wide, reach // 2).alias("low"), keyed(nodes, reach - reach // 2).alias("high")
+    same = F.col("low.place") == F.col("high.place")
+    met = low.join(high, same & (F.col("low.root") < F.col("high.root")) & (distance("low", "high", lanes) <= radius))
+    return met.select(F.col("low.node").alias("low"), F.col("high.node").alias("high")).distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """The pairs (low, high) of nodes (node, first) whose texts have at least the Jaccard similarity."""
+    pairs = cut_lineage(pairs)
+    least = Fraction(str(similarity))
+    met = pairs.select(F.col("low").alias("node")).union(pairs.select(F.col("high").alias("node"))).distinct()
+    wanted = nodes.join(met, "node").select("node", F.col("first.digest").alias("digest"))
+    own = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = own.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    texts = cut_lineage(own.join(wanted, "digest").dropDuplicates(["node"]).select("node", "text"))
+    high = pairs.join(texts.select(F.col("node").alias("high"), F.col("text").alias("high_text")), "high")
+    both = high.join(texts.select(F.col("node").alias("low"), F.col("text").alias("low_text")), "low")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            keep = []
+            for low, low_text, high_text in zip(*(batch.column(k) for k in (0, 2, 3))):
+                if low.as_py() != last:
+                    last, own = low.as_py(), shingle_set(low_text.as_py().encode(), words)
+                keep.append(similar(own, shingle_set(high_text.as_py().encode(), words), least))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["low", "high"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("low", "high", "low_text", "high_text").mapInArrow(check, "low long, high long")
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (low, high): root is the smallest node reachable.
 
@@ -177,6 +284,7 @@ def near_groups(
     segments: int = 2,
     lanes: int = 1,
     reach: int | None = None,
+    similarity: float | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits a part), component_id, kept, text_sha256.
 
@@ -184,21 +292,38 @@ def near_groups(
     has it is kept, of several such rows those with the smallest text digest. Fingerprints have
     ``lanes`` parts of 64 bits, each of ``segments`` segments. Without ``reach`` every pair within
     ``radius`` bits is linked; with it, those with a segment that differs in at most ``reach`` bits.
+    With ``similarity``, of these pairs those whose distinct shingles have that Jaccard similarity.
     """
+    if similarity is not None and not 0 < similarity < 1:
+        raise ValueError("a similarity is between 0 and 1")
     parts = parts_of(lanes)
-    node = F.col("bits0") if lanes == 1 else F.xxhash64(*parts)
-    marked = cut_lineage(fingerprints(docs, id_col, text_col, words, lanes).withColumn("node", node))
+    marked = fingerprints(docs, id_col, text_col, words, lanes, sets=similarity is not None)
+    if similarity is None:
+        marked = marked.withColumn("node", F.col("bits0") if lanes == 1 else F.xxhash64(*parts))
+    marked = cut_lineage(marked)
     own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")
-    nodes = cut_lineage(marked.groupBy("node", *parts).agg(F.min(own).alias("first")))
+    sizes = [] if similarity is None else ["size"]
+    nodes = cut_lineage(marked.groupBy("node", *parts, *sizes).agg(F.min(own).alias("first")))
 
     def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
         roots = contract(edges).withColumnRenamed("root", "lower")
         joined = rows.join(roots, rows["root"] == roots["node"], "left")
         return joined.select(*(rows[c] for c in rows.columns if c != "root"), F.coalesce("lower", rows["root"]).alias("root"))
 
-    bits = nodes.select("node", *parts)
-    starred = cut_lineage(rooted(bits.withColumn("root", F.col("node")), star_links(bits, radius, lanes, segments)))
-    grouped = rooted(starred, links(starred, radius, segments, lanes, reach)).select("node", *parts, "root")
+    if similarity is None:
+        bits = nodes.select("node", *parts)
+        stars = star_links(bits, radius, lanes, segments)
+    else:
+        bits = cut_lineage(banded(nodes.select("node", "size", *parts), similarity))
+        stars = verified(star_candidates(bits, radius, lanes, segments), nodes, docs, text_col, words, similarity)
+    starred = cut_lineage(rooted(bits.withColumn("root", F.col("node")), stars))
+    if similarity is None:
+        edges = links(starred, radius, segments, lanes, reach)
+    else:
+        pairs = verified(candidates(starred, radius, segments, lanes, reach), nodes, docs, text_col, words, similarity)
+        of = [starred.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")) for side in ("low", "high")]
+        edges = pairs.join(of[0], "low").join(of[1], "high").select(F.col("low_root").alias("low"), F.col("high_root").alias("high")).distinct()
+    grouped = rooted(starred, edges).select("node", *parts, "root")
     firsts = nodes.join(grouped, ["node", *parts])
     smallest = firsts.groupBy("root").agg(F.min("first").alias("stays"))
     labels = firsts.join(smallest, "root").select("node", *parts, "stays")

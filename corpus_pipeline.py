@@ -27,11 +27,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays.
 
-    Fingerprints are over five-word shingles and have 128 bits, in six segments of 21 and 22. They link
-    at up to 19 differing bits, an estimated cosine of 0.89 between shingle counts, for texts of
-    one length a Jaccard similarity of 0.8; a pair is met if a segment differs in at most two bits.
+    Near copies have a Jaccard similarity of at least 0.8 over their distinct five-word shingles, computed
+    from the texts. Which texts are compared is told by fingerprints of 256 bits in sixteen segments: those
+    that differ in at most 64 bits, and in at most one bit of some segment.
     """
-    return keep_rows(docs, simhash.near_groups(docs, words=5, radius=19, segments=3, lanes=2, reach=2))
+    return keep_rows(docs, simhash.near_groups(docs, words=5, radius=64, segments=4, lanes=4, reach=1, similarity=0.8))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

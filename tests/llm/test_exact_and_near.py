@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import cases
+import corpus_pipeline
 import pytest
 import xxhash
 
@@ -134,6 +135,35 @@ def test_edited_copies_are_found_and_others_left_alone(spark):
     assert all(found[i] == i for i in range(0, 180, 3)) and all(found[i] == i for i in range(2, 180, 3))
 
 
+def brute_set(text):
+    parts = text.lower().split()
+    return {" ".join(parts[i : i + 5]) for i in range(len(parts) - 4)}
+
+
+def test_pipeline_stage_links_by_the_similarity_of_the_texts(spark):
+    rng = random.Random(11)
+    texts, wanted = [], {}
+    for k in range(80):
+        base = [f"{k}x{rng.randrange(500)}" for _ in range(400)]
+        copy = list(base)
+        if k % 2:
+            copy += [f"{k}y{rng.randrange(500)}" for _ in range((65, 120)[k // 2 % 2])]
+        else:
+            for at in rng.sample(range(400), (8, 12)[k // 2 % 2]):
+                copy[at] = f"changed{at}"
+        if k % 10 == 0:  # repeated lines do not count
+            copy += copy[:100] * 12
+        a, b = brute_set(" ".join(base)), brute_set(" ".join(copy))
+        wanted[len(texts) + 1] = len(a & b) / len(a | b) >= 0.8
+        texts += [(len(texts), " ".join(base)), (len(texts) + 1, " ".join(copy))]
+    assert 20 < sum(wanted.values()) < 60
+    docs = cases.frame(spark, texts)
+    kept = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()}
+    assert [i for i, near in wanted.items() if not near and i not in kept] == []
+    assert [i for i, near in wanted.items() if near and i in kept] == []
+    assert set(range(0, 160, 2)) <= kept
+
+
 def test_ball_and_segments_cover_the_radius():
     assert len(simhash.ball(32, 1)) == 33 and len(simhash.ball(16, 2)) == 137
     assert simhash.segment_bounds(3) == [(0, 21), (21, 22), (43, 21)]
