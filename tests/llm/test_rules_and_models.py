@@ -270,6 +270,29 @@ def test_network_finds_keys_without_a_pattern(spark):
     assert clean[1001]["text"] == rows[-1][1] and "AKIA" not in clean[2]["text"]
 
 
+def test_a_key_late_in_a_long_token_is_found():
+    class Finder:
+        threshold = 0.5
+
+        def probability(self, windows):
+            return np.array([float("X7Q9ZK2M" in w) for w in windows])
+
+    path = "plain/words/" * 6
+    late = path + "X7Q9ZK2M" + path
+    assert secret_scan.find_spans(["see " + late + " there"], Finder()) == [[(4, 3, 4 + len(late))]]
+    assert secret_scan.find_spans(["see " + path + " there"], Finder()) == [[]]
+
+
+def test_windows_cover_the_whole_token():
+    token = "".join(chr(0x100 + i) for i in range(150))
+    for n in (16, 44, 45, 66, 67, 150):
+        text = "b" * 30 + token[:n] + "a" * 30
+        windows = secret_scan.windows_of(text, 30, 30 + n)
+        own = [w[secret_scan.BEFORE : secret_scan.BEFORE + secret_scan.WITHIN] for w in windows]
+        assert all(len(w) == secret_scan.WIDTH and w.strip("\0") in text for w in windows if n >= 44)
+        assert all(any(token[at : at + 16] in w for w in own) for at in range(n - 15))
+
+
 # --- quality ------------------------------------------------------------------------------------
 
 
