@@ -283,6 +283,20 @@ def test_a_key_late_in_a_long_token_is_found():
     assert secret_scan.find_spans(["see " + path + " there"], Finder()) == [[]]
 
 
+def test_threshold_keeps_the_recall_of_rare_findings():
+    class Weak(secret_scan.CharNetwork):
+        def logits(self, windows):
+            return np.array([float(w) for w in windows])
+
+    rng = np.random.default_rng(2)
+    labels = np.repeat([1.0, 0.0], [40, 3000])
+    windows = [str(z) for z in np.concatenate([rng.normal(1, 1, 40), rng.normal(-1, 1, 3000)])]
+    net = secret_scan.calibrate(Weak(*[np.zeros(1)] * 4, 0.0), windows, labels)
+    above = net.probability(windows) >= net.threshold
+    assert net.threshold < 0.5 and above[:40].mean() >= secret_scan.RECALL
+    assert net.precision == labels[above].mean()
+
+
 def test_windows_cover_the_whole_token():
     token = "".join(chr(0x100 + i) for i in range(150))
     for n in (16, 44, 45, 66, 67, 150):
