@@ -297,6 +297,12 @@ def test_threshold_keeps_the_recall_of_rare_findings():
     assert net.precision == labels[above].mean()
 
 
+def test_rare_findings_of_a_large_table_train_the_network(spark):
+    text = F.concat(F.lit("plain words and internationalisation"), F.repeat(F.lit("ab"), (F.col("id") % 9).cast("int")), F.when(F.col("id") % 1500 == 0, F.concat(F.lit(" AKIA"), F.lpad("id", 16, "0"))).otherwise(""))
+    found = secret_scan.labelled_findings(spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text")), "doc_id", "text", sample_findings=30)
+    assert sum(y == 1 for y, _ in found) == 30 and sum(y == 0 for y, _ in found) >= 9
+
+
 def test_windows_cover_the_whole_token():
     token = "".join(chr(0x100 + i) for i in range(150))
     for n in (16, 44, 45, 66, 67, 150):
