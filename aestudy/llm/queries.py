@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aestudy.llm import bpe_stream, context_tree, pattern_packing, quality_gbt, robust_outliers, secret_scan, simhash, token_files, tree_dedup, url_filter
+from aestudy.llm import ball_codes, bpe_stream, context_tree, mixture_packing, pattern_packing, quality_gbt, robust_outliers, secret_scan, simhash, spelling_trie, token_files, tree_dedup, url_filter
 from aestudy.llm.common import in_fold
 from aestudy.llm.oracles import oracle_sql as oracle_sql
 from aestudy.sources.checkpoints import scratch_path
@@ -80,6 +80,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op11_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_trie.group_variants(spelling_trie.count_words(table(spark, sf_dir, "documents")))
+
+
+def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.compress_vectors(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return mixture_packing.pack_mixture(table(spark, sf_dir, "documents"), path, end_id=1, most=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op2_robust_outliers, op3_context_tree, op4_exact_dedup, op5_bpe_stream, op6_pattern_packing, op7_secret_scan, op8_quality_gbt, op9_simhash, op10_token_files)
+    found = (op1_url_filter, op2_robust_outliers, op3_context_tree, op4_exact_dedup, op5_bpe_stream, op6_pattern_packing, op7_secret_scan, op8_quality_gbt, op9_simhash, op10_token_files, op11_spelling_trie, op12_ball_codes, op13_mixture_packing)
     return {f.__name__: f for f in found}
