@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aestudy.llm.tokens import encoder
@@ -106,26 +106,34 @@ def queue_phases(totals: DataFrame, all_tokens: int, targets: dict[str | None, f
     return named.union(others.select("queue", F.array(F.struct(F.lit(t).alias("t"), F.lit(0.0).alias("x"), rate.alias("rate")))))
 
 
-def phase_of(field: str, value: Column) -> Column:
-    """The last phase that begins at or before ``value``, the first one if none does."""
-    begun = F.filter("phases", lambda p: p[field] <= value)
-    return F.when(F.size(begun) > 0, F.element_at(begun, -1)).otherwise(F.element_at("phases", 1))
+class Credit:
+    """What one queue has earned, turn by turn, as numpy arithmetic on many turns or positions."""
 
+    def __init__(self, phases: list[dict], every: int, late: int, most: int) -> None:
+        self.t, self.x, self.rate = (np.array([p[field] for p in phases], dtype=np.float64) for field in ("t", "x", "rate"))
+        self.every, self.late, self.most = every, late, most
 
-def earned(turn: Column, most: int) -> Column:
-    """The end of what the queue may send up to its turn number ``turn``; 0 before the first."""
-    at = (turn * F.col("every") - F.col("late")) * float(most)
-    now = phase_of("t", at)
-    return F.when(turn <= 0, F.lit(0)).otherwise(F.greatest(F.floor(now["x"] + (at - now["t"]) * now["rate"]), F.lit(0)).cast("long"))
+    def earned(self, turn: np.ndarray) -> np.ndarray:
+        """The end of what the queue may send in turns before ``turn``, counted from 0."""
+        at = (turn * self.every - self.late) * float(self.most)
+        now = np.maximum(np.searchsorted(self.t, at, side="right") - 1, 0)
+        value = np.floor(self.x[now] + (at - self.t[now]) * self.rate[now])
+        return np.where(turn <= 0, 0, np.maximum(value, 0)).astype(np.int64)
 
+    def turn_of(self, position: np.ndarray) -> np.ndarray:
+        """The turn in which the token at ``position`` of the queue is sent."""
+        now = np.maximum(np.searchsorted(self.x, position, side="right") - 1, 0)
+        t = self.t[now] + (position - self.x[now]) / self.rate[now]
+        guess = np.maximum(np.floor((t / self.most + self.late) / self.every), 0).astype(np.int64)
+        guess -= (guess > 0) & (position < self.earned(guess))
+        return guess + (position >= self.earned(guess + 1))
 
-def turn_of(position: Column, most: int) -> Column:
-    """The turn in which the token at ``position`` of the queue is sent, counted from 0."""
-    now = phase_of("x", position.cast("double"))
-    t = now["t"] + (position - now["x"]) / now["rate"]
-    guess = F.greatest(F.floor((t / float(most) + F.col("late")) / F.col("every")), F.lit(0))
-    guess = F.when((guess > 0) & (position < earned(guess, most)), guess - 1).otherwise(guess)
-    return F.when(position >= earned(guess + 1, most), guess + 1).otherwise(guess)
+
+def expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges from ``first`` to ``last``, both included: the range and the number of every element."""
+    sizes = last - first + 1
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    return own, first[own] + np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def sums_before(blocks: DataFrame, keys: list[str], block: str, value: str, name: str) -> DataFrame:
@@ -148,20 +156,27 @@ def place_tokens(lengths: DataFrame, most: int, least: int, targets: dict[str |
     before = sums_before(blocks, ["queue"], "block", "n", "before")
     rows = lengths.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(before, ["queue", "block"])
     rows = rows.select("row", "queue", "n", (F.col("before") + F.col("inside")).alias("begin")).join(queues, "queue")
-    begin, end = F.col("begin"), F.col("begin") + F.col("n")
-    turns = rows.withColumn("turn", F.explode(F.sequence(turn_of(begin, most), turn_of(end - 1, most))))
-    sent = turns.select(
-        "row",
-        "queue",
-        "begin",
-        (F.col("turn") + 1).alias("next"),
-        "every",
-        "late",
-        F.greatest(begin, earned(F.col("turn"), most)).alias("x"),
-        F.least(end, earned(F.col("turn") + 1, most)).alias("x_end"),
-    )
-    sent = sent.withColumn("window", F.col("next") * F.col("every") - F.col("late") - 1)
-    sent = cut_lineage(sent.where("x < x_end").select("row", "queue", "begin", "window", "x", "x_end"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stretches that documents send in the turns of their queue."""
+        for batch in batches:
+            row, n, begin, turns, wait = (batch.column(i).to_numpy() for i in (0, 2, 3, 5, 6))
+            names = batch.column(1).dictionary_encode()
+            for k in range(len(names.dictionary)):
+                own = np.flatnonzero(names.indices.to_numpy() == k)
+                every, late = int(turns[own[0]]), int(wait[own[0]])
+                credit = Credit(batch.column(4)[own[0]].as_py(), every, late, most)
+                start, end = begin[own], begin[own] + n[own]
+                doc, turn = expand(credit.turn_of(start), credit.turn_of(end - 1))
+                x, x_end = np.maximum(start[doc], credit.earned(turn)), np.minimum(end[doc], credit.earned(turn + 1))
+                some = x < x_end
+                doc, turn, x, x_end = doc[some], turn[some], x[some], x_end[some]
+                queue = pa.array([names.dictionary[k].as_py()] * len(doc), pa.string())
+                columns = [pa.array(row[own][doc]), queue, pa.array(start[doc]), pa.array((turn + 1) * every - late - 1), pa.array(x), pa.array(x_end)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "queue", "begin", "window", "x", "x_end"])
+
+    rows = rows.select("row", "queue", "n", "begin", "phases", "every", "late")
+    sent = cut_lineage(rows.mapInArrow(send, "row long, queue string, begin long, window long, x long, x_end long"))
 
     # The place of a window's queue in the stream: after all earlier windows, and the queues before it in its own.
     groups = sent.groupBy("window", "queue").agg(F.sum(F.col("x_end") - F.col("x")).alias("n"), F.min("x").alias("first"))
@@ -176,20 +191,26 @@ def place_tokens(lengths: DataFrame, most: int, least: int, targets: dict[str |
     for bit in range(most.bit_length(), -1, -1):
         if rest >> bit & 1:
             tail.append(tail[-1] + (1 << bit))
-    tail_starts = F.array(*[F.lit(v).cast("long") for v in tail])
+    starts = np.array(tail, dtype=np.int64)
 
-    def sequence_of(place: Column) -> Column:
-        in_tail = F.size(F.filter(tail_starts, lambda v: v <= place - whole * most))
-        return F.when(place < whole * most, F.floor(place / most)).otherwise(whole + in_tail - 1).cast("long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stretches, cut where sequences end."""
 
-    def sequence_start(sequence: Column) -> Column:
-        return F.when(sequence <= whole, sequence * most).otherwise(whole * most + F.get(tail_starts, (sequence - whole).cast("int")))
+        def sequence_of(place: np.ndarray) -> np.ndarray:
+            return np.where(place < whole * most, place // most, whole + np.searchsorted(starts, place - whole * most, side="right") - 1)
+
+        def sequence_start(sequence: np.ndarray) -> np.ndarray:
+            return np.where(sequence <= whole, sequence * most, whole * most + starts[np.clip(sequence - whole, 0, len(starts) - 1)])
+
+        for batch in batches:
+            row, start, a, b = (column.to_numpy() for column in batch.columns)
+            own, sequence = expand(sequence_of(a), sequence_of(b - 1))
+            left, right = np.maximum(a[own], sequence_start(sequence)), np.minimum(b[own], sequence_start(sequence + 1))
+            columns = [row[own], start[own] + left - a[own], right - left, sequence, left - sequence_start(sequence)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "start", "length", "sequence_id", "offset"])
 
     placed = sent.join(groups, ["window", "queue"]).select("row", (F.col("x") - F.col("begin")).alias("start"), (F.col("x") + F.col("shift")).alias("a"), (F.col("x_end") + F.col("shift")).alias("b"))
-    cuts = placed.withColumn("sequence_id", F.explode(F.sequence(sequence_of(F.col("a")), sequence_of(F.col("b") - 1))))
-    left = F.greatest(F.col("a"), sequence_start(F.col("sequence_id")))
-    right = F.least(F.col("b"), sequence_start(F.col("sequence_id") + 1))
-    cuts = cuts.select("row", (F.col("start") + left - F.col("a")).alias("start"), (right - left).alias("length"), "sequence_id", (left - sequence_start(F.col("sequence_id"))).alias("offset"))
+    cuts = placed.mapInArrow(cut, "row long, start long, length long, sequence_id long, offset long")
     return cuts.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("spans"))
 
 
