@@ -1,17 +1,19 @@
 """Poisson gradient boosting with an exposure offset, early stopping and prediction.
 
 Training works on cells: counts and exposures of rows with equal encoded features add up, and a
-cell's fitted mean is its exposure times ``exp`` of its margin. The trees of a block of rounds are an
-expression over the cells; at its end the margins are written out and lineage is cut.
+cell's fitted mean is its exposure times ``exp`` of its margin. The cells are checkpointed once; trees grow
+from histograms that passes over them add up (see ``histogram``).
 """
 
+import json
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from math import exp
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aestudy import columns as C
@@ -19,8 +21,9 @@ from aestudy.functions import text
 from aestudy.functions.poisson import usable_counts
 from aestudy.operators.checks import require_columns
 from aestudy.operators.encode import EncodedColumn, encode
+from aestudy.operators.histogram import TreeGrower, block_cells, feature_layout, persist_blocks, with_margins
 from aestudy.operators.splits import Features, SplitRules, number_value
-from aestudy.operators.tree import CELLS_PER_TASK, Tree, grow_tree
+from aestudy.operators.tree import CELLS_PER_TASK, NODE_FIELDS, NODE_SCHEMA, Node, Tree
 from aestudy.sources.checkpoints import cut_lineage
 
 # Parameters of the boosted study model.
@@ -31,7 +34,8 @@ MAX_ROUNDS = 1000
 PATIENCE = 10
 MAX_BINS = 256
 
-BLOCK = 10
+#: Rounds after which margins are worked out anew and, with a state folder, trees are committed.
+BLOCK = 25
 
 
 @dataclass
@@ -178,120 +182,108 @@ def fit_boost(
     patience: int = PATIENCE,
     max_bins: int = MAX_BINS,
     block: int = BLOCK,
+    state: str | None = None,
 ) -> BoostModel:
     """Boost Poisson trees until the validation loss has not improved for ``patience`` rounds.
 
-    The loss of every round of a block is read in one job at the block's end; rounds grown past the
-    stopping point are cut off again, so the result does not depend on the block length. The loss is
-    the mean Poisson negative log-likelihood without the terms that no model can change. ``gamma``
-    is compared with the full gain, without a factor of one half.
+    The pass that begins a round also sums the loss of the trees before it, so a fit stops at once. The
+    loss is the mean Poisson negative log-likelihood without the terms that no model can change.
+    ``gamma`` is compared with the full gain, without a factor of one half.
+
+    After every ``block`` rounds, margins are worked out anew from the cells and all trees, so lineage
+    stays short. With a folder ``state``, the block's trees are committed to it then; a fit
+    that is started again on that folder goes on after the last committed block, to the same model.
     """
     cells, features = boost_cells(train, valid, encoding, actual, expected, max_bins)
-    x = ", ".join(f"nanvl(CAST({text.name(c)} AS DOUBLE), CAST(NULL AS DOUBLE))" for c in features.columns)
-    current = cells.selectExpr("*", f"array({x}) AS __x", "0D AS __f").persist()
-    held = [current]
-    totals = current.agg(
+    cells = cut_lineage(cells)
+    totals = cells.agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.sum(F.when(F.col("__valid"), F.col("__n"))).alias("n_valid"),
         F.sum(F.when(~F.col("__valid"), F.col("__n"))).alias("n_train"),
         F.sum("__bad").alias("bad"),
+        F.sum("__y").alias("y"),
+        F.sum("__e").alias("e"),
     ).first()
-
-    def route(tree: Tree) -> str:
-        return table_route([tree], features.columns, max_depth, "1") + " - 1"
-
+    if not totals["n_train"]:
+        raise ValueError("there are no training rows")
+    if totals["bad"]:
+        raise ValueError(f"{totals['bad']} rows lack an actual or have a non-positive expected count")
+    n_valid = totals["n_valid"] or 0
+    layout = feature_layout(cells, features)
+    base = persist_blocks(block_cells(cells.coalesce(1 + totals["n_cells"] // CELLS_PER_TASK), layout))
+    names = layout.names
+    grower = TreeGrower(layout, rules, max_depth, learning_rate)
+    trees: list[Tree] = []
+    history: list[float] = []
+    log = None
+    if state is not None:
+        # Sums are rounded, since the order in which they are added may differ.
+        run = [names, learning_rate, repr(rules), max_depth, max_bins, totals["n_train"], n_valid, f"{totals['y']:.9g}", f"{totals['e']:.9g}"]
+        log = BoostLog(train.sparkSession, state, run)
+        trees, history = log.committed()
+    flat = [_flatten(t, names) for t in trees]
+    begun, current = 0, base
     try:
-        if not totals["n_train"]:
-            raise ValueError("there are no training rows")
-        if totals["bad"]:
-            raise ValueError(f"{totals['bad']} rows lack an actual or have a non-positive expected count")
-        current = current.coalesce(1 + totals["n_cells"] // CELLS_PER_TASK)
-        trees: list[Tree] = []
-        history: list[float] = []
-        while len(trees) < max_rounds:
-            grown: list[Tree] = []
-            for _ in range(min(block, max_rounds - len(trees))):
-                margin = f"__f + {table_margin(grown, features.columns, max_depth)}"
-                training = current.where("NOT __valid").selectExpr(
-                    *[text.name(c) for c in features.columns], "__x", "__y", f"__e * exp({margin}) AS __mu"
-                )
-                tree = grow_tree(
-                    training,
-                    features,
-                    g="__mu - __y",
-                    h=f"__mu * {text.number(exp(rules.max_delta_step))}",
-                    rules=rules,
-                    max_depth=max_depth,
-                    eta=learning_rate,
-                    route=route,
-                )
-                grown.append(tree)
-            trees += grown
-            if totals["n_valid"]:
-                steps = [table_margin([t], features.columns, max_depth) for t in grown]
-                history += _losses(current, steps, totals["n_valid"])
+        while True:
+            if current is base or len(flat) - begun >= block:
+                if current is not base:
+                    current.unpersist()
+                begun = len(flat)
+                current = persist_blocks(with_margins(base, flat)) if flat else base
+            known: dict = {}
+            loss = grower.sums(current, flat[begun:], known, {}) if n_valid or len(trees) < max_rounds else None
+            if n_valid and len(history) < len(trees):
+                history.append(loss / n_valid)
                 stop = _stopping_round(history, patience)
                 if stop is not None:
                     trees, history = trees[: stop + 1], history[: stop + 1]
                     break
-            if len(trees) < max_rounds:
-                others = [text.name(c) for c in current.columns if c != "__f"]
-                step = table_margin(grown, features.columns, max_depth)
-                current = cut_lineage(current.selectExpr(*others, f"__f + {step} AS __f"))
-                held.pop().unpersist()
-                held.append(current.persist())
-        best = int(np.argmin(history)) if history else len(trees) - 1
-        return BoostModel(list(encoding), trees, best, history)
+            if log is not None and len(trees) - log.rounds >= block:
+                log.commit(trees, history)
+            if len(trees) >= max_rounds:
+                break
+            trees.append(grower.grow(current, flat[begun:], known))
+            flat.append(_flatten(trees[-1], names))
     finally:
-        for df in held:
-            df.unpersist()
-
-
-def table_route(trees: Sequence[Tree], names: Sequence[str], max_depth: int, root: str) -> str:
-    """Place where a row of a training frame ends up below ``root``, as SQL text over its array ``__x``.
-
-    The trees are constant arrays, one after the other, and are walked by position. So every round
-    of a fit runs the same generated code on other constants, where nested conditions would have to
-    be compiled anew.
-    """
-    feature, threshold, yes, no, missing = [], [], [], [], []
-    for tree in trees:
-        first = len(feature) + 1
-        for n in sorted(tree.nodes, key=lambda n: n.nodeid):
-            feature.append(names.index(n.source) + 1 if n.is_split else 1)
-            threshold.append(n.threshold if n.is_split else 0.0)
-            for targets, to in ((yes, n.yes), (no, n.no), (missing, n.missing)):
-                targets.append(first + (to if n.is_split else n.nodeid))
-    value = f"element_at(__x, element_at({text.integers(feature)}, n))"
-    step = (
-        f"CASE WHEN {value} IS NULL THEN element_at({text.integers(missing)}, n) "
-        f"WHEN {value} < element_at({text.numbers(threshold)}, n) THEN element_at({text.integers(yes)}, n) "
-        f"ELSE element_at({text.integers(no)}, n) END"
-    )
-    return f"aggregate(sequence(1, {max_depth}), {root}, (n, i) -> {step})"
-
-
-def table_margin(trees: Sequence[Tree], names: Sequence[str], max_depth: int) -> str:
-    """Sum of the trees' leaf values for a row of a training frame, as SQL text."""
-    if not trees:
-        return "0D"
-    roots, leaves = [], []
-    for tree in trees:
-        roots.append(len(leaves) + 1)
-        leaves += [0.0 if n.is_split else n.leaf for n in sorted(tree.nodes, key=lambda n: n.nodeid)]
-    end = table_route(trees, names, max_depth, "root")
-    return f"aggregate({text.integers(roots)}, 0D, (acc, root) -> acc + element_at({text.numbers(leaves)}, {end}))"
-
-
-def _losses(cells: DataFrame, steps: Sequence[str], n_valid: int) -> list[float]:
-    """Validation loss after each tree of a block, from one job."""
-    valid = cells.where("__valid").selectExpr("__y", "__e", "__f", *[f"{s} AS __t{i}" for i, s in enumerate(steps)])
-    margin, losses = "__f", []
-    for i in range(len(steps)):
-        margin += f" + __t{i}"
-        losses.append(F.expr(f"sum(__e * exp({margin}) - __y * ({margin})) AS l{i}"))
-    row = valid.agg(*losses).first()
-    return [row[f"l{i}"] / n_valid for i in range(len(steps))]
+        current.unpersist()
+        base.unpersist()
+    best = int(np.argmin(history)) if history else len(trees) - 1
+    return BoostModel(list(encoding), trees, best, history)
+
+
+class BoostLog:
+    """Committed rounds of a fit: a table of tree nodes and one of blocks, whose row is written last."""
+
+    def __init__(self, spark: SparkSession, path: str, run: list) -> None:
+        self.spark, self.path, self.run = spark, path, json.dumps(run)
+        self.rounds = 0
+
+    def committed(self) -> tuple[list[Tree], list[float]]:
+        """Trees and losses of all committed blocks; a block whose row is missing was not finished."""
+        try:
+            rows = self.spark.read.schema("block string, first int, last int, history array<double>, run string").parquet(f"{self.path}/blocks").orderBy("first").collect()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return [], []
+        if any(r["run"] != self.run for r in rows):
+            raise ValueError(f"{self.path} holds another fit: its settings or its data differ")
+        nodes = self.spark.read.schema(f"block string, tree int, {NODE_SCHEMA}").parquet(f"{self.path}/nodes")
+        trees: dict[int, list[Node]] = {}
+        for r in nodes.where(F.col("block").isin([r["block"] for r in rows])).orderBy("tree", "nodeid").collect():
+            fields = r.asDict()
+            fields.pop("block")
+            trees.setdefault(fields.pop("tree"), []).append(Node(**fields))
+        self.rounds = len(trees)
+        return [Tree(trees[i]) for i in sorted(trees)], [loss for r in rows for loss in r["history"]]
+
+    def commit(self, trees: Sequence[Tree], history: Sequence[float]) -> None:
+        block = uuid.uuid4().hex
+        rows = [(block, i, *(getattr(n, f) for f in NODE_FIELDS)) for i in range(self.rounds, len(trees)) for n in trees[i].nodes]
+        self.spark.createDataFrame(rows, f"block string, tree int, {NODE_SCHEMA}").coalesce(1).write.mode("append").parquet(f"{self.path}/nodes")
+        row = (block, self.rounds, len(trees), [float(v) for v in history[self.rounds : len(trees)]], self.run)
+        self.spark.createDataFrame([row], "block string, first int, last int, history array<double>, run string").coalesce(1).write.mode("append").parquet(f"{self.path}/blocks")
+        self.rounds = len(trees)
 
 
 def _stopping_round(history: Sequence[float], patience: int) -> int | None:

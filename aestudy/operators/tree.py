@@ -37,6 +37,8 @@ NODE_SCHEMA = (
     "gain double, cover double, leaf double, source string, is_level boolean, level string"
 )
 
+NODE_FIELDS = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
+
 # Columns of the split-statistics table, in order.
 SPLIT_COLUMNS = [
     "nodeid",
@@ -194,12 +196,11 @@ def grow_tree(
     rules: SplitRules,
     max_depth: int,
     eta: float,
-    route: Callable[[Tree], str] = Tree.route_text,
 ) -> Tree:
     """Grow level by level, one job per level; ids are given breadth-first.
 
     A split brings the sums of its node and both children along, so leaves need no job of their own.
-    ``g`` and ``h`` are SQL text over ``df``, and ``route`` says how rows find their node.
+    ``g`` and ``h`` are SQL text over ``df``.
     """
 
     def leaf(nodeid: int, depth: int, sum_g: float, sum_h: float) -> Node:
@@ -210,7 +211,7 @@ def grow_tree(
     for depth in range(max_depth):
         if not frontier:
             break
-        splits = grow_level(df, features, rules, frontier, route(Tree(list(nodes.values()))), g, h)
+        splits = grow_level(df, features, rules, frontier, Tree(list(nodes.values())).route_text(), g, h)
         grown = []
         for nodeid in sorted(splits):
             s = splits[nodeid]

@@ -7,7 +7,7 @@ from aestudy.operators import boost
 from aestudy.operators.boost import BoostModel, bin_cuts, fit_boost
 from aestudy.operators.encode import number_column, one_hot_columns, study_encoding
 from aestudy.operators.splits import SplitRules
-from aestudy.operators.tree import Node, Tree
+from aestudy.operators.tree import Node, Tree, grow_tree
 
 OPTIONS = dict(learning_rate=0.3, rules=SplitRules(gamma=0.0), max_depth=2)
 
@@ -149,3 +149,74 @@ def test_bad_counts_raise(spark):
     df = spark.createDataFrame([("M", 1.0, 0.0)], "Sex string, Death_Count double, ExpDth_VBT2015wMI_Cnt double")
     with pytest.raises(ValueError, match="1 rows lack"):
         fit_boost(df, None, one_hot_columns("Sex", ["M", "F"]))
+
+
+def test_guesses_do_not_change_trees(spark, halves):
+    """Trees grown with remembered splits are those of a grower without memory, in fewer passes."""
+    study = halves[0].withColumn("Attained_Age", F.when(F.col("Attained_Age") % 7 != 0, F.col("Attained_Age")))
+    encoding = study_encoding()
+    cells, features = boost.boost_cells(study, None, encoding, C.ACTUAL, C.EXPECTED, 256)
+    layout = boost.feature_layout(cells, features)
+    blocks = boost.persist_blocks(boost.block_cells(cells.repartition(3), layout))
+    grown, passes = {}, {}
+    for remembers in (True, False):
+        grower = boost.TreeGrower(layout, SplitRules(gamma=0.0), 3, 0.1)
+        trees, flat = [], []
+        for _ in range(12):
+            if not remembers:
+                grower.last.clear()
+            known = {}
+            grower.sums(blocks, flat, known, {})
+            trees.append(grower.grow(blocks, flat, known))
+            flat.append(boost._flatten(trees[-1], layout.names))
+        grown[remembers], passes[remembers] = trees, grower.passes
+    assert passes[False] == 36 and passes[True] < 30
+    for a, b in zip(grown[True], grown[False]):
+        assert [(n.feature, n.threshold, n.yes, n.missing) for n in a.nodes] == [(n.feature, n.threshold, n.yes, n.missing) for n in b.nodes]
+        assert [n.leaf for n in a.leaves] == pytest.approx([n.leaf for n in b.leaves], abs=1e-9)
+    blocks.unpersist()
+
+
+def test_histogram_trees_equal_level_trees(spark, halves):
+    """The same tree as the SQL form grows level by level, missing values included."""
+    study = halves[0].withColumn("Attained_Age", F.when(F.col("Attained_Age") % 7 != 0, F.col("Attained_Age")))
+    cells, features = boost.boost_cells(study, None, study_encoding(), C.ACTUAL, C.EXPECTED, 256)
+    layout = boost.feature_layout(cells, features)
+    blocks, known = boost.block_cells(cells, layout), {}
+    rules = SplitRules(gamma=0.0)
+    grower = boost.TreeGrower(layout, rules, 3, 0.1)
+    grower.sums(blocks, [], known, {})
+    found = grower.grow(blocks, [], known)
+    expected = grow_tree(cells, features, "__e - __y", f"__e * {np.exp(rules.max_delta_step)}D", rules, 3, 0.1)
+    for a, b in zip(found.nodes, expected.nodes, strict=True):
+        assert (a.nodeid, a.depth, a.feature, a.threshold, a.yes, a.no, a.missing, a.source) == (b.nodeid, b.depth, b.feature, b.threshold, b.yes, b.no, b.missing, b.source)
+        assert (a.gain or 0, a.cover, a.leaf or 0) == pytest.approx((b.gain or 0, b.cover, b.leaf or 0))
+
+
+def test_a_stopped_fit_goes_on(spark, halves, tmp_path, monkeypatch):
+    options = OPTIONS | dict(max_rounds=8, block=3)
+    whole = fit_boost(*halves, study_encoding(), **options)
+    state, grow, grown = str(tmp_path / "fit"), boost.TreeGrower.grow, []
+
+    def fail_in_round(n):
+        def one(self, *args):
+            if len(grown) == n:
+                raise RuntimeError("lost")
+            grown.append(1)
+            return grow(self, *args)
+
+        return one
+
+    monkeypatch.setattr(boost.TreeGrower, "grow", fail_in_round(5))
+    with pytest.raises(RuntimeError):
+        fit_boost(*halves, study_encoding(), state=state, **options)
+    spark.read.parquet(f"{state}/nodes").limit(2).withColumn("block", F.lit("unfinished")).write.mode("append").parquet(f"{state}/nodes")
+    grown.clear()
+    monkeypatch.setattr(boost.TreeGrower, "grow", fail_in_round(99))
+    fit = fit_boost(*halves, study_encoding(), state=state, **options)
+    assert len(grown) == 5 and fit.best_iteration == whole.best_iteration
+    assert fit.history == pytest.approx(whole.history, rel=1e-12)
+    for a, b in zip(fit.trees, whole.trees, strict=True):
+        assert [(n.feature, n.threshold, n.missing) for n in a.nodes] == [(n.feature, n.threshold, n.missing) for n in b.nodes]
+    with pytest.raises(ValueError, match="another fit"):
+        fit_boost(*halves, study_encoding(), state=state, **options | dict(learning_rate=0.2))

@@ -7,9 +7,6 @@ from oracle_check import connect, differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
-#: Whole fits of hundreds of rounds.
-SLOW = {"boost_full", "boost_to_stop"}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test tables are not there")
 
 
@@ -24,8 +21,6 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_sql(spark, con, name):
-    if name in SLOW and not os.environ.get("TEST_SLOW"):
-        pytest.skip("takes minutes; set TEST_SLOW to run it")
     result = entry.queries()[name](spark, SF_DIR)
     if name in entry.oracle_sql():
         assert differences(result, con, entry.oracle_sql()[name]) == []
