@@ -19,7 +19,7 @@ number of rounds grows with the logarithm of the graph. Nodes of several parts a
 With a ``similarity`` the fingerprints only nominate: they are taken over distinct shingles, each
 distinct set of shingles is a node, and two nodes that meet within ``radius`` bits are linked where the
 Jaccard similarity of their sets, computed from the texts, reaches it. Sets are compared by 64-bit
-hashes of the shingles. Sets whose sizes alone rule the similarity out do not meet.
+hashes of the shingles, in tiles of two blocks of nodes, to which a text is sent once. Sets whose sizes alone rule the similarity out do not meet.
 
 Words are maximal runs of characters other than space and tab to carriage return, with A-Z
 lower-cased; shingles are words joined by a space, repeats included. A text of fewer words is one
@@ -212,23 +212,52 @@ def star_candidates(nodes: DataFrame, radius: int, lanes: int, segments: int) ->
 
 
 def candidates(nodes: DataFrame, radius: int, segments: int, lanes: int, reach: int | None = None) -> DataFrame:
-    """Pairs (low, high) of nodes (node, root, band, bits0, ...) with different roots, in one band or in neighbouring ones, that differ in at most ``radius`` bits and meet as in ``links``."""
+    """Pairs (low, high) of nodes (node, root, band, bits0, ...) with different roots, in one band or in neighbouring ones, that differ in at most ``radius`` bits and meet as in ``links``.
+
+    Entries carry only the first ``SKETCH_PARTS`` parts, which rule out most chance meetings; what is left is
+    compared by all parts.
+    """
     if reach is None:
         reach = radius // (segments * lanes)
+    carried = min(SKETCH_PARTS, lanes)
     wide = nodes.withColumn("band", F.explode(F.array(*(F.col("band") + F.lit(k) for k in (-1, 0, 1)))))
     place = F.shiftleft(F.col("band") * (segments * lanes) + F.col("segment"), 32).bitwiseXOR(F.col("value")) if segments > 1 else F.struct("band", "segment", "value")
 
     def keyed(rows: DataFrame, reach: int) -> DataFrame:
-        return entries(rows, lanes, segments, reach).select("node", "root", *parts_of(lanes), place.alias("place"))
+        return entries(rows, lanes, segments, reach).select("node", "root", *parts_of(carried), place.alias("place"))
 
     low, high = keyed(wide, reach // 2).alias("low"), keyed(nodes, reach - reach // 2).alias("high")
     same = F.col("low.place") == F.col("high.place")
-    met = low.join(high, same & (F.col("low.root") < F.col("high.root")) & (distance("low", "high", lanes) <= radius))
-    return met.select(F.col("low.node").alias("low"), F.col("high.node").alias("high")).distinct()
+    met = low.join(high, same & (F.col("low.root") < F.col("high.root")) & (distance("low", "high", carried) <= sketch_radius(radius, carried, lanes)))
+    met = met.select(F.col("low.node").alias("low"), F.col("high.node").alias("high")).distinct()
+    if carried == lanes:
+        return met
+    sides = [nodes.select(F.col("node").alias(side), F.struct(*parts_of(lanes)).alias(f"{side}_bits")) for side in ("low", "high")]
+    whole = met.join(sides[0], "low").join(sides[1], "high")
+    return whole.where(distance("low_bits", "high_bits", lanes) <= radius).select("low", "high")
+
+
+#: Parts of a fingerprint that entries carry.
+SKETCH_PARTS = 2
+
+
+def sketch_radius(radius: int, carried: int, lanes: int) -> int:
+    """Bits that ``carried`` of ``lanes`` parts may differ in: their share of the radius and 3.25 standard deviations more."""
+    share = radius * carried / lanes
+    return radius if carried == lanes else min(radius, round(share + 3.25 * math.sqrt(share * (1 - radius / (64 * lanes)))))
+
+
+#: Bytes of texts that one side of a tile holds, and blocks of nodes at least, so that there are tiles for many tasks.
+TILE_BYTES = 24 << 20
+FEWEST_BLOCKS = 6
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (low, high) of nodes (node, first) whose texts have at least the Jaccard similarity."""
+    """The pairs (low, high) of nodes (node, first) whose texts have at least the Jaccard similarity.
+
+    Nodes are dealt into blocks by hash, and a pair belongs to the tile of its two blocks. A text is sent to
+    a tile once, however many pairs it has there, and a tile holds the sets of two blocks at most.
+    """
     pairs = cut_lineage(pairs)
     least = Fraction(str(similarity))
     met = pairs.select(F.col("low").alias("node")).union(pairs.select(F.col("high").alias("node"))).distinct()
@@ -236,20 +265,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     own = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     texts = cut_lineage(own.join(wanted, "digest").dropDuplicates(["node"]).select("node", "text"))
-    high = pairs.join(texts.select(F.col("node").alias("high"), F.col("text").alias("high_text")), "high")
-    both = high.join(texts.select(F.col("node").alias("low"), F.col("text").alias("low_text")), "low")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(FEWEST_BLOCKS, -(-size // TILE_BYTES))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for batch in batches:
-            keep = []
-            for low, low_text, high_text in zip(*(batch.column(k) for k in (0, 2, 3))):
-                if low.as_py() != last:
-                    last, own = low.as_py(), shingle_set(low_text.as_py().encode(), words)
-                keep.append(similar(own, shingle_set(high_text.as_py().encode(), words), least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["low", "high"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("low", "high", "low_text", "high_text").mapInArrow(check, "low long, high long")
+    def block(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(blocks))
+
+    tiled = pairs.withColumn("tile", F.least(block("low"), block("high")) * blocks + F.greatest(block("low"), block("high")))
+    users = tiled.select("tile", F.col("low").alias("node")).union(tiled.select("tile", F.col("high").alias("node"))).distinct()
+    sent = users.join(texts, "node").select(F.col("tile").alias("to_tile"), "node", "text")
+
+    def compare(own_pairs: pa.Table, own_texts: pa.Table) -> pa.Table:
+        sets = {node: shingle_set(text.as_py().encode(), words) for node, text in zip(own_texts.column("node").to_pylist(), own_texts.column("text"))}
+        low, high = own_pairs.column("low").to_pylist(), own_pairs.column("high").to_pylist()
+        keep = [similar(sets[a], sets[b], least) for a, b in zip(low, high)]
+        return own_pairs.select(["low", "high"]).filter(pa.array(keep, pa.bool_()))
+
+    return tiled.groupBy("tile").cogroup(sent.groupBy("to_tile")).applyInArrow(compare, "low long, high long")
 
 
 def contract(edges: DataFrame) -> DataFrame:
