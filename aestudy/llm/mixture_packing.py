@@ -15,7 +15,7 @@ sum, over windows and queues, gives every piece its place in the whole stream, w
 tokens; the rest at the end goes into sequences of descending powers of two, so nothing is padded.
 
 Documents are encoded once, into files of identifiers in the shared scratch folder; the places are worked
-out on lengths alone and joined to the identifiers by row. Blocks hold at most ``ROWS_A_BLOCK`` rows or
+out on lengths alone and meet the identifiers by blocks of documents. Blocks hold at most ``ROWS_A_BLOCK`` rows or
 ``WINDOWS_A_BLOCK`` windows, so neither a source nor a window is one task; block totals alone are
 summed in one sorted pass.
 
@@ -42,6 +42,8 @@ from aestudy.sources.checkpoints import cut_lineage, scratch_path
 LEAST_SENT = 64
 ROWS_A_BLOCK_BITS = 12
 WINDOWS_A_BLOCK = 4096
+#: Documents whose identifiers are cut together.
+DOCS_AT_ONCE_BITS = 7
 ROW_BITS = 40
 
 
@@ -143,7 +145,7 @@ def sums_before(blocks: DataFrame, keys: list[str], block: str, value: str, name
 
 
 def place_tokens(lengths: DataFrame, most: int, least: int, targets: dict[str | None, float] | None) -> DataFrame:
-    """row and its spans (start, length, sequence_id, offset), from row, queue and n alone."""
+    """row, start, length, sequence_id and offset of every piece, from row, queue and n alone."""
     lengths = lengths.withColumn("block", F.shiftright("row", ROWS_A_BLOCK_BITS))
     blocks = cut_lineage(lengths.groupBy("queue", "block").agg(F.sum("n").alias("n")))
     all_tokens = blocks.agg(F.sum("n")).first()[0] or 0
@@ -209,9 +211,9 @@ def place_tokens(lengths: DataFrame, most: int, least: int, targets: dict[str |
             columns = [row[own], start[own] + left - a[own], right - left, sequence, left - sequence_start(sequence)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "start", "length", "sequence_id", "offset"])
 
-    placed = sent.join(groups, ["window", "queue"]).select("row", (F.col("x") - F.col("begin")).alias("start"), (F.col("x") + F.col("shift")).alias("a"), (F.col("x_end") + F.col("shift")).alias("b"))
+    placed = sent.join(groups.hint("shuffle_hash"), ["window", "queue"]).select("row", (F.col("x") - F.col("begin")).alias("start"), (F.col("x") + F.col("shift")).alias("a"), (F.col("x_end") + F.col("shift")).alias("b"))
     cuts = placed.mapInArrow(cut, "row long, start long, length long, sequence_id long, offset long")
-    return cuts.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("spans"))
+    return cuts
 
 
 def pack_mixture(
@@ -230,33 +232,28 @@ def pack_mixture(
     if most < 1 or not 1 <= least <= most:
         raise ValueError("a sequence holds at least one token, and a queue sends between one and a sequence's")
     encoded = encode_rows(docs, tokenizer, end_id, id_col, text_col, source_col)
-    spans = place_tokens(encoded.select("row", "queue", "n"), most, least, targets)
-    joined = encoded.select("row", "doc_id", "n", "ids").join(spans, "row").select("doc_id", "n", "ids", "spans")
+    pieces = place_tokens(encoded.select("row", "queue", "n"), most, least, targets)
     kind = encoded.schema["doc_id"].dataType.simpleString()
     dtype = id_type(tokenizer, end_id)
     size = np.dtype(dtype).itemsize
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(3)
-            source = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
-            start, length, sequence, offset = (part.to_numpy() for part in spans.flatten().flatten())
-            crc, pieces = np.empty(len(source), dtype=np.int64), []
-            last, ids = -1, b""
-            for i, (own, a, n) in enumerate(zip(source.tolist(), start.tolist(), length.tolist())):
-                if own != last:
-                    last, ids = own, batch.column(2)[own].as_py()
-                piece = np.frombuffer(ids, dtype, n, a * size)
-                crc[i] = zlib.crc32(piece.astype("<u4").tobytes())
-                if with_ids:
-                    pieces.append(piece.astype(np.int32))
-            taken = pa.array(source)
-            columns = [batch.column(0).take(taken), pa.array(start), pa.array(length), pa.array(crc), batch.column(1).take(taken), pa.array(sequence), pa.array(offset)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            if with_ids:
-                columns.append(pa.array(pieces, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    block = F.shiftright("row", DOCS_AT_ONCE_BITS)
+
+    def cut(rows: pa.Table, places: pa.Table) -> pa.Table:
+        """The pieces of some documents, their identifiers taken from the encoded rows."""
+        by_row = np.argsort(rows.column("row").to_numpy())
+        own = by_row[np.searchsorted(rows.column("row").to_numpy()[by_row], places.column("row").to_numpy())]
+        encoded_ids = rows.column("ids").to_pylist()
+        start, length = places.column("start").to_numpy(), places.column("length").to_numpy()
+        found = [np.frombuffer(encoded_ids[i], dtype, n, a * size) for i, a, n in zip(own.tolist(), start.tolist(), length.tolist())]
+        crc = np.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids in found], dtype=np.int64)
+        taken = rows.select(["doc_id", "n"]).take(pa.array(own))
+        columns = [taken.column(0), pa.array(start), pa.array(length), pa.array(crc), taken.column(1), places.column("sequence_id"), places.column("offset")]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        if with_ids:
+            columns.append(pa.array([ids.astype(np.int32) for ids in found], pa.list_(pa.int32())))
+            names.append("ids")
+        return pa.Table.from_arrays(columns, names=names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return joined.mapInArrow(cut, schema)
+    rows = encoded.select(block.alias("block"), "row", "doc_id", "n", "ids").groupBy("block")
+    return rows.cogroup(pieces.withColumn("of_block", block).groupBy("of_block")).applyInArrow(cut, schema)

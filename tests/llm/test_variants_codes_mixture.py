@@ -222,11 +222,10 @@ def test_places_equal_a_round_robin_walk(spark):
     placed = mixture_packing.place_tokens(df, most, least, None).collect()
     found = {}
     for r in placed:
-        for s in r["spans"]:
-            assert s["sequence_id"] < total // most or s["length"] <= most
-            for k in range(s["length"]):
-                if s["sequence_id"] < total // most:
-                    found[(r["row"], s["start"] + k)] = s["sequence_id"] * most + s["offset"] + k
+        assert r["length"] <= most
+        for k in range(r["length"]):
+            if r["sequence_id"] < total // most:
+                found[(r["row"], r["start"] + k)] = r["sequence_id"] * most + r["offset"] + k
     assert found == {t: at for t, at in expected.items() if at < total // most * most}
     # every window holds its share but for what is carried over
     share = {q: len(own) / total for q, own in queues.items()}
