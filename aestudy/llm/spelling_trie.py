@@ -93,17 +93,20 @@ def walk_trie(words: DataFrame, longest: int) -> DataFrame:
             states = states.union(frontier)
         level = nodes.where(F.col("depth") == depth).select("node", "edges")
         here = states.join(F.broadcast(level) if depth <= BROADCAST_DEPTH else level, "node")
-        edges = here.select("word", "pos", "edit", "node", F.inline("edges"))
-        letter = F.expr("substring(word, pos + 1, 1)")
-        fresh = F.col("edit") == 0
-        replaced = F.when(fresh & (F.col("letter") != letter) & (F.col("pos") < F.length("word")), F.struct((F.col("pos") + 1).alias("pos"), F.lit(1).alias("edit")))
-        inserted = F.when(fresh & (F.col("letter") != letter), F.struct("pos", F.lit(2).alias("edit")))
-        onward = F.when(~fresh & (F.col("letter") == letter), F.struct((F.col("pos") + 1).alias("pos"), "edit"))
-        moved = edges.select("word", F.concat("node", "letter").alias("node"), "following", "ends", F.explode(F.array(replaced, inserted, onward)).alias("to"))
-        moved = moved.where("to IS NOT NULL").select("word", "to.pos", "node", "to.edit", "following", "ends")
-        done = (F.col("pos") == F.length("word")) & F.col("ends")
-        may_go_on = (F.col("pos") < F.length("word")) & F.expr("instr(following, substring(word, pos + 1, 1)) > 0")
-        moved.where(done | may_go_on).select("word", "pos", "node", "edit").write.parquet(f"{levels}/level={depth}")
+        ahead = [F.expr(f"substring(word, pos + {k}, 1)").alias(f"next{k}") for k in (1, 2)]
+        edges = here.select("word", "pos", "edit", "node", *ahead, F.inline("edges"))
+        fresh, other = F.col("edit") == 0, F.col("letter") != F.col("next1")
+        # What is left of the word has to end here, or to go on with a letter that follows the edge.
+        fits_next = F.when(F.col("next1") == "", F.col("ends")).otherwise(F.expr("instr(following, next1) > 0"))
+        fits_over = F.when(F.col("next2") == "", F.col("ends")).otherwise(F.expr("instr(following, next2) > 0"))
+        replaces = fresh & other & (F.col("next1") != "") & fits_over
+        inserts = fresh & other & fits_next
+        passes = ~fresh & ~other & fits_over
+        taken = edges.where(replaces | inserts | passes)
+        over, stay = F.struct((F.col("pos") + 1).alias("pos"), F.when(fresh, 1).otherwise(F.col("edit")).alias("edit")), F.struct("pos", F.lit(2).alias("edit"))
+        to = F.when(replaces & inserts, F.array(over, stay)).when(inserts, F.array(stay)).otherwise(F.array(over))
+        moved = taken.select("word", F.concat("node", "letter").alias("node"), F.inline(to))
+        moved.select("word", "pos", "node", "edit").write.parquet(f"{levels}/level={depth}")
         frontier = spark.read.schema(states_schema).parquet(f"{levels}/level={depth}").where(F.col("pos") < F.length("word"))
     ended = spark.read.schema(f"{states_schema}, level int").parquet(levels).where(F.col("pos") == F.length("word"))
     return ended.select("word", F.col("node").alias("near"), "edit")
