@@ -528,6 +528,17 @@ def boost_full(spark: SparkSession, d: str) -> DataFrame:
     return _history(spark, boost.fit_boost(subset(study, C.TRAIN), subset(study, C.TEST), order_encoding()))
 
 
+def boost_full_scored(spark: SparkSession, d: str) -> DataFrame:
+    """The whole configuration's model saved, loaded, and its scores totalled per data set."""
+    study = boost_cells(spark, d).withColumn(C.EXPECTED, F.col(C.EXPECTED) / 64)
+    path = scratch_path(spark, "boosted")
+    save_model(spark, boost.fit_boost(subset(study, C.TRAIN), subset(study, C.TEST), order_encoding()), path, study)
+    model = load_model(spark, path)
+    scored = model.predict(study, exposure=C.EXPECTED, output="mean")
+    totals = scored.groupBy(C.DATASET).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(C.ACTUAL).alias("actual"), F.sum("mean").alias("predicted"))
+    return rounded(totals.withColumn("n_trees", F.lit(len(model.used_trees()))), ["predicted"], 4)
+
+
 def boost_to_stop(spark: SparkSession, d: str) -> DataFrame:
     """The same gamma, rounds and patience with one indicator, depth 1 and a larger rate, until it stops."""
     study = boost_cells(spark, d).withColumn(C.EXPECTED, F.col(C.EXPECTED) / 64)
@@ -727,6 +738,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "boost_one_round": boost_one_round,
         "boost_fit": boost_fit,
         "boost_full": boost_full,
+        "boost_full_scored": boost_full_scored,
         "boost_to_stop": boost_to_stop,
         "boost_predict": boost_predict,
         "boost_roundtrip": boost_roundtrip,
