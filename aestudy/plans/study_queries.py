@@ -571,8 +571,7 @@ def boost_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def scoring_schema_query(spark: SparkSession, d: str) -> DataFrame:
     """Columns and types that a saved model says it reads and writes, and the rows of its sample."""
     study = boost_cells(spark, d)
-    path = scratch_path(spark, "described")
-    save_model(spark, boost.BoostModel(order_encoding(), LONG_TREES[:2], 1), path, study)
+    path = save_model(spark, boost.BoostModel(order_encoding(), LONG_TREES[:2], 1), scratch_path(spark, "described"), study)
     stored = spark.read.parquet(f"{path}/schema").select("role", F.from_json(F.get_json_object("schema", "$.fields"), "array<struct<name:string,type:string>>").alias("fields"))
     sample = spark.read.parquet(f"{path}/sample").agg(F.count(F.lit(1)).alias("sample_rows"))
     return stored.select("role", F.inline("fields").alias("column_name", "column_type")).crossJoin(sample)

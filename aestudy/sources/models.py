@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from aestudy.operators.boost import BoostModel
@@ -9,7 +12,7 @@ from aestudy.operators.design import Cat, Component, Design, Num, Spline
 from aestudy.operators.encode import EncodedColumn
 from aestudy.operators.glm import GLMPath
 from aestudy.operators.tree import NODE_SCHEMA, Node, Tree
-from aestudy.sources.tables import overwrite_parquet, sample_input, scoring_schema
+from aestudy.sources.tables import append_records, overwrite_parquet, sample_input, scoring_schema
 
 TERMS_SCHEMA = (
     "term int, place int, kind string, var string, baseline string, df int, lower double, upper double, "
@@ -17,6 +20,7 @@ TERMS_SCHEMA = (
 )
 PATH_SCHEMA = "alpha_index int, alpha double, n_rows long, n_dropped long, intercept double, coefficients array<double>"
 ENCODING_SCHEMA = "place int, name string, source string, kind string, levels array<string>"
+MANIFEST_SCHEMA = "number long, version string, kind string, input_cols array<string>"
 SUMMARY_SCHEMA = "n_trees int, best_iteration int, history array<double>"
 
 
@@ -109,17 +113,45 @@ def trees_from(nodes: DataFrame) -> list[Tree]:
     return [Tree(trees[i]) for i in sorted(trees)]
 
 
-def save_model(spark: SparkSession, model: GLMPath | BoostModel, path: str, training: DataFrame | None = None) -> None:
-    """Write a model; with its ``training`` rows also its input and output schema and a sample of the input."""
+def manifest(spark: SparkSession, path: str) -> list:
+    """Rows (number, version, kind, input_cols) of the versions committed under ``path``, in order."""
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest").orderBy("number", "version").collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def committed_version(spark: SparkSession, path: str) -> str:
+    """The folder of the version committed last."""
+    rows = manifest(spark, path)
+    if not rows:
+        raise ValueError(f"no model is committed at {path}")
+    return f"{path}/versions/{rows[-1]['version']}"
+
+
+def save_model(spark: SparkSession, model: GLMPath | BoostModel, path: str, training: DataFrame | None = None) -> str:
+    """Write a model as a new version and return its folder; with its ``training`` rows also its schema and a sample.
+
+    The version counts once its row is in the manifest, which is written last. So a save that is cut off
+    leaves the version before it in force.
+    """
     kind = "glm" if isinstance(model, GLMPath) else "boost"
-    (save_glm if kind == "glm" else save_boost)(spark, model, path)
-    _write(spark, [(kind, list(model.input_cols))], "kind string, input_cols array<string>", f"{path}/model")
+    version = uuid.uuid4().hex
+    folder = f"{path}/versions/{version}"
+    (save_glm if kind == "glm" else save_boost)(spark, model, folder)
     if training is not None:
         schemas = scoring_schema(training, model.input_cols)
-        _write(spark, sorted(schemas.items()), "role string, schema string", f"{path}/schema")
-        overwrite_parquet(sample_input(training, model.input_cols), f"{path}/sample")
+        _write(spark, sorted(schemas.items()), "role string, schema string", f"{folder}/schema")
+        overwrite_parquet(sample_input(training, model.input_cols), f"{folder}/sample")
+    known = manifest(spark, path)
+    row = (known[-1]["number"] + 1 if known else 1, version, kind, list(model.input_cols))
+    append_records(spark.createDataFrame([row], MANIFEST_SCHEMA), f"{path}/manifest")
+    return folder
 
 
 def load_model(spark: SparkSession, path: str) -> GLMPath | BoostModel:
-    kind = spark.read.parquet(f"{path}/model").first()["kind"]
-    return load_glm(spark, path) if kind == "glm" else load_boost(spark, path)
+    """The model committed last under ``path``."""
+    folder = committed_version(spark, path)
+    return load_glm(spark, folder) if manifest(spark, path)[-1]["kind"] == "glm" else load_boost(spark, folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,12 +75,44 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def overwrite_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Rebuild a catalog table and return a reader of what was written."""
-    writer = df.write.mode("overwrite")
+    """Rebuild a catalog table and return a reader of what was written.
+
+    The new table is written beside the old one and takes its name once it is complete, so a job that fails
+    leaves the old one as it was, and ``df`` may read the table that it replaces. A partitioned table is
+    copied over instead of renamed, since partitions keep the places that they were written to.
+    """
+    spark = df.sparkSession
+    *space, own = _name_parts(name)
+    mark = uuid.uuid4().hex[:12]
+
+    def quoted(table: str) -> str:
+        return ".".join(f"`{part}`" for part in [*space, table])
+
+    staged, old = quoted(f"{own}__new_{mark}"), quoted(f"{own}__old_{mark}")
+    writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name)
-    return df.sparkSession.read.table(name)
+    try:
+        writer.saveAsTable(staged)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        raise
+    if partition_by:
+        spark.read.table(staged).write.mode("overwrite").partitionBy(*partition_by).saveAsTable(quoted(own))
+        spark.sql(f"DROP TABLE {staged}")
+        return spark.read.table(quoted(own))
+    replaces = spark.catalog.tableExists(quoted(own))
+    if replaces:
+        spark.sql(f"ALTER TABLE {quoted(own)} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {quoted(own)}")
+    if replaces:
+        spark.sql(f"DROP TABLE {old}")
+    return spark.read.table(quoted(own))
+
+
+def _name_parts(name: str) -> list[str]:
+    """Parts of a table name, without their back quotes."""
+    return [quoted or plain for quoted, plain in re.findall(r"`([^`]+)`|([^.`]+)", name)]
 
 
 def overwrite_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:

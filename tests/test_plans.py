@@ -14,9 +14,11 @@ from aestudy.operators.tree import Node, Tree
 from aestudy.plans.dataset import build_dataset
 from aestudy.plans.scoring import post_score_check, run_scoring, score_rows
 from aestudy.plans.training import train_boost_study, train_glm_study
+from aestudy.sources import models
 from aestudy.sources.checkpoints import ensure_checkpoint_dir
 from aestudy.sources.models import load_model, save_model
 from aestudy.sources.tables import (
+    overwrite_table,
     STUDY_SCHEMA,
     append_records,
     metrics_frame,
@@ -89,6 +91,36 @@ def test_saved_models_predict_the_same(spark, study, glm, tmp_path, kind):
         assert loaded.trees == model.trees and loaded.history == [0.5, 0.25]
 
 
+def test_a_save_that_is_cut_off_leaves_the_old_model(spark, study, glm, tmp_path, monkeypatch):
+    path = str(tmp_path / "model")
+    with pytest.raises(ValueError, match="no model"):
+        load_model(spark, path)
+    tree = Tree([Node(0, 0, leaf=0.2)])
+    save_model(spark, BoostModel(study_encoding(), [tree], 0), path)
+
+    def fail(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(models, "scoring_schema", fail)
+    with pytest.raises(RuntimeError):
+        save_model(spark, glm, path, study)
+    assert isinstance(load_model(spark, path), BoostModel)
+    monkeypatch.undo()
+    save_model(spark, glm, path, study)
+    assert load_model(spark, path).input_cols == glm.input_cols and load_model(spark, path).by_name(0) == glm.by_name(0)
+
+
+def test_a_failed_job_leaves_the_old_table(spark):
+    overwrite_table(spark.range(5).toDF("x"), "replaced")
+    broken = spark.range(9).select(F.when(F.col("id") > 7, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")).alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        overwrite_table(broken, "replaced")
+    assert spark.table("replaced").count() == 5
+    assert overwrite_table(spark.table("replaced").select((F.col("x") + 1).alias("y")), "replaced").agg(F.sum("y")).first()[0] == 15
+    assert overwrite_table(spark.range(3).selectExpr("id AS y", "id % 2 AS p"), "replaced", ["p"]).where("p = 1").count() == 1
+    assert [t.name for t in spark.catalog.listTables() if "replaced" in t.name] == ["replaced"]
+
+
 def test_batch_scoring(spark, labelled, glm, tmp_path):
     labelled.drop(C.DATASET).write.mode("overwrite").saveAsTable("scoring_input")
     save_model(spark, glm, str(tmp_path / "model"))
@@ -116,8 +148,7 @@ def test_training_runs_leave_records(spark, labelled, tmp_path):
 
 
 def test_schema_and_sample_travel_with_a_model(spark, study, glm, tmp_path):
-    path = str(tmp_path / "described")
-    save_model(spark, glm, path, study)
+    path = save_model(spark, glm, str(tmp_path / "described"), study)
     roles = {r.role: r.schema for r in spark.read.parquet(f"{path}/schema").collect()}
     assert set(roles) == {"inputs", "outputs"} and "Attained_Age" in roles["inputs"]
     assert spark.read.parquet(f"{path}/sample").columns == glm.input_cols
