@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import cases
@@ -245,29 +246,72 @@ def test_base_findings_equal_brute_force(spark):
         expected.append((i, *[sum(k == j for _, k, _ in spans) for j in range(3)], hashlib.sha256(text.encode()).hexdigest(), text))
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
     assert secret_scan.scan_secrets(cases.empty(spark), None).collect() == []
-    assert secret_scan.fit_network(cases.frame(spark)) is None
+    assert secret_scan.fit_network(cases.empty(spark)) is None
 
 
-def test_network_finds_keys_without_a_pattern(spark):
-    def hexes(i, n):
-        return hashlib.sha256(str(i).encode()).hexdigest()[:n]
-
+@pytest.fixture(scope="module")
+def prose(spark):
+    """Documents with long plain words and a few findings of the patterns."""
     rows = []
     for i in range(400):
-        prose = cases.words(40, i)
-        long = "internationalisation" + cases.words(1, i)[:2] + "organisationally"
-        extra = [f' token="{hexes(i, 40)}" ', f" {long} ", f" AKIA{hexes(i, 16).upper()} ", " straightforwardnesses "][i % 4]
-        rows.append((i, prose + extra + prose))
-    hidden = "X7" + hexes(1, 30).upper().replace("A", "q9")
-    rows += [(1000, "the key is " + hidden + " today"), (1001, "a word like internationalisationorganisations is fine")]
-    docs = cases.frame(spark, rows)
-    net = secret_scan.fit_network(docs)
-    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(docs, net).collect()}
-    assert found[1000] == f"network:11:{11 + len(hidden)}"
-    assert found[1001] == "" and not any("network" in found[i] for i in range(400))
-    clean = {r["doc_id"]: r for r in secret_scan.redact_secrets(docs, net, length_col="n_chars").collect()}
-    assert clean[1000]["text"] == "the key is [SECRET] today" and clean[1000]["n_chars"] == 25
-    assert clean[1001]["text"] == rows[-1][1] and "AKIA" not in clean[2]["text"]
+        key = hashlib.sha256(str(i).encode()).hexdigest()
+        extra = [f' token="{key[:40]}" ', " internationalisationorganisationally ", f" AKIA{key[:16].upper()} ", " straightforwardnesses/unquestionably "][i % 4]
+        rows.append((i, cases.words(40, i) + extra + cases.words(40, i + 1000)))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def network(spark, prose):
+    return secret_scan.fit_network(cases.frame(spark, prose))
+
+
+def planted(families, each=200, seed=77):
+    rng = np.random.default_rng(seed)
+    return [(f, secret_scan.draw_key(f, rng)) for f in families for _ in range(each)]
+
+
+def test_planted_keys_without_a_keyword_are_found(spark, prose, network):
+    keys = planted(secret_scan.FAMILIES)
+    rows = [(10_000 + i, f"{cases.words(12, i)} {k} {cases.words(12, i + 5000)}") for i, (_, k) in enumerate(keys)]
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(cases.frame(spark, prose + rows), network).collect()}
+    missed = dict.fromkeys(secret_scan.FAMILIES, 0)
+    for (i, text), (family, key) in zip(rows, keys):
+        start = text.index(key)
+        missed[family] += f"network:{start}:{start + len(key)}" not in found[i] and not found[i].startswith("hex:")
+    assert max(missed.values()) <= 20
+    assert sum("network" in found[i] for i, _ in prose) == 0
+    assert network.precision >= 0.98
+
+
+@pytest.mark.parametrize("family", ["letters and digits", "base 32"])
+def test_keys_of_a_family_left_out_of_training_are_found(spark, prose, family):
+    found = secret_scan.labelled_findings(cases.frame(spark, prose), "doc_id", "text", secret_scan.SAMPLE_FINDINGS)
+    assert secret_scan.family_recall(found, family) >= 0.9
+
+
+def test_found_keys_are_replaced(spark, network):
+    hidden = "X7q9Zk2MbV4tR8wLpN3sD6yH1cJ5"
+    rows = [(1, f"the key is {hidden} today"), (2, "a word like internationalisationorganisations is fine"), (3, None)]
+    clean = {r["doc_id"]: r for r in secret_scan.redact_secrets(cases.frame(spark, rows), network, length_col="n_chars").collect()}
+    assert clean[1]["text"] == "the key is [SECRET] today" and clean[1]["n_chars"] == 25
+    assert clean[2]["text"] == rows[1][1]
+
+
+def test_candidates_lie_outside_all_findings():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        text = "".join(rng.choice([" ", "a" * 17, "f0" * 13, "AKIA" + "B" * 20, 'token="' + "c" * 20, "=", "longwordoffarmore"]) for _ in range(30))
+        spans = secret_scan.base_spans(text)
+        free = [m.span() for m in secret_scan.CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        assert secret_scan.candidates(text, spans) == free
+
+
+def test_time_is_linear_in_findings():
+    text = ('token="' + "a1b2c3d4e5" * 4 + '" internationalisationorganisations ') * 120_000
+    spans = secret_scan.base_spans(text)
+    start = time.monotonic()
+    assert len(text) > 9_000_000 and len(secret_scan.candidates(text, spans)) == 120_000
+    assert time.monotonic() - start < 20
 
 
 def test_a_key_late_in_a_long_token_is_found():
