@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aestudy.plans.study_queries import BASE_RATE, PATH_LENGTH, STOP_RATE
+from aestudy.plans.study_queries import BASE_RATE, PATH_LENGTH, STOP_RATE, WIDE_ALPHAS
 
 BASE = """
 base AS (
@@ -588,6 +588,18 @@ levels AS (
 ), size AS (SELECT 4 + s + x + b + 4 * (s - 1) + 4 * x + 5 * (s - 1) * x AS p FROM levels)
 SELECT CAST(i AS INTEGER) AS alpha_index, CAST(j AS INTEGER) AS pos, 0::DOUBLE AS score
 FROM size, generate_series(0, {PATH_LENGTH - 1}) AS g(i), generate_series(0, 1000) AS h(j) WHERE j <= p""",
+        "wide_dictionary": """WITH lines AS (
+  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey) AS supply FROM lineitem
+)
+SELECT supply, row_number() OVER (ORDER BY supply) - 1 AS position, count(*) AS n_rows FROM lines GROUP BY supply""",
+        "glm_wide_scores": f"""WITH size AS (
+  SELECT 1 + count(DISTINCT l_linestatus) + 1 + count(DISTINCT l_orderkey) - 1 AS p FROM lineitem WHERE l_quantity > 0
+)
+SELECT CAST(i AS INTEGER) AS alpha_index, j AS pos, 0::DOUBLE AS score
+FROM generate_series(0, {len(WIDE_ALPHAS) - 1}) AS g(i), (SELECT unnest(generate_series(0, p - 1)) AS j FROM size)""",
+        "glm_wide_totals": f"""SELECT a.alpha, count(*) AS n_rows, sum(CAST(l_returnflag = 'R' AS DOUBLE)) AS actual,
+  round(sum(CAST(l_returnflag = 'R' AS DOUBLE)), 3) AS predicted
+FROM lineitem, (SELECT unnest({WIDE_ALPHAS!r}::DOUBLE[]) AS alpha) AS a WHERE l_quantity > 0 GROUP BY a.alpha""",
         "glm_path_binary": f"""WITH RECURSIVE {STUDY}, {cells_cte("cells", KEYS_7)},
 c AS (SELECT "Sex" AS x, "Death_Count" AS y, "ExpDth_VBT2015wMI_Cnt" AS e FROM cells WHERE "DATASET" = 'TRAIN'),
 t AS (

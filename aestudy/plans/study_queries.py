@@ -18,6 +18,7 @@ from aestudy.operators import boost, factors, tree
 from aestudy.operators.checks import cast_like, duplicate_keys, split_schema, without_nulls
 from aestudy.operators.deviance import d2_score, poisson_deviance
 from aestudy.operators.design import Cat, Num, cross, fit_design
+from aestudy.operators.dictionary import level_dictionary
 from aestudy.operators.encode import indicator, learned_levels, one_hot, one_hot_columns, ordinal
 from aestudy.operators.glm import GLMPath, fit_glm_path, penalty_path
 from aestudy.operators.grid import grid_axes, prediction_grid
@@ -26,6 +27,7 @@ from aestudy.operators.score import score_with_udf, scoring_udf
 from aestudy.operators.splits import MAX_DELTA_STEP, SplitRules, best_splits, describe_features, split_candidates, value_sums
 from aestudy.operators.study import actual_to_predicted, predicted_count, prediction_difference, study_cells, subset
 from aestudy.operators.values import baseline_levels, distinct_quantiles, first_values, value_range
+from aestudy.operators.wide import WideModel, fit_wide_design, fit_wide_path
 from aestudy.plans.driver_tables import (
     age_spline,
     cells,
@@ -52,6 +54,7 @@ from aestudy.sources.tables import (
 # A rate near the overall one, so that fixed models have plausible means.
 BASE_RATE = 0.0133
 PATH_LENGTH = 100
+WIDE_ALPHAS = [1e-1, 1e-3, 1e-4]
 STOP_RATE = 0.05
 
 MULTIPLIERS = {"Sex": {"F": 1.25}, "Smoker_Status": {"O": 0.8, "P": 1.5}}
@@ -289,6 +292,52 @@ def glm_path_binary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(terms.join(model.path_stats(train), "alpha_index"), ["intercept", "slope", "d2"])
 
 
+def order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every order line as a study row, with its order as a category."""
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("order"),
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("supply"),
+        F.col("l_linestatus").alias(C.SEX),
+        F.col("l_discount").alias("discount"),
+        (F.col("l_returnflag") == "R").cast("double").alias(C.ACTUAL),
+        F.col("l_quantity").cast("double").alias(C.EXPECTED),
+    )
+
+
+def wide_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of the sorted levels of a column with nearly as many levels as rows, and the rows encoded by each."""
+    lines = order_lines(spark, d)
+    coded = level_dictionary(lines, "supply").encode(lines, "position")
+    return coded.groupBy("supply", "position").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _wide_model(spark: SparkSession, d: str) -> tuple[WideModel, DataFrame]:
+    """One coefficient per order, beside a category and a number."""
+    lines = order_lines(spark, d).where(F.col(C.EXPECTED) > 0)
+    core = fit_design(lines, [(Cat(C.SEX),), (Num("discount"),)])
+    return fit_wide_path(lines, fit_wide_design(lines, core, ["order"]), WIDE_ALPHAS), lines
+
+
+def glm_wide_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The penalised score equation of every order's coefficient, which holds to rounding."""
+    model, lines = _wide_model(spark, d)
+    return model.path_scores(lines).withColumn("score", F.abs(F.round("score", 7)))
+
+
+def glm_wide_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The free intercept makes the predictions of all rows add up to the actual count at every penalty."""
+    model, lines = _wide_model(spark, d)
+    parts = []
+    for i, alpha in enumerate(model.alphas):
+        scored = model.predict(lines, i, C.EXPECTED)
+        sums = scored.agg(F.count(C.PREDICTION).alias("n_rows"), F.sum(C.ACTUAL).alias("actual"), F.sum(C.PREDICTION).alias("predicted"))
+        parts.append(rounded(sums.select(F.lit(alpha).alias("alpha"), "*"), ["predicted"], 3))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # Factor tables
 
 
@@ -716,6 +765,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "glm_path_stats": glm_path_stats,
         "glm_path_scores": glm_path_scores,
         "glm_path_binary": glm_path_binary,
+        "wide_dictionary": wide_dictionary,
+        "glm_wide_scores": glm_wide_scores,
+        "glm_wide_totals": glm_wide_totals,
         "factor_map": factor_map_query,
         "factor_map_check": factor_map_check,
         "factor_values_check": factor_values_check,
