@@ -56,6 +56,12 @@ def cast_like(df: DataFrame, template: T.StructType) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def known_levels_only(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Turn levels that training has not seen into NULL, in the columns that ``levels`` names."""
+    require_columns(df.columns, list(levels))
+    return df.withColumns({c: F.when(F.col(c).isin(list(seen)), F.col(c)) for c, seen in levels.items()}) if levels else df
+
+
 def cast_failures(df: DataFrame, template: T.StructType) -> DataFrame:
     """One row with the number of values per column that ``cast_like`` turns into NULL."""
     cast = cast_like(df, template)

@@ -740,4 +740,14 @@ SELECT run_id, 'actual' AS metric, y AS value FROM totals
 UNION ALL SELECT run_id, 'expected', e FROM totals
 UNION ALL SELECT run_id, 'ae', round(y / e, 6) FROM totals""",
         "delimited_roundtrip": f"WITH {BASE} SELECT * FROM base",
+        "read_ledger": """SELECT "column", (SELECT count(*) FROM lineitem) AS n_rows, 0::BIGINT AS n_malformed, n_unreadable
+FROM (
+  SELECT 'l_orderkey' AS "column", count(*) FILTER (l_orderkey % 11 = 0) AS n_unreadable FROM lineitem
+  UNION ALL SELECT 'l_quantity', count(*) FILTER (l_orderkey % 7 = 0 AND l_quantity IS NOT NULL) FROM lineitem
+  UNION ALL SELECT 'l_returnflag', 0
+)""",
+        "known_levels": f"""WITH {STUDY},
+bands AS (SELECT "DATASET", concat("Face_Amount_Band", ' ', "Observation_Year") AS band FROM study)
+SELECT "DATASET", CASE WHEN band IN (SELECT band FROM bands WHERE "DATASET" = 'TRAIN') THEN band END AS band, count(*) AS n_rows
+FROM bands GROUP BY 1, 2""",
     }

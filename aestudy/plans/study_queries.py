@@ -15,7 +15,7 @@ from aestudy.functions import text
 from aestudy.functions.cleaning import Band, band_column, band_issue_year, clean_strings, collapse_levels
 from aestudy.functions.spline import basis_columns
 from aestudy.operators import boost, factors, tree
-from aestudy.operators.checks import cast_like, duplicate_keys, split_schema, without_nulls
+from aestudy.operators.checks import cast_like, duplicate_keys, known_levels_only, split_schema, without_nulls
 from aestudy.operators.deviance import d2_score, poisson_deviance
 from aestudy.operators.design import Cat, Num, cross, fit_design
 from aestudy.operators.dictionary import level_dictionary
@@ -49,6 +49,7 @@ from aestudy.sources.tables import (
     overwrite_parquet,
     publish_view,
     read_delimited,
+    read_with_ledger,
 )
 
 # A rate near the overall one, so that fixed models have plausible means.
@@ -733,6 +734,28 @@ def delimited_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_delimited(spark, path, schema=STUDY_SCHEMA)
 
 
+def read_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The order lines as text with broken numbers in it, read back while the unreadable values are counted."""
+    path, copy = scratch_path(spark, "broken"), scratch_path(spark, "read")
+    key = F.col("l_orderkey")
+    broken = table(spark, d, "lineitem").select(
+        F.when(key % 11 == 0, F.lit("n/a")).otherwise(key.cast("string")).alias("l_orderkey"),
+        "l_returnflag",
+        F.when(key % 7 == 0, F.concat(F.col("l_quantity").cast("string"), F.lit(" pieces"))).when(key % 5 > 0, F.col("l_quantity").cast("string")).alias("l_quantity"),
+    )
+    broken.write.option("sep", "\t").option("header", True).csv(path)
+    rows, ledger = read_with_ledger(spark, path, "l_quantity double, l_orderkey long, l_returnflag string")
+    rows.write.parquet(copy)
+    return ledger.frame(spark)
+
+
+def known_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Study rows with the levels that the training rows lack set to NULL, counted by level."""
+    study = selected_study(spark, d).withColumn("band", F.concat(F.col(C.FACE_BAND), F.lit(" "), F.col(C.OBSERVATION_YEAR).cast("string")))
+    seen = learned_levels(subset(study, C.TRAIN), "band")
+    return known_levels_only(study, {"band": seen}).groupBy(C.DATASET, "band").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "study_filter": study_filter,
@@ -803,4 +826,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scored_view": scored_view,
         "run_metrics": run_metrics,
         "delimited_roundtrip": delimited_roundtrip,
+        "read_ledger": read_ledger,
+        "known_levels": known_levels,
     }

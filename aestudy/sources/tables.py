@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +61,52 @@ def read_delimited(
     return nan_to_null(reader.schema(layout).csv(path).select(*wanted.names))
 
 
+MALFORMED = "__malformed"
+
+
+@dataclass
+class ReadLedger:
+    """What a job that read a delimited file met; known once an action on its rows has ended."""
+
+    columns: list[str]
+    observation: Observation
+
+    def counts(self) -> dict[str, int]:
+        """Rows read, rows with too few or too many fields, and unreadable values per column."""
+        seen = self.observation.get
+        found = {"n_rows": seen["n_rows"], "n_malformed": seen["n_malformed"]}
+        return found | {c: seen[f"c{i}"] for i, c in enumerate(self.columns)}
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """``(column, n_rows, n_malformed, n_unreadable)``, one row per column of the schema."""
+        found = self.counts()
+        rows = [(c, found["n_rows"], found["n_malformed"], found[c]) for c in self.columns]
+        return spark.createDataFrame(rows, "column string, n_rows long, n_malformed long, n_unreadable long")
+
+
+def read_with_ledger(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "\t") -> tuple[DataFrame, ReadLedger]:
+    """Read a delimited file with a header, counting what cannot be read in the very job that reads.
+
+    A value that does not fit its type becomes NULL and is counted under its column; empty fields are NULL and
+    are not counted. Rows with too few or too many fields are kept, with NULL for fields that are not there.
+    Counts are of rows that the action reads, so take them after one that reads all, such as a write, and
+    before any other; a retried task is not counted twice.
+    """
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    reader = spark.read.option("sep", sep).option("header", True)
+    in_file = reader.csv(path).columns
+    require_columns(in_file, wanted.names)
+    layout = T.StructType([T.StructField(n, T.StringType()) for n in [*in_file, MALFORMED]])
+    # Without this, fields that are not asked for are not even split off, and short rows go unnoticed.
+    reader = reader.option("columnPruning", False)
+    raw = reader.option("columnNameOfCorruptRecord", MALFORMED).schema(layout).csv(path)
+    read = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in wanted.fields}
+    lost = [F.count_if(F.col(f"`{n}`").isNotNull() & c.isNull()).alias(f"c{i}") for i, (n, c) in enumerate(read.items())]
+    observation = Observation()
+    counted = raw.observe(observation, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(MALFORMED).isNotNull()).alias("n_malformed"), *lost)
+    return nan_to_null(counted.select(*[c.alias(n) for n, c in read.items()])), ReadLedger(wanted.names, observation)
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 

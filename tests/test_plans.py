@@ -26,6 +26,7 @@ from aestudy.sources.tables import (
     publish_view,
     read_delimited,
     read_parquet,
+    read_with_ledger,
     sample_input,
     scoring_schema,
 )
@@ -218,3 +219,15 @@ def test_stateless_operators_run_on_a_stream(spark, labelled, glm, tmp_path):
     query.awaitTermination(120)
     batch = glm.predict(labelled).agg(F.sum(C.PREDICTION)).first()[0]
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum(C.PREDICTION)).first()[0] == pytest.approx(batch)
+
+
+def test_ledger_counts_broken_values_and_rows(spark, tmp_path):
+    path = tmp_path / "broken.txt"
+    path.write_text("a\tb\tc\n1\tx\t1.5\none\ty\t\n3\tz\n4\tw\t2.5\textra\n\tv\tNaN\n")
+    rows, ledger = read_with_ledger(spark, str(path), "c double, a int")
+    rows.write.parquet(str(tmp_path / "copy"))
+    assert ledger.counts() == {"n_rows": 5, "n_malformed": 2, "c": 0, "a": 1}
+    copied = sorted(map(tuple, spark.read.parquet(str(tmp_path / "copy")).collect()), key=repr)
+    assert copied == sorted([(1.5, 1), (None, None), (None, 3), (2.5, 4), (None, None)], key=repr)
+    with pytest.raises(ValueError):
+        read_with_ledger(spark, str(path), "none_such int")

@@ -86,3 +86,20 @@ def test_dictionary_numbers_sorted_levels(spark):
 def test_empty_dictionary(spark):
     found = level_dictionary(spark.createDataFrame([(None,)], "a string"), "a")
     assert found.n_levels == 0 and found.table.count() == 0
+
+
+def test_wide_scoring_is_generated_code(spark):
+    rows = spark.range(20_000).select(
+        F.concat(F.lit("k"), F.col("id") % 6_000).alias("k"), F.lit("a").alias("c"), (F.col("id") % 3).cast("double").alias("y"), F.lit(1.5).alias("e")
+    )
+    model = fit_wide_path(rows, fit_wide_design(rows, fit_design(rows, [(Cat("c"),)]), ["k"]), [1e-2], "y", "e")
+    assert model.design.size == 2 + 5_999
+    scored = model.predict(rows, exposure="e")
+    assert max(abs(r["score"]) for r in model.path_scores(rows, "y", "e").collect()) < 1e-7
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = model.predict(rows, exposure="e")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "BroadcastHashJoin" in plan and plan.lstrip().startswith("*(")
+    assert scored.agg(F.sum(C.PREDICTION)).first()[0] == pytest.approx(sum(i % 3 for i in range(20_000)), rel=1e-6)
