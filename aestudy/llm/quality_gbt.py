@@ -170,7 +170,10 @@ def fit_quality(
     sample_rows: int = SAMPLE_ROWS,
     **options,
 ) -> FlatTrees:
-    """Learn from at most ``sample_rows`` labelled documents outside the held-out fold."""
+    """Learn from at most ``sample_rows`` labelled documents outside the held-out fold.
+
+    Of rows with one identifier, the one with the smallest statistics counts.
+    """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label")).dropna()
     known = known.where(~in_fold(F.col("doc_id"), folds)).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -181,7 +184,8 @@ def fit_quality(
             values = table_of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(list(values), pa.list_(pa.float64()))], names=["doc_id", "label", "values"])
 
-    found = sorted(map(tuple, rows.mapInArrow(describe, "doc_id string, label double, values array<double>").collect()))
+    described = rows.mapInArrow(describe, "doc_id string, label double, values array<double>")
+    found = sorted(map(tuple, described.groupBy("doc_id", "label").agg(F.min("values").alias("values")).collect()))
     values = np.array([v for _, _, v in found], dtype=float).reshape(-1, len(FEATURES))
     return fit_trees(values, np.array([y for _, y, _ in found], dtype=float), **options)
 

@@ -8,6 +8,7 @@ import zlib
 import cases
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,6 +389,15 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
 
 
+def test_a_repeated_identifier_counts_once(spark):
+    rows = [(i, cases.words(30, i)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    more = rows + [rows[7]] * 500
+    once, often = (quality_gbt.fit_quality(cases.frame(spark, r), labels) for r in (rows, more))
+    texts = pa.array([t for _, t in rows])
+    assert np.array_equal(once.score(quality_gbt.table_of(texts)), often.score(quality_gbt.table_of(texts)))
+
+
 def test_quality_of_odd_rows(spark):
     docs = cases.frame(spark)
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
