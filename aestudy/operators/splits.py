@@ -2,8 +2,9 @@
 
 A level of a tree is one aggregate: every row adds its gradient and Hessian to one entry per
 feature, entries are summed map-side before the shuffle, and running sums over the sorted values
-give the gain of each cut. Numbers split at midpoints, strings one level against the rest, and a
-missing number is tried on both sides.
+give the gain of each cut. The entries are dealt by ranges of (node, feature, value), and a range
+starts from the totals of those before it, so a feature may have any number of values. Numbers split
+at midpoints, strings one level against the rest, and a missing number is tried on both sides.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from aestudy.functions import text
 from aestudy.operators.checks import split_schema
 from aestudy.operators.encode import indicator_name
+from aestudy.sources.checkpoints import cut_lineage
 
 # Defaults of the Poisson tree objective.
 MAX_DELTA_STEP = 0.7
@@ -24,9 +26,6 @@ REG_LAMBDA = 1.0
 MIN_CHILD_WEIGHT = 1.0
 MIN_GAIN = 1e-6
 
-WIDE_FEATURE = 50_000
-BUCKETS = 256
-
 
 @dataclass(frozen=True)
 class SplitRules:
@@ -58,17 +57,13 @@ class SplitRules:
 class Features:
     """Feature columns of a tree, with what has to be known about their values beforehand.
 
-    ``first_levels`` are the levels without an indicator. ``bounds`` are cut points of numeric
-    features with very many values, ``wide_strings`` the strings with very many levels; both only
-    spread work over tasks and do not change results. ``binned`` numbers hold the lower end of their
+    ``first_levels`` are the levels without an indicator. ``binned`` numbers hold the lower end of their
     bin and are cut at the next bin's lower end instead of the midpoint.
     """
 
     numbers: list[str]
     strings: list[str]
     first_levels: dict[str, str | None] = field(default_factory=dict)
-    bounds: dict[str, list[float]] = field(default_factory=dict)
-    wide_strings: list[str] = field(default_factory=list)
     binned: list[str] = field(default_factory=list)
 
     @property
@@ -81,33 +76,16 @@ def number_value(column: str) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
-def describe_features(
-    df: DataFrame, response: Sequence[str], wide: int = WIDE_FEATURE, buckets: int = BUCKETS
-) -> Features:
-    """Split the columns by type and look at their values in one pass (two if any is very wide)."""
+def describe_features(df: DataFrame, response: Sequence[str]) -> Features:
+    """Split the columns by type; one pass finds the first level of every string, if there are any."""
     split = split_schema(df, response)
     if not split.numbers and not split.strings:
         raise ValueError("there is no feature column")
-    measures = [F.count_distinct(number_value(c)).alias(f"n{i}") for i, c in enumerate(split.numbers)]
-    for i, c in enumerate(split.strings):
-        measures.append(F.count_distinct(F.col("`" + c + "`")).alias(f"s{i}"))
-        measures.append(F.min("`" + c + "`").alias(f"first{i}"))
-    row = df.agg(*measures).first()
-    wide_numbers = [c for i, c in enumerate(split.numbers) if row[f"n{i}"] > wide]
-    bounds = {}
-    if wide_numbers:
-        probabilities = [b / buckets for b in range(1, buckets)]
-        cuts = df.agg(
-            *[F.percentile_approx(number_value(c), probabilities, 10_000).alias(f"q{i}") for i, c in enumerate(wide_numbers)]
-        ).first()
-        bounds = {c: sorted(set(cuts[f"q{i}"])) for i, c in enumerate(wide_numbers)}
-    return Features(
-        numbers=split.numbers,
-        strings=split.strings,
-        first_levels={c: row[f"first{i}"] for i, c in enumerate(split.strings)},
-        bounds=bounds,
-        wide_strings=[c for i, c in enumerate(split.strings) if row[f"s{i}"] > wide],
-    )
+    first_levels = {}
+    if split.strings:
+        row = df.agg(*[F.min("`" + c + "`").alias(f"first{i}") for i, c in enumerate(split.strings)]).first()
+        first_levels = {c: row[f"first{i}"] for i, c in enumerate(split.strings)}
+    return Features(numbers=split.numbers, strings=split.strings, first_levels=first_levels)
 
 
 def value_sums(
@@ -138,49 +116,25 @@ def value_sums(
 
 PRESENT = "CASE WHEN value IS NOT NULL THEN {0} ELSE 0 END"
 MISSING = "CASE WHEN value IS NULL AND NOT is_level THEN {0} ELSE 0 END"
-GROUP = "PARTITION BY nodeid, feature ORDER BY value"
 UP_TO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
-def with_running_sums(sums: DataFrame, features: Features) -> DataFrame:
-    """Add running sums over the sorted values, the next value, node totals and missing totals."""
-    if features.bounds or features.wide_strings:
-        return _running_sums_in_buckets(sums, features)
-    return sums.selectExpr(
-        "*",
-        f"sum({PRESENT.format('g')}) OVER ({GROUP} {UP_TO}) AS run_g",
-        f"sum({PRESENT.format('h')}) OVER ({GROUP} {UP_TO}) AS run_h",
-        f"lead(value) OVER ({GROUP}) AS next_value",
-        f"sum(g) OVER ({GROUP} {WHOLE}) AS tot_g",
-        f"sum(h) OVER ({GROUP} {WHOLE}) AS tot_h",
-        f"sum({MISSING.format('g')}) OVER ({GROUP} {WHOLE}) AS miss_g",
-        f"sum({MISSING.format('h')}) OVER ({GROUP} {WHOLE}) AS miss_h",
-        f"sum({MISSING.format('n')}) OVER ({GROUP} {WHOLE}) AS miss_n",
-    )
-
-
-def _running_sums_in_buckets(sums: DataFrame, features: Features) -> DataFrame:
-    """The same sums where a feature may have any number of values.
+def with_running_sums(sums: DataFrame) -> DataFrame:
+    """Add running sums over the sorted values, the next value, node totals and missing totals.
 
-    Each (node, feature) group is cut into value buckets that are sorted by different tasks. A
-    bucket starts from the sum of the buckets below it; that table has at most ``BUCKETS + 1`` rows
-    per node and feature, which bounds the broadcast.
+    Entries are sorted by ranges of (node, feature, value, level). They are written down once, because
+    the ranges must stay the same for the totals and for the running sums inside. A table of at most one row
+    per range, node and feature says where each range starts; that bounds the broadcast.
     """
-    bucket = "0"
-    for c, cuts in features.bounds.items():
-        below = f"size(filter({text.numbers(cuts)}, c -> c <= value))"
-        bucket = f"CASE WHEN feature = {text.string(c)} AND value IS NOT NULL THEN {below} ELSE {bucket} END"
-    if features.wide_strings:
-        hashed = f"CAST(pmod(xxhash64(level), {BUCKETS}) AS INT)"
-        bucket = f"CASE WHEN feature IN {text.strings(features.wide_strings)} THEN {hashed} ELSE {bucket} END"
-    bucketed = sums.selectExpr("*", f"{bucket} AS bucket")
-    by_bucket = "PARTITION BY nodeid, feature ORDER BY bucket"
+    ranges = sums.repartitionByRange("nodeid", "feature", "value", "level")
+    ordered = cut_lineage(ranges.withColumn("part", F.spark_partition_id()))
+    by_part = "PARTITION BY nodeid, feature ORDER BY part"
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     after = "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
-    per_bucket = bucketed.groupBy("nodeid", "feature", "bucket").agg(
-        F.expr(f"sum({PRESENT.format('g')}) AS b_g"),
-        F.expr(f"sum({PRESENT.format('h')}) AS b_h"),
+    per_part = ordered.groupBy("nodeid", "feature", "part").agg(
+        F.expr(f"sum({PRESENT.format('g')}) AS p_g"),
+        F.expr(f"sum({PRESENT.format('h')}) AS p_h"),
         F.expr("sum(g) AS all_g"),
         F.expr("sum(h) AS all_h"),
         F.expr(f"sum({MISSING.format('g')}) AS m_g"),
@@ -188,26 +142,26 @@ def _running_sums_in_buckets(sums: DataFrame, features: Features) -> DataFrame:
         F.expr(f"sum({MISSING.format('n')}) AS m_n"),
         F.expr("min(value) AS first_value"),
     )
-    offsets = per_bucket.selectExpr(
-        *["nodeid", "feature", "bucket"],
-        f"coalesce(sum(b_g) OVER ({by_bucket} {before}), 0) AS off_g",
-        f"coalesce(sum(b_h) OVER ({by_bucket} {before}), 0) AS off_h",
-        f"min(first_value) OVER ({by_bucket} {after}) AS after_bucket",
-        f"sum(all_g) OVER ({by_bucket} {WHOLE}) AS tot_g",
-        f"sum(all_h) OVER ({by_bucket} {WHOLE}) AS tot_h",
-        f"sum(m_g) OVER ({by_bucket} {WHOLE}) AS miss_g",
-        f"sum(m_h) OVER ({by_bucket} {WHOLE}) AS miss_h",
-        f"sum(m_n) OVER ({by_bucket} {WHOLE}) AS miss_n",
+    starts = per_part.selectExpr(
+        *["nodeid", "feature", "part"],
+        f"coalesce(sum(p_g) OVER ({by_part} {before}), 0) AS off_g",
+        f"coalesce(sum(p_h) OVER ({by_part} {before}), 0) AS off_h",
+        f"min(first_value) OVER ({by_part} {after}) AS after_part",
+        f"sum(all_g) OVER ({by_part} {WHOLE}) AS tot_g",
+        f"sum(all_h) OVER ({by_part} {WHOLE}) AS tot_h",
+        f"sum(m_g) OVER ({by_part} {WHOLE}) AS miss_g",
+        f"sum(m_h) OVER ({by_part} {WHOLE}) AS miss_h",
+        f"sum(m_n) OVER ({by_part} {WHOLE}) AS miss_n",
     )
-    within = "PARTITION BY nodeid, feature, bucket ORDER BY value"
-    started = bucketed.selectExpr(
+    inside = "PARTITION BY nodeid, feature, part ORDER BY value"
+    started = ordered.selectExpr(
         "*",
-        f"sum({PRESENT.format('g')}) OVER ({within} {UP_TO}) AS in_g",
-        f"sum({PRESENT.format('h')}) OVER ({within} {UP_TO}) AS in_h",
-        f"lead(value) OVER ({within}) AS in_next",
+        f"sum({PRESENT.format('g')}) OVER ({inside} {UP_TO}) AS in_g",
+        f"sum({PRESENT.format('h')}) OVER ({inside} {UP_TO}) AS in_h",
+        f"lead(value) OVER ({inside}) AS in_next",
     )
-    return started.join(F.broadcast(offsets), ["nodeid", "feature", "bucket"]).selectExpr(
-        "*", "in_g + off_g AS run_g", "in_h + off_h AS run_h", "coalesce(in_next, after_bucket) AS next_value"
+    return started.join(F.broadcast(starts), ["nodeid", "feature", "part"]).selectExpr(
+        "*", "in_g + off_g AS run_g", "in_h + off_h AS run_h", "coalesce(in_next, after_part) AS next_value"
     )
 
 
@@ -236,7 +190,7 @@ def split_candidates(sums: DataFrame, features: Features, rules: SplitRules) ->
     right_g, right_h = "tot_g - left_g", "tot_h - left_h"
     gain = f"{rules.gain('left_g', 'left_h')} + {rules.gain(right_g, right_h)} - {rules.gain('tot_g', 'tot_h')}"
     return (
-        with_running_sums(sums, features)
+        with_running_sums(sums)
         .where(f"CASE WHEN is_level THEN NOT ({is_first or 'false'}) ELSE value IS NOT NULL AND ({inner} OR {with_missing}) END")
         .selectExpr(
             *["nodeid", "feature", "is_level", "level", "tot_g", "tot_h"],
@@ -263,8 +217,8 @@ RANKED = (
 def best_splits(candidates: DataFrame, per_feature: bool = False) -> DataFrame:
     """The cut with the largest gain per node; ties go to feature, level and threshold in order.
 
-    With ``per_feature`` every feature of a node keeps its best cut. The candidates are partitioned
-    by node and feature already, so this needs no further shuffle.
+    With ``per_feature`` every feature of a node keeps its best cut. Tasks keep the best of their own ranges
+    first, so one row per range, node and feature is shuffled.
     """
     keys = ["nodeid", "feature"] if per_feature else ["nodeid"]
     return candidates.groupBy(*keys).agg(F.expr(RANKED)).selectExpr("nodeid", "-s.loss AS gain", "s.*").drop("loss")

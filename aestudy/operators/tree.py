@@ -177,7 +177,7 @@ def grow_level(
 ) -> dict[int, Row]:
     """Best split of every open node.
 
-    One job; one row per open node and feature comes back, whatever the number of rows.
+    One pass over the rows; one row per open node and feature comes back, whatever the number of rows.
     """
     sums = value_sums(df, features, node, open_nodes, g, h)
     best: dict[int, Row] = {}
@@ -197,7 +197,7 @@ def grow_tree(
     max_depth: int,
     eta: float,
 ) -> Tree:
-    """Grow level by level, one job per level; ids are given breadth-first.
+    """Grow level by level, one pass per level; ids are given breadth-first.
 
     A split brings the sums of its node and both children along, so leaves need no job of their own.
     ``g`` and ``h`` are SQL text over ``df``.

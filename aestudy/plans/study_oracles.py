@@ -690,6 +690,13 @@ FROM cells CROSS JOIN overall LEFT JOIN band_factors ON s = "Smoker_Status" AND
 SELECT "DATASET", count(*) AS n_rows, 0::BIGINT AS n_missing, true AS matches FROM cells GROUP BY 1""",
         "split_candidates": candidates(["Attained_Age"], ["Sex", "Smoker_Status"])
         + "SELECT feature, lev AS level, threshold, round(gain, 4) AS gain FROM g0 WHERE gain > 1e-6",
+        "split_wide_feature": f"""WITH line_rows AS (
+  SELECT l_orderkey AS "order", l_discount AS discount, l_quantity * {BASE_RATE!r}::DOUBLE - CAST(l_returnflag = 'R' AS DOUBLE) AS g,
+         l_quantity * {BASE_RATE!r}::DOUBLE * exp(0.7) AS h
+  FROM lineitem
+),
+{', '.join(grow_ctes('', 'line_rows', ['order', 'discount'], [], 1))}
+SELECT feature, threshold, round(gain, 4) AS gain FROM g0 WHERE gain > 1e-6""",
         "tree_root_split": candidates(["Issue_Year", "Attained_Age"], ["Sex", "Smoker_Status", "Face_Amount_Band"])
         + """SELECT feature, lev AS level, threshold, round(gain, 4) AS gain, round(lh, 4) AS cover_left,
        round(th - lh, 4) AS cover_right FROM b0""",

@@ -488,6 +488,14 @@ def split_candidates_query(spark: SparkSession, d: str) -> DataFrame:
     return rounded(split_candidates(sums, features, SplitRules()).select("feature", "level", "threshold", "gain"), ["gain"], 4)
 
 
+def split_wide_feature(spark: SparkSession, d: str) -> DataFrame:
+    """Every admissible root split of a column with about a quarter as many values as rows, beside a narrow one."""
+    lines = order_lines(spark, d).select(F.col("order").cast("long").alias("order"), "discount", C.ACTUAL, C.EXPECTED)
+    features = describe_features(lines, [C.ACTUAL, C.EXPECTED])
+    sums = value_sums(lines, features, "0", [0], *_gradient())
+    return rounded(split_candidates(sums, features, SplitRules()).select("feature", "threshold", "gain"), ["gain"], 4)
+
+
 def _tree_rows(spark: SparkSession, d: str) -> DataFrame:
     study = selected_study(spark, d)
     return study.select(*C.REGRESSION_KEYS, C.ACTUAL, (F.col(C.EXPECTED) * BASE_RATE).alias("model_pred"))
@@ -802,6 +810,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "factor_reconstruct": factor_reconstruct,
         "factor_uncovered": factor_uncovered,
         "split_candidates": split_candidates_query,
+        "split_wide_feature": split_wide_feature,
         "tree_root_split": tree_root_split,
         "tree_route": tree_route,
         "tree_split_stats": tree_split_stats,

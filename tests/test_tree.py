@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aestudy.operators.splits import Features, SplitRules, describe_features, split_candidates, value_sums
+from aestudy.operators.splits import Features, SplitRules, describe_features, split_candidates, value_sums, with_running_sums
 from aestudy.operators.tree import (
     SPLIT_COLUMNS,
     Node,
@@ -102,15 +102,23 @@ def test_candidates_equal_brute_force(rows):
     assert all(found[k] == pytest.approx(expected[k], rel=1e-9, abs=1e-9) for k in expected)
 
 
-def test_wide_features_give_the_same_candidates(rows):
-    """Cutting a feature into value buckets changes who sorts it, not the result."""
+def test_candidates_do_not_depend_on_the_ranges(spark, rows):
+    """Dealing a feature's values over many ranges changes who sorts them, not the result."""
     data, df = rows
-    narrow = describe_features(df, ["y", "e"])
-    wide = describe_features(df, ["y", "e"], wide=1, buckets=7)
-    assert len(wide.bounds["age"]) > 2 and wide.wide_strings == ["sex", "band"] and not narrow.bounds
-    a, b = candidates(df, narrow), candidates(df, wide)
-    assert a.keys() == b.keys()
-    assert all(a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-9) for k in a)
+    features = describe_features(df, ["y", "e"])
+    sums = value_sums(df, features, "0", [0], "e - y", f"e * {H_FACTOR!r}D")
+    together, expected = candidates(df, features), as_map(brute_force(data))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        parts = with_running_sums(sums).groupBy("feature").agg(F.count_distinct("part").alias("n")).collect()
+        spread = candidates(df, features)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert {r["feature"]: r["n"] for r in parts}["age"] > 4
+    assert spread.keys() == together.keys() == expected.keys()
+    assert all(spread[k] == pytest.approx(expected[k], rel=1e-9, abs=1e-9) for k in expected)
 
 
 def check_subtree(tree, nodeid, data, depth):
