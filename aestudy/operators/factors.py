@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from aestudy.operators.checks import duplicate_keys, require_columns
 from aestudy.operators.design import Design, DesignColumn, term_name, term_variables
 from aestudy.operators.glm import INTERCEPT, GLMPath
-from aestudy.operators.grid import grid_axes, prediction_grid
+from aestudy.operators.grid import grid_axes, occurring_combinations, prediction_grid
 from aestudy.operators.lookup import BROADCAST_BYTES, lookup, unique_key_profiles, unmatched_keys
 from aestudy.operators.study import all_close
 from aestudy.sources.checkpoints import cut_lineage
@@ -116,18 +116,31 @@ class FactorAnalysis:
         occur. A group without variables, such as the intercept's, has one row.
         """
         axes = grid_axes(train, self.model.input_cols)
-        tables = {}
-        for group, terms in self.groups.items():
-            variables = self.group_variables(group)
-            columns: list[DesignColumn] = [self._column[t] for t in terms if t != INTERCEPT]
-            grid = prediction_grid(self.spark, [axes[v] for v in variables], max_rows)
-            score = self.design.linear_predictor(self.coefficients, columns)
-            if INTERCEPT in terms:
-                score = score + F.lit(self.coefficients[INTERCEPT])
-            tables[group] = self.design.with_basis(grid, columns).select(
-                *variables, F.exp(score).alias("factor"), F.lit(group).alias("term_group")
-            )
-        return tables
+        return {
+            group: self._factors_on(group, prediction_grid(self.spark, [axes[v] for v in self.group_variables(group)], max_rows))
+            for group in self.groups
+        }
+
+    def occurring_factor_tables(self, df: DataFrame) -> dict[str, DataFrame]:
+        """The same tables over the combinations that occur in ``df`` only.
+
+        A group of several variables with wide ranges has as many rows as ``df`` has combinations, not as
+        many as the product of the ranges. Numbers need not be whole here.
+        """
+        keyed = [g for g in self.groups if self.group_variables(g)]
+        found = occurring_combinations(df, [self.group_variables(g) for g in keyed]) if keyed else []
+        rows = dict(zip(keyed, found))
+        return {g: self._factors_on(g, rows[g] if g in rows else prediction_grid(self.spark, [])) for g in self.groups}
+
+    def _factors_on(self, group: str, combinations: DataFrame) -> DataFrame:
+        terms = self.groups[group]
+        columns: list[DesignColumn] = [self._column[t] for t in terms if t != INTERCEPT]
+        score = self.design.linear_predictor(self.coefficients, columns)
+        if INTERCEPT in terms:
+            score = score + F.lit(self.coefficients[INTERCEPT])
+        return self.design.with_basis(combinations, columns).select(
+            *self.group_variables(group), F.exp(score).alias("factor"), F.lit(group).alias("term_group")
+        )
 
     def append_factors(
         self,
@@ -144,8 +157,8 @@ class FactorAnalysis:
         return join_factors(df, tables, output, strict, broadcast_bytes)
 
     def predict_by_factors(self, df: DataFrame, output: str = "model_pred") -> DataFrame:
-        """Factors and their product for ``df``, from tables over the values of ``df`` itself."""
-        return self.append_factors(df, self.factor_tables(df), output)
+        """Factors and their product for ``df``, from tables over the combinations that occur in ``df`` itself."""
+        return self.append_factors(df, self.occurring_factor_tables(df), output)
 
     def reconstructs(self, df: DataFrame, tables: dict[str, DataFrame], tolerance: float = PRODUCT_TOLERANCE) -> bool:
         """Whether the product of factors equals the direct prediction on every row."""

@@ -1,10 +1,12 @@
-"""All combinations of the values of some variables."""
+"""Combinations of the values of some variables: all of them, or those that occur."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import prod
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from aestudy.operators.checks import require_columns
 from aestudy.operators.values import integer_range, levels_of
+from aestudy.sources.checkpoints import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -64,3 +67,24 @@ def prediction_grid(
         place = F.floor(F.col("id") / F.lit(stride)) % F.lit(axis.size)
         columns.append(axis.value(place).alias(axis.name))
     return spark.range(n_rows).select(*columns)
+
+
+def occurring_combinations(df: DataFrame, groups: Sequence[Sequence[str]]) -> list[DataFrame]:
+    """For every group of variables, the combinations without NULL that occur in ``df``, once each.
+
+    All groups come from one pass, as grouping sets: combinations are deduplicated before the shuffle, so a
+    frequent one sends one row per task. They are written down once. There are never more than ``df`` has
+    rows, however wide the ranges of the variables are.
+    """
+    names = list(dict.fromkeys(v for group in groups for v in group))
+    require_columns(df.columns, names)
+    columns = {v: F.col("`" + v + "`") for v in names}
+    # Bit i counts from the last name; it is set where a name is not in the grouping set.
+    masks = [sum(1 << i for i, v in enumerate(reversed(names)) if v not in group) for group in groups]
+    sets = {mask: [columns[v] for v in group] for mask, group in zip(masks, groups)}
+    grouped = df.groupingSets(list(sets.values()), *columns.values()).agg(F.grouping_id().alias("__set"))
+    found = cut_lineage(grouped)
+    return [
+        found.where(F.col("__set") == mask).where(reduce(and_, [columns[v].isNotNull() for v in group])).select(*[columns[v] for v in group])
+        for mask, group in zip(masks, groups)
+    ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aestudy.plans.study_queries import BASE_RATE, PATH_LENGTH, STOP_RATE, WIDE_ALPHAS
+from aestudy.plans.study_queries import BASE_RATE, PATH_LENGTH, STOP_RATE, WIDE_ALPHAS, WIDE_INTERCEPT, WIDE_TERMS
 
 BASE = """
 base AS (
@@ -676,6 +676,9 @@ UNION ALL SELECT 'Smoker_Status_x_Face_Amount_Band', (b - 1) * (s - 1), 'Face_Am
 ages AS (SELECT CAST(unnest(generate_series(min("Attained_Age"), max("Attained_Age"))) AS INTEGER) AS "Attained_Age" FROM study)
 SELECT "Attained_Age", "Smoker_Status", "Sex"
 FROM ages, (SELECT DISTINCT "Smoker_Status" FROM study), (SELECT DISTINCT "Sex" FROM study)""",
+        "factor_wide_group": f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(exp({WIDE_INTERCEPT!r}::DOUBLE + """
+        + " + ".join(f"{weight!r}::DOUBLE * {' * '.join(f'{v}::DOUBLE' for v in term)}" for term, weight in WIDE_TERMS.items())
+        + "), 6) AS model_pred FROM lineitem",
         "factor_tables": f"""WITH {STUDY}, {SATURATED}
 SELECT s AS "Smoker_Status", x AS "Sex", 'Smoker_Status_x_Sex' AS term_group, round(rate, 6) AS factor FROM rates""",
         "factor_join": f"""WITH {STUDY}, {cells_cte("cells", KEYS_4)}, {BAND_FACTORS}

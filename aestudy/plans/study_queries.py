@@ -403,6 +403,28 @@ def prediction_grid_query(spark: SparkSession, d: str) -> DataFrame:
     return prediction_grid(spark, list(axes.values()))
 
 
+#: Terms over four columns whose ranges multiply to far more combinations than there are rows, with stated weights.
+WIDE_TERMS = {
+    ("l_orderkey",): 2.0**-20,
+    ("l_partkey",): 2.0**-14,
+    ("l_suppkey",): 2.0**-10,
+    ("l_linenumber",): 2.0**-4,
+    ("l_orderkey", "l_partkey"): 2.0**-34,
+    ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"): 2.0**-48,
+}
+WIDE_INTERCEPT = -6.0
+
+
+def factor_wide_group(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions from a factor table of four variables, made over the combinations that occur."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    design = fit_design(lines, [tuple(Num(v) for v in term) for term in WIDE_TERMS])
+    weights = {":".join(term): weight for term, weight in WIDE_TERMS.items()}
+    model = GLMPath(design, [0.0], [WIDE_INTERCEPT], [[weights[c.term] for c in design.columns]])
+    scored = factors.FactorAnalysis(spark, model).predict_by_factors(lines)
+    return rounded(scored.select(*lines.columns, "model_pred"), ["model_pred"])
+
+
 def factor_tables_query(spark: SparkSession, d: str) -> DataFrame:
     """Factor tables of a saturated two-way model in long form; factors are the cells' A/E."""
     train = cut_lineage(train_cells(spark, d, [C.SEX, C.SMOKER]))
@@ -805,6 +827,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "factor_groups": factor_groups,
         "prediction_grid": prediction_grid_query,
         "factor_tables": factor_tables_query,
+        "factor_wide_group": factor_wide_group,
         "factor_join": factor_join,
         "factor_product": factor_product,
         "factor_reconstruct": factor_reconstruct,

@@ -6,6 +6,7 @@ from aestudy import columns as C
 from aestudy.operators.design import Cat, Num, Spline, cross, fit_design
 from aestudy.operators.factors import FactorAnalysis, group_members, join_factors, long_factors
 from aestudy.operators.glm import GLMPath, fit_glm_path
+from aestudy.operators.grid import occurring_combinations
 from aestudy.operators.lookup import many_to_one_join, unmatched_keys
 
 AGE = "cr(Attained_Age, df=4, lower_bound=18, upper_bound=90)"
@@ -157,3 +158,33 @@ def test_values_beyond_the_training_range_are_covered_by_the_scored_frame(spark,
         analysis.append_factors(old, analysis.factor_tables(study)).collect()
     both = analysis.predict_by_factors(analysis.model.predict(old, 0, output="direct")).collect()
     assert [r.model_pred for r in both] == pytest.approx([r.direct for r in both], rel=1e-12)
+
+
+def test_combinations_that_occur(spark):
+    data = [(1, "a", 0.5), (1, "a", 2.5), (1, "a", 0.5), (2, None, 0.5), (None, "b", 0.5), (2, "b", None)]
+    df = spark.createDataFrame(data, "k int, s string, x double")
+    groups = [["k", "s"], ["x"], ["s", "k"], ["s", "x"]]
+    pairs, numbers, turned, mixed = (sorted(tuple(r) for r in t.collect()) for t in occurring_combinations(df, groups))
+    assert pairs == [(1, "a"), (2, "b")] and turned == [("a", 1), ("b", 2)]
+    assert numbers == [(0.5,), (2.5,)] and mixed == [("a", 0.5), ("a", 2.5), ("b", 0.5)]
+    assert [t.count() for t in occurring_combinations(df.limit(0), groups)] == [0] * 4
+
+
+def test_a_wide_group_has_a_row_per_occurring_combination(spark):
+    """The ranges multiply to 10^15 combinations; a fraction is a value as well."""
+    data = [(0, 10**5, 0.25), (10**5, 0, 0.5), (10**5, 10**5, 10**5 + 0.5), (0, 10**5, 0.25)]
+    df = spark.createDataFrame(data, "a int, b int, c double")
+    design = fit_design(df, cross(Num("a"), Num("b"), Num("c")))
+    analysis = FactorAnalysis(spark, GLMPath(design, [0.0], [0.1], [[1e-6, -1e-6, 1e-6, 1e-11, -1e-11, 1e-11, 1e-16]]))
+    tables = analysis.occurring_factor_tables(df)
+    assert list(tables) == ["intercept", "a_x_b_x_c"] and tables["a_x_b_x_c"].count() == 3
+    both = analysis.predict_by_factors(analysis.model.predict(df, 0, output="direct")).collect()
+    assert len(both) == 4 and [r.model_pred for r in both] == pytest.approx([r.direct for r in both], rel=1e-12)
+
+
+def test_a_missing_feature_is_in_no_table_made_from_the_frame(spark, study):
+    design = fit_design(study, [(Num("Attained_Age"),)])
+    analysis = FactorAnalysis(spark, GLMPath(design, [0.0], [0.1], [[0.01]]))
+    lacking = study.limit(2).withColumn("Attained_Age", F.lit(None).cast("int"))
+    with pytest.raises(Exception, match="no factor_Attained_Age"):
+        analysis.predict_by_factors(lacking).collect()
