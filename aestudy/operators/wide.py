@@ -2,11 +2,12 @@
 
 A wide category is a main effect with one coefficient per level, beside the ordinary terms of a core
 design. Levels are numbered by a distributed dictionary; cells carry the numbers, not indicators. No
-Hessian is ever built: Newton's equations are solved by conjugate gradients with the diagonal as
-preconditioner, each product of Hessian and vector being one pass in which tasks add up their own cells.
-
-The driver and every task hold vectors with one number per coefficient and open penalty, at most
-``SUMS_PER_PASS`` of them or one penalty's (``MAX_COEFFICIENTS``, 80 MB); more coefficients raise.
+Hessian is ever built. The coefficients of a single wide category are a table that cells are joined with, of any
+length (``wide_levels``). With several wide categories, or a core of more than ``ELIMINATED_CORE`` columns, Newton's
+equations are solved by conjugate gradients with the diagonal as preconditioner, each product of Hessian and vector
+being one pass in which tasks add up their own cells. There the driver and every task hold vectors with one number
+per coefficient and open penalty, at most ``SUMS_PER_PASS`` of them or one penalty's (``MAX_COEFFICIENTS``, 80 MB);
+more coefficients raise.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ from aestudy.operators.checks import require_columns, require_strings
 from aestudy.operators.design import Cat, Design
 from aestudy.operators.dictionary import LevelDictionary, level_dictionary
 from aestudy.operators.glm import CELLS_PER_TASK, INTERCEPT, SUMS_PER_PASS, merge_cells, penalty_path
+from aestudy.operators.wide_levels import core_columns, solve_by_level
 from aestudy.sources.checkpoints import cut_lineage
 
 MAX_COEFFICIENTS = 10_000_000
+#: Core columns up to which the levels of a single wide category are eliminated.
+ELIMINATED_CORE = 16
 #: Coefficients whose sums travel in one row between tasks.
 BLOCK = 1 << 15
 ROWS_AT_ONCE = 8_192
@@ -78,6 +82,19 @@ class WideDesign:
         with_basis = self.core.with_basis(cells)
         return with_basis.withColumns({"x": F.array(F.lit(1.0), *features), "at": F.array(*places)}).drop(*names)
 
+    def keyed(self, cells: DataFrame) -> DataFrame:
+        """Add ``x_1``, ``x_2``, ... (the core features) and ``key`` (the position of the only wide level, -1 for an unknown one)."""
+        features = {f"x_{j}": self.core.feature(c).cast("double") for j, c in enumerate(self.core.columns, 1)}
+        (d,) = self.dictionaries
+        at = d.encode(self.core.with_basis(cells), "__at").withColumns(features)
+        return at.withColumn("key", F.coalesce("__at", F.lit(-1)).cast("long")).drop("__at")
+
+    def levels(self) -> DataFrame:
+        """``(key, free)`` of the only wide category's levels and of the unknown one; ``free`` is 1 for those with a coefficient, else 0."""
+        (d,), (drop,) = self.dictionaries, self.dropped
+        unknown = d.table.sparkSession.createDataFrame([(-1, 0.0)], "key long, free double")
+        return unknown.union(d.table.select("position", (F.col("position") >= drop).cast("double")))
+
 
 def fit_wide_design(df: DataFrame, core: Design, wide: Sequence[str]) -> WideDesign:
     """Learn the levels of the wide categories."""
@@ -89,23 +106,27 @@ def fit_wide_design(df: DataFrame, core: Design, wide: Sequence[str]) -> WideDes
 
 @dataclass
 class WideModel:
-    """Coefficients along a penalty path, one row of ``coefficients`` per penalty."""
+    """Core coefficients along a penalty path, one row of ``core`` per penalty, and per wide category a table of its levels."""
 
     design: WideDesign
     alphas: list[float]
-    coefficients: np.ndarray
+    core: np.ndarray
+    tables: list[DataFrame]  # level, position, weights (one per penalty)
     n_rows: int
 
+    @property
+    def coefficients(self) -> np.ndarray:
+        """All coefficients, one row per penalty. It brings every level to the driver; nothing here uses it."""
+        parts = [self.core]
+        for table, drop in zip(self.tables, self.design.dropped):
+            rows = table.where(F.col("position") >= drop).orderBy("position").select("weights").collect()
+            parts.append(np.array([r[0] for r in rows]).reshape(-1, len(self.alphas)).T)
+        return np.hstack(parts)
+
     def weights(self, alpha_index: int = -1) -> list[DataFrame]:
         """``(level, weight)`` per wide category, all its levels."""
-        own = self.coefficients[alpha_index]
-        tables = []
-        for d, first, drop in zip(self.design.dictionaries, self.design.offsets, self.design.dropped):
-            held = np.concatenate([np.zeros(min(drop, d.n_levels)), own[first : first + max(0, d.n_levels - drop)]])
-            rows = pd.DataFrame({"position": np.arange(d.n_levels), "weight": held})
-            numbered = d.table.sparkSession.createDataFrame(rows, "position long, weight double")
-            tables.append(d.table.join(numbered, "position").select("level", "weight"))
-        return tables
+        place = range(len(self.alphas))[alpha_index]
+        return [t.select("level", F.col("weights")[place].alias("weight")) for t in self.tables]
 
     def predict(self, df: DataFrame, alpha_index: int = -1, exposure: str | None = None, output: str = C.PREDICTION) -> DataFrame:
         """Add the fitted mean, or without ``exposure`` the multiplier of expected.
@@ -115,11 +136,11 @@ class WideModel:
         """
         require_columns(df.columns, self.design.variables)
         core = self.design.core
-        own = self.coefficients[alpha_index]
+        own = self.core[alpha_index]
         kept = [c for c in df.columns if c != output]
         score = F.lit(float(own[0]))
         if core.columns:
-            score = score + core.linear_predictor(dict(zip(core.column_names, map(float, own[1 : self.design.n_core]))))
+            score = score + core.linear_predictor(dict(zip(core.column_names, map(float, own[1:]))))
         rows = core.with_basis(df)
         for i, (d, weights) in enumerate(zip(self.design.dictionaries, self.weights(alpha_index))):
             rows = d.attach(rows, weights, "weight", f"__weight_{i}")
@@ -129,18 +150,24 @@ class WideModel:
 
     def path_scores(self, df: DataFrame, actual: str = C.ACTUAL, expected: str = C.EXPECTED) -> DataFrame:
         """``(alpha_index, pos, score)``: the objective's derivative by every coefficient, zero at a fit."""
-        cells = cut_lineage(merge_cells(df, self.design, actual, expected))
+        design = self.design
+        cells = cut_lineage(merge_cells(df, design, actual, expected))
         n = cells.agg(F.sum("n")).first()[0]
+        features = {f"x_{j}": design.core.feature(c).cast("double") for j, c in enumerate(design.core.columns, 1)}
         parts = []
         for i, alpha in enumerate(self.alphas):
-            rows = self.design.encode(self.predict(cells, i, "e", "__mean"))
-            entries = F.expr("concat(transform(x, (v, j) -> struct(cast(j as bigint) AS pos, v AS v)), transform(at, p -> struct(p AS pos, 1D AS v)))")
-            sums = rows.select((F.col("__mean") - F.col("y")).alias("r"), F.inline(entries)).groupBy("pos").agg(F.expr("sum(r * v)").alias("s"))
-            pull = alpha * self.coefficients[i]
+            rows = self.predict(cells, i, "e", "__mean").withColumn("r", F.col("__mean") - F.col("y"))
+            pull = alpha * self.core[i]
             pull[0] = 0.0
-            held = df.sparkSession.createDataFrame(pd.DataFrame({"pos": np.arange(len(pull)), "pull": pull}), "pos long, pull double")
-            score = F.coalesce(F.col("s"), F.lit(0.0)) / n + F.col("pull")
-            parts.append(held.join(sums, "pos", "left").select(F.lit(i).alias("alpha_index"), "pos", score.alias("score")))
+            sums = [F.coalesce(F.sum(F.col("r") * x), F.lit(0.0)) for x in core_columns(design.n_core)]
+            entries = [F.struct(F.lit(j).cast("long").alias("pos"), (s / n + float(p)).alias("score")) for j, (s, p) in enumerate(zip(sums, pull))]
+            with_core = design.core.with_basis(rows).withColumns(features)
+            parts.append(with_core.agg(F.array(*entries).alias("all")).select(F.lit(i).alias("alpha_index"), F.inline("all")))
+            for d, table, first, drop in zip(design.dictionaries, self.tables, design.offsets, design.dropped):
+                own = rows.groupBy(F.col(d.column).alias("level")).agg(F.sum("r").alias("s"))
+                held = table.where(F.col("position") >= drop).join(own, "level", "left")
+                score = F.coalesce(F.col("s"), F.lit(0.0)) / n + alpha * F.col("weights")[i]
+                parts.append(held.select(F.lit(i).alias("alpha_index"), (F.col("position") - drop + first).alias("pos"), score.alias("score")))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
@@ -158,11 +185,12 @@ def fit_wide_path(
 ) -> WideModel:
     """Fit the regression of ``fit_glm_path`` (same objective, free intercept) at every penalty.
 
-    Rows with a NULL feature are left out. Cells are spread by the first wide category's places and a hash of the
+    Rows with a NULL feature are left out. Without a table of coefficients cells are spread by the first wide category's places and a hash of the
     other features, so that a level with very many cells is split and tasks touch few blocks of coefficients.
     """
     require_columns(df.columns, [*design.variables, actual, expected])
-    if design.size > MAX_COEFFICIENTS:
+    by_level = len(design.dictionaries) == 1 and design.n_core <= ELIMINATED_CORE
+    if not by_level and design.size > MAX_COEFFICIENTS:
         raise ValueError(f"the design has {design.size} coefficients, the solver takes up to {MAX_COEFFICIENTS}")
     alphas = penalty_path() if alphas is None else [float(a) for a in alphas]
     if min(alphas) <= 0:
@@ -175,6 +203,10 @@ def fit_wide_path(
         raise ValueError(f"{totals['n_bad']} rows lack an actual or have a non-positive expected count")
     if not totals["y"] > 0:
         raise ValueError("the actual counts sum to zero")
+    if by_level:
+        rate = float(np.log(totals["y"] / totals["e"]))
+        core, weights = solve_by_level(cells, design, alphas, rate, totals["n_cells"], totals["n"], tol, max_iter)
+        return WideModel(design, alphas, core, [weights], int(totals["n"]))
     spread = 1 + totals["n_cells"] // CELLS_PER_TASK // 4
     encoded = design.encode(cells).withColumn("__salt", F.xxhash64(*design.variables))
     training = encoded.repartitionByRange(spread, F.col("at")[0], "__salt").select("y", F.ln("e").alias("log_e"), "x", "at").persist()
@@ -185,7 +217,14 @@ def fit_wide_path(
         fits = [_solve(training, design, np.array(alphas[i : i + at_once]), start, totals["n"], tol, max_iter) for i in range(0, len(alphas), at_once)]
     finally:
         training.unpersist()
-    return WideModel(design, alphas, np.concatenate(fits), int(totals["n"]))
+    found = np.concatenate(fits)
+    tables = []
+    for d, first, drop in zip(design.dictionaries, design.offsets, design.dropped):
+        held = np.hstack([np.zeros((len(alphas), min(drop, d.n_levels))), found[:, first : first + max(0, d.n_levels - drop)]])
+        rows = pd.DataFrame({"position": np.arange(d.n_levels), "weights": held.T.tolist()})
+        numbered = df.sparkSession.createDataFrame(rows, "position long, weights array<double>")
+        tables.append(cut_lineage(d.table.join(numbered, "position").select("level", "position", "weights")))
+    return WideModel(design, alphas, found[:, : design.n_core], tables, int(totals["n"]))
 
 
 def _solve(training: DataFrame, design: WideDesign, alphas: np.ndarray, start: np.ndarray, n: int, tol: float, max_iter: int) -> np.ndarray:

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aestudy import columns as C
+from aestudy.operators import wide, wide_levels
 from aestudy.operators.design import Cat, Num, fit_design
 from aestudy.operators.dictionary import level_dictionary
 from aestudy.operators.glm import fit_glm_path
@@ -103,3 +104,18 @@ def test_wide_scoring_is_generated_code(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert "BroadcastHashJoin" in plan and plan.lstrip().startswith("*(")
     assert scored.agg(F.sum(C.PREDICTION)).first()[0] == pytest.approx(sum(i % 3 for i in range(20_000)), rel=1e-6)
+
+
+def test_one_wide_category_has_no_limit_and_splits_levels(spark, rows, core, monkeypatch):
+    monkeypatch.setattr(wide, "MAX_COEFFICIENTS", 10)
+    monkeypatch.setattr(wide_levels, "CELLS_PER_TASK", 10)
+    monkeypatch.setattr(wide_levels, "SUMS_PER_PASS", 12)
+    more = rows.unionByName(rows.limit(5).withColumns({"Year": F.lit("only here"), C.SEX: F.lit(None).cast("string")}))
+    model = fit_wide_path(more, fit_wide_design(more, core, ["Year"]), ALPHAS[:2])
+    dense = fit_glm_path(rows, fit_design(rows, [(Cat(C.SEX),), (Num(C.ATTAINED_AGE),), (Cat("Year"),)]), ALPHAS[:2])
+    for i in range(2):
+        expected = np.sort([*dense.by_name(i).values(), 0.0])  # the level without a usable row
+        assert np.allclose(np.sort(model.coefficients[i]), expected, atol=1e-6)
+    scores = model.path_scores(more).collect()
+    assert len({(r["alpha_index"], r["pos"]) for r in scores}) == len(scores) == 2 * model.design.size
+    assert max(abs(r["score"]) for r in scores) < 1e-7
