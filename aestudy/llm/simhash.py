@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aestudy.llm.common import keyed_texts
-from aestudy.sources.checkpoints import cut_lineage
+from aestudy.sources.checkpoints import cut_lineage, scratch_path
 
 SEED = 42
 #: Shingles whose bits are counted at once, a bound on memory for very long texts.
@@ -252,8 +252,19 @@ TILE_BYTES = 24 << 20
 FEWEST_BLOCKS = 6
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (low, high) of nodes (node, first) whose texts have at least the Jaccard similarity.
+def node_texts(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(node, bytes, text): one text of every node (node, first), written once in compressed files."""
+    wanted = nodes.select("node", F.col("first.digest").alias("digest"))
+    own = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = own.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    texts = own.join(wanted, "digest").dropDuplicates(["digest"]).select("node", F.octet_length("text").cast("long").alias("bytes"), "text")
+    folder = scratch_path(docs.sparkSession, "node-texts")
+    texts.write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (low, high) of nodes whose texts (node, bytes, text) have at least the Jaccard similarity.
 
     Nodes are dealt into blocks by hash, and a pair belongs to the tile of its two blocks. A text is sent to
     a tile once, however many pairs it has there, and a tile holds the sets of two blocks at most.
@@ -261,11 +272,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     pairs = cut_lineage(pairs)
     least = Fraction(str(similarity))
     met = pairs.select(F.col("low").alias("node")).union(pairs.select(F.col("high").alias("node"))).distinct()
-    wanted = nodes.join(met, "node").select("node", F.col("first.digest").alias("digest"))
-    own = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    texts = cut_lineage(own.join(wanted, "digest").dropDuplicates(["node"]).select("node", "text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = texts.select("node", "bytes").join(met, "node").agg(F.sum("bytes")).first()[0] or 0
     blocks = max(FEWEST_BLOCKS, -(-size // TILE_BYTES))
 
     def block(name: str) -> Column:
@@ -273,7 +280,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
 
     tiled = pairs.withColumn("tile", F.least(block("low"), block("high")) * blocks + F.greatest(block("low"), block("high")))
     users = tiled.select("tile", F.col("low").alias("node")).union(tiled.select("tile", F.col("high").alias("node"))).distinct()
-    sent = users.join(texts, "node").select(F.col("tile").alias("to_tile"), "node", "text")
+    sent = users.join(texts.select("node", "text"), "node").select(F.col("tile").alias("to_tile"), "node", "text")
 
     def compare(own_pairs: pa.Table, own_texts: pa.Table) -> pa.Table:
         sets = {node: shingle_set(text.as_py().encode(), words) for node, text in zip(own_texts.column("node").to_pylist(), own_texts.column("text"))}
@@ -347,12 +354,13 @@ def near_groups(
         stars = star_links(bits, radius, lanes, segments)
     else:
         bits = cut_lineage(banded(nodes.select("node", "size", *parts), similarity))
-        stars = verified(star_candidates(bits, radius, lanes, segments), nodes, docs, text_col, words, similarity)
+        texts = node_texts(nodes, docs, text_col)
+        stars = verified(star_candidates(bits, radius, lanes, segments), texts, words, similarity)
     starred = cut_lineage(rooted(bits.withColumn("root", F.col("node")), stars))
     if similarity is None:
         edges = links(starred, radius, segments, lanes, reach)
     else:
-        pairs = verified(candidates(starred, radius, segments, lanes, reach), nodes, docs, text_col, words, similarity)
+        pairs = verified(candidates(starred, radius, segments, lanes, reach), texts, words, similarity)
         of = [starred.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")) for side in ("low", "high")]
         edges = pairs.join(of[0], "low").join(of[1], "high").select(F.col("low_root").alias("low"), F.col("high_root").alias("high")).distinct()
     grouped = rooted(starred, edges).select("node", *parts, "root")
