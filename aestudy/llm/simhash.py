@@ -21,6 +21,11 @@ distinct set of shingles is a node, and two nodes that meet within ``radius`` bi
 Jaccard similarity of their sets, computed from the texts, reaches it. Sets are compared by 64-bit
 hashes of the shingles, in tiles of two blocks of nodes, to which a text is sent once. Sets whose sizes alone rule the similarity out do not meet.
 
+Fingerprints nominate nearly all pairs of a large group whose members differ from a common text, most
+of them below the similarity. So nodes that the stars' nominations join to a crowd of more than ``CROWD``
+are not paired with each other by fingerprints, but by what sets them apart from the crowd's common
+shingles (``crowd_links``), which finds every pair of the crowd that reaches the similarity.
+
 Words are maximal runs of characters other than space and tab to carriage return, with A-Z
 lower-cased; shingles are words joined by a space, repeats included. A text of fewer words is one
 shingle; a text without words has the fingerprint zero, which links like any other. Null texts are
@@ -252,19 +257,23 @@ TILE_BYTES = 24 << 20
 FEWEST_BLOCKS = 6
 
 
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """node and the text of its first row, of all ``wanted`` nodes."""
+    digests = nodes.join(wanted, "node").select("node", F.col("first.digest").alias("digest"))
+    own = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = own.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    return own.join(digests, "digest").dropDuplicates(["node"]).select("node", "text")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (low, high) of nodes (node, first) whose texts have at least the Jaccard similarity.
+    """The pairs (low, high), checkpointed ones, of nodes (node, first) whose texts have at least the Jaccard similarity.
 
     Nodes are dealt into blocks by hash, and a pair belongs to the tile of its two blocks. A text is sent to
     a tile once, however many pairs it has there, and a tile holds the sets of two blocks at most.
     """
-    pairs = cut_lineage(pairs)
     least = Fraction(str(similarity))
     met = pairs.select(F.col("low").alias("node")).union(pairs.select(F.col("high").alias("node"))).distinct()
-    wanted = nodes.join(met, "node").select("node", F.col("first.digest").alias("digest"))
-    own = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    texts = cut_lineage(own.join(wanted, "digest").dropDuplicates(["node"]).select("node", "text"))
+    texts = cut_lineage(texts_of(met, nodes, docs, text_col))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(FEWEST_BLOCKS, -(-size // TILE_BYTES))
 
@@ -307,6 +316,92 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
+#: Nodes that a group joined by nominations may have for its pairs to be met by fingerprints.
+CROWD = 64
+#: Classes of a crowd's members by how far they stand apart.
+CLASSES = 16
+
+
+def crowds_of(met: DataFrame) -> DataFrame:
+    """node and crowd, the smallest node of its group, of the nodes that the pairs (low, high) join to more than ``CROWD``."""
+    grouped = contract(met)
+    large = grouped.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > CROWD)
+    return grouped.join(large, "root").select("node", F.col("root").alias("crowd"))
+
+
+def crowd_members(crowded: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """node, crowd, root of ``crowded``, the size of the node's set, and as ``apart`` the hashes that either it or the crowd's common set has.
+
+    The common set has what over half of the members have, so it is at most twice their mean size.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py().encode(), words).view(np.int64).tolist() for text in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["node", "crowd", "root", "hashes"])
+
+    own = crowded.join(texts, "node").select("node", "crowd", "root", "text")
+    members = cut_lineage(own.mapInArrow(hashed, "node long, crowd long, root long, hashes array<long>"))
+    count = members.groupBy("crowd").agg(F.count("*").alias("members"))
+    held = members.select("crowd", F.explode("hashes").alias("h")).groupBy("crowd", "h").agg(F.count("*").alias("n"))
+    common = held.join(count, "crowd").where(F.col("n") * 2 > F.col("members")).groupBy("crowd").agg(F.collect_list("h").alias("common"))
+    both = members.join(common, "crowd", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    apart = F.concat(F.array_except("hashes", "common"), F.array_except("common", "hashes"))
+    return both.select("node", "crowd", "root", F.size("hashes").alias("size"), apart.alias("apart"))
+
+
+def crowd_links(crowded: DataFrame, texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (low, high) within crowds, of nodes (node, crowd, root): sure ones, and ones to be verified.
+
+    The sets A and B of two members stand a and b hashes apart from the common set, and c of these hashes are the
+    same, so they differ in a + b - 2c. Their similarity s is reached if that is at most (1 - s) / (1 + s) times
+    |A| + |B|, so a member's excess is a - |A| (1 - s) / (1 + s), and a pair needs c of half the sum of both excesses.
+    Where that is not above 0, the pair is sure, and both are sure with the crowd's member of least excess: they are its
+    core and are linked to it alone. Any other pair shares one of the rarest hashes of each, all but the last c - 1
+    in order of their number in the crowd. How many that are is told for each class of partners, so hashes that many
+    members stand apart by are seldom among them. Core members are not met with each other, nor those of one root.
+    """
+    least = Fraction(str(similarity))
+    up, down = least.denominator + least.numerator, least.denominator - least.numerator
+    members = crowd_members(crowded, texts, words).withColumn("excess", F.size("apart").cast("long") * up - F.col("size") * down)
+    members = cut_lineage(members)
+    spread = members.groupBy("crowd").agg(F.min(F.struct("excess", "node")).alias("hub"), F.max("excess").alias("most"))
+    width = F.floor((F.col("most") - F.col("hub.excess")) / CLASSES) + 1
+    placed = members.join(spread.select("crowd", "hub", width.alias("width")), "crowd")
+    core = F.col("excess") + F.col("hub.excess") <= 0
+    placed = placed.withColumn("core", core).withColumn("class", F.floor((F.col("excess") - F.col("hub.excess")) / F.col("width")))
+    sure = placed.where("core AND node <> hub.node").select(F.least("node", "hub.node").alias("low"), F.greatest("node", "hub.node").alias("high"))
+
+    kinds = placed.groupBy("crowd", "core", "class").agg(F.min("excess").alias("least"), F.max(F.size("apart")).alias("longest"))
+    kinds = kinds.groupBy("crowd").agg(F.collect_list(F.struct("core", "class", "least", "longest")).alias("kinds"))
+    apart = members.select("crowd", "node", F.explode("apart").alias("h"))
+    shared = apart.groupBy("crowd", "h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = apart.join(shared, ["crowd", "h"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("shared"))
+    ranked = cut_lineage(placed.drop("apart", "size", "hub", "width").join(shared, "node").join(kinds, "crowd"))
+
+    own = ranked.select("*", F.explode("kinds").alias("other")).where("NOT (core AND other.core)")
+    need = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("other.least")) / (2 * up)))
+    own = own.withColumn("need", need).where(F.col("need") <= F.col("other.longest"))
+    # The hash at place i has size(shared) - i hashes from it on, of which a pair that meets there first needs all it shares.
+    own = own.select("*", F.posexplode(F.expr("slice(shared, 1, CAST(greatest(0, size(shared) - need + 1) AS int))")).alias("i", "rare"))
+    mine, theirs = F.struct("core", "class"), F.struct("other.core", "other.class")
+    own = own.select(
+        F.xxhash64("crowd", "rare.h", F.least(mine, theirs), F.greatest(mine, theirs)).alias("place"),
+        mine.alias("mine"),
+        theirs.alias("theirs"),
+        "node",
+        "root",
+        "excess",
+        (F.size("shared") - F.col("i")).alias("room"),
+    )
+    a, b = own.alias("a"), own.alias("b")
+    turned = (F.col("a.mine") == F.col("b.theirs")) & (F.col("a.theirs") == F.col("b.mine"))
+    shares = F.ceil((F.col("a.excess") + F.col("b.excess")) / (2 * up))
+    open_pair = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (shares > 0)
+    met = a.join(b, (F.col("a.place") == F.col("b.place")) & turned & open_pair & (shares <= F.least("a.room", "b.room")))
+    return sure, met.select(F.col("a.node").alias("low"), F.col("b.node").alias("high")).distinct()
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -324,7 +419,8 @@ def near_groups(
     has it is kept, of several such rows those with the smallest text digest. Fingerprints have
     ``lanes`` parts of 64 bits, each of ``segments`` segments. Without ``reach`` every pair within
     ``radius`` bits is linked; with it, those with a segment that differs in at most ``reach`` bits.
-    With ``similarity``, of these pairs those whose distinct shingles have that Jaccard similarity.
+    With ``similarity``, of these pairs those whose distinct shingles have that Jaccard similarity, and
+    in crowds all that have it.
     """
     if similarity is not None and not 0 < similarity < 1:
         raise ValueError("a similarity is between 0 and 1")
@@ -347,12 +443,23 @@ def near_groups(
         stars = star_links(bits, radius, lanes, segments)
     else:
         bits = cut_lineage(banded(nodes.select("node", "size", *parts), similarity))
-        stars = verified(star_candidates(bits, radius, lanes, segments), nodes, docs, text_col, words, similarity)
+        nominated = cut_lineage(star_candidates(bits, radius, lanes, segments))
+        stars = verified(nominated, nodes, docs, text_col, words, similarity)
     starred = cut_lineage(rooted(bits.withColumn("root", F.col("node")), stars))
     if similarity is None:
         edges = links(starred, radius, segments, lanes, reach)
     else:
-        pairs = verified(candidates(starred, radius, segments, lanes, reach), nodes, docs, text_col, words, similarity)
+        crowds = cut_lineage(crowds_of(nominated))
+        # Nodes of one root are in one crowd, so a crowd's number can stand for its roots.
+        apart = starred.join(crowds, "node", "left").withColumn("root", F.coalesce("crowd", "root")).drop("crowd")
+        met = candidates(apart, radius, segments, lanes, reach)
+        sure = None
+        if not crowds.isEmpty():
+            texts = texts_of(crowds.select("node"), nodes, docs, text_col)
+            sure, close = crowd_links(crowds.join(starred.select("node", "root"), "node"), texts, words, similarity)
+            met = met.union(close)
+        pairs = verified(cut_lineage(met), nodes, docs, text_col, words, similarity)
+        pairs = pairs if sure is None else pairs.union(sure)
         of = [starred.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")) for side in ("low", "high")]
         edges = pairs.join(of[0], "low").join(of[1], "high").select(F.col("low_root").alias("low"), F.col("high_root").alias("high")).distinct()
     grouped = rooted(starred, edges).select("node", *parts, "root")

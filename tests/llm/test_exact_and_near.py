@@ -164,6 +164,56 @@ def test_pipeline_stage_links_by_the_similarity_of_the_texts(spark):
     assert set(range(0, 160, 2)) <= kept
 
 
+def crowd_texts(n=260, seed=5):
+    """Texts that differ from a common one by up to nine words, of a few places and words, so that some share their changes."""
+    rng = random.Random(seed)
+    common = [f"word{i}" for i in range(90)]
+    rows = {}
+    while len(rows) < n:
+        own = list(common)
+        for _ in range(rng.randint(0, 9)):
+            own[rng.choice([4, 11, 25, 33, 34, 47, 58, 66, 75, 83, 88])] = rng.choice("abc")
+        rows.setdefault(" ".join(own), len(rows))
+    return [(i, t) for t, i in rows.items()]
+
+
+def jaccard(texts, words=5):
+    sets = {i: {" ".join(t.split()[k : k + words]) for k in range(len(t.split()) - words + 1)} for i, t in texts}
+    return {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+def reach_labels(names, pairs):
+    """The smallest name reachable over the pairs, by name."""
+    label, before = {i: i for i in names}, None
+    while label != before:
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_a_crowd_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rows = crowd_texts()
+    compared, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    found = simhash.near_groups(cases.frame(spark, rows), words=5, radius=56, segments=4, lanes=4, reach=1, similarity=0.8).collect()
+    label = reach_labels([i for i, _ in rows], jaccard(rows))
+    assert len(set(label.values())) > 20
+    assert {r["doc_id"]: r["component_id"] for r in found} == label
+    assert sum(compared) < 16 * len(rows)
+
+
+@pytest.mark.parametrize("rows", [crowd_texts(120, 1), crowd_texts(200, 2) + [(1000 + i, " ".join(f"other{k}" for k in range(40 + i % 9)) + f" x{i} y{i}") for i in range(90)]])
+def test_crowd_links_miss_no_pair(spark, rows):
+    frame = spark.createDataFrame([(i, t) for i, t in rows], "node long, text string")
+    crowded = frame.selectExpr("node", "CAST(node >= 1000 AS long) AS crowd", "node AS root")
+    sure, close = simhash.crowd_links(crowded, frame, 5, 0.8)
+    sure, close = ({(r["low"], r["high"]) for r in pairs.collect()} for pairs in (sure, close))
+    links = jaccard(rows)
+    assert sure <= links
+    assert reach_labels([i for i, _ in rows], sure | (close & links)) == reach_labels([i for i, _ in rows], links)
+
+
 def test_ball_and_segments_cover_the_radius():
     assert len(simhash.ball(32, 1)) == 33 and len(simhash.ball(16, 2)) == 137
     assert simhash.segment_bounds(3) == [(0, 21), (21, 22), (43, 21)]
