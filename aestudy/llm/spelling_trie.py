@@ -1,9 +1,12 @@
 """Spelling variants: words one edit apart, found by walking a trie that is a distributed table.
 
-The trie of the counted words has one row per node: its prefix, whether a word ends there, and its
+Two words one edit apart are the same before the middle or behind it. So there are two tries, of the
+words and of the words written backwards, and an edit is made only at or behind the middle, where a trie's
+nodes have few edges: the walk forwards finds neighbours with the same first half, the walk backwards
+those with another one. A trie has one row per node: its prefix and its
 edges (a letter, the letters that follow it, whether a word ends behind it), never more than the
-alphabet has letters. The frontier holds states (word, position, node, edit). At each level the states
-that stand at nodes of that depth are joined to these nodes and take one edge:
+alphabet has letters; nodes before the middle of all their words are left out. The frontier holds states (word, position, node, edit).
+At each level the states that stand at nodes of that depth are joined to these nodes and take one edge:
 
 * a state without an edit stands at its word's own prefix; with an edge other than the word's next
   letter it becomes a replacement (the letter is passed over) or an insertion (it is not);
@@ -11,9 +14,9 @@ that stand at nodes of that depth are joined to these nodes and take one edge:
 
 An edge's following letters drop a state that could not go on. A state that has used up its word where a
 word ends is a neighbour. Deletions are insertions seen from the other word, so they are turned round at
-the end. An edge equal to the next letter is never inserted, so each neighbour is found once.
+the end. An edge equal to the next letter is never inserted, so each walk finds a neighbour once.
 
-Nodes of the first two depths are at most 1 + the alphabet's letters and are broadcast; below, a join
+Nodes of the first two depths are at most 1 + the alphabet's letters in each trie and are broadcast; below, a join
 by node is left to adaptive execution, which splits a node that many words share. Every level is
 written to the shared scratch folder and read on from there. Words longer than ``LEVELS`` would need a level a letter; they meet by the hashes of
 what deleting one letter leaves, one row a letter, and met pairs are checked with the edit distance.
@@ -63,38 +66,50 @@ def count_words(docs: DataFrame, drop_one_in: int | None = 97, least_length: int
     return counted.where(F.col("n") >= least_count)
 
 
-def trie_nodes(words: DataFrame) -> DataFrame:
-    """The trie of ``words``, one row per node: depth, node, ends, edges (letter, following letters, ends)."""
-    steps = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("depth"))
-    steps = steps.select("depth", F.expr("substring(word, 1, depth)").alias("node"), F.expr("substring(word, depth + 1, 1)").alias("letter"))
+def both_ways(words: DataFrame) -> DataFrame:
+    """word, back and start: every word forwards and backwards, and the least place of an edit in it."""
+    half = F.expr("length(word) div 2")
+    backwards = words.select(F.reverse("word").alias("word"), F.lit(True).alias("back"), (F.length("word") - half).alias("start"))
+    return words.select("word", F.lit(False).alias("back"), half.alias("start")).union(backwards)
+
+
+def trie_nodes(ways: DataFrame) -> DataFrame:
+    """The tries of ``ways`` where states can stand, one row per inner node: depth, back, node, edges (letter, following letters, ends).
+
+    A word is a neighbour of one a letter shorter, whose edits start at the same place or one before its own.
+    """
+    least = F.when(F.col("back"), F.expr("length(word) div 2")).otherwise(F.expr("greatest(0, length(word) - 1) div 2"))
+    steps = ways.select("word", "back", F.explode(F.sequence(least.cast("int"), F.length("word"))).alias("depth"))
+    steps = steps.select("depth", "back", F.expr("substring(word, 1, depth)").alias("node"), F.expr("substring(word, depth + 1, 1)").alias("letter"))
     letters = F.collect_set(F.when(F.col("letter") != "", F.col("letter")))
-    nodes = steps.groupBy("depth", "node").agg(F.concat_ws("", F.sort_array(letters)).alias("following"), F.max(F.col("letter") == "").alias("ends"))
-    own = nodes.select("depth", "node", F.lit(None).cast("struct<letter: string, following: string, ends: boolean>").alias("edge"))
+    nodes = steps.groupBy("depth", "back", "node").agg(F.concat_ws("", F.sort_array(letters)).alias("following"), F.max(F.col("letter") == "").alias("ends"))
     up = nodes.where("depth > 0").select(
         (F.col("depth") - 1).alias("depth"),
+        "back",
         F.expr("substring(node, 1, depth - 1)").alias("node"),
         F.struct(F.expr("substring(node, depth, 1)").alias("letter"), "following", "ends").alias("edge"),
     )
-    return own.union(up).groupBy("depth", "node").agg(F.collect_list("edge").alias("edges"))
+    return up.groupBy("depth", "back", "node").agg(F.collect_list("edge").alias("edges"))
 
 
 def walk_trie(words: DataFrame, longest: int) -> DataFrame:
     """word, near, edit of all words one replaced (1) or inserted (2) letter away; ``words`` are checkpointed."""
     spark = words.sparkSession
     folder = scratch_path(spark, "trie")
-    trie_nodes(words).write.partitionBy("depth").parquet(folder)
-    nodes = spark.read.schema("node string, edges array<struct<letter: string, following: string, ends: boolean>>, depth int").parquet(folder)
+    ways = both_ways(words)
+    trie_nodes(ways).write.partitionBy("depth").parquet(folder)
+    nodes = spark.read.schema("back boolean, node string, edges array<struct<letter: string, following: string, ends: boolean>>, depth int").parquet(folder)
     levels = scratch_path(spark, "trie-levels")
-    states_schema = "word string, pos int, node string, edit int"
+    states_schema = "word string, back boolean, pos int, node string, edit int"
     frontier = None
     for depth in range(longest + 1):
-        states = words.where(F.length("word") >= depth).select("word", F.lit(depth).alias("pos"), F.expr(f"substring(word, 1, {depth})").alias("node"), F.lit(0).alias("edit"))
+        states = ways.where((F.col("start") <= depth) & (F.length("word") >= depth)).select("word", "back", F.lit(depth).alias("pos"), F.expr(f"substring(word, 1, {depth})").alias("node"), F.lit(0).alias("edit"))
         if frontier is not None:
             states = states.union(frontier)
-        level = nodes.where(F.col("depth") == depth).select("node", "edges")
-        here = states.join(F.broadcast(level) if depth <= BROADCAST_DEPTH else level, "node")
+        level = nodes.where(F.col("depth") == depth).select("back", "node", "edges")
+        here = states.join(F.broadcast(level) if depth <= BROADCAST_DEPTH else level, ["back", "node"])
         ahead = [F.expr(f"substring(word, pos + {k}, 1)").alias(f"next{k}") for k in (1, 2)]
-        edges = here.select("word", "pos", "edit", "node", *ahead, F.inline("edges"))
+        edges = here.select("word", "back", "pos", "edit", "node", *ahead, F.inline("edges"))
         fresh, other = F.col("edit") == 0, F.col("letter") != F.col("next1")
         # What is left of the word has to end here, or to go on with a letter that follows the edge.
         fits_next = F.when(F.col("next1") == "", F.col("ends")).otherwise(F.expr("instr(following, next1) > 0"))
@@ -105,11 +120,13 @@ def walk_trie(words: DataFrame, longest: int) -> DataFrame:
         taken = edges.where(replaces | inserts | passes)
         over, stay = F.struct((F.col("pos") + 1).alias("pos"), F.when(fresh, 1).otherwise(F.col("edit")).alias("edit")), F.struct("pos", F.lit(2).alias("edit"))
         to = F.when(replaces & inserts, F.array(over, stay)).when(inserts, F.array(stay)).otherwise(F.array(over))
-        moved = taken.select("word", F.concat("node", "letter").alias("node"), F.inline(to))
-        moved.select("word", "pos", "node", "edit").write.parquet(f"{levels}/level={depth}")
+        moved = taken.select("word", "back", F.concat("node", "letter").alias("node"), F.inline(to))
+        moved.select("word", "back", "pos", "node", "edit").write.parquet(f"{levels}/level={depth}")
         frontier = spark.read.schema(states_schema).parquet(f"{levels}/level={depth}").where(F.col("pos") < F.length("word"))
     ended = spark.read.schema(f"{states_schema}, level int").parquet(levels).where(F.col("pos") == F.length("word"))
-    return ended.select("word", F.col("node").alias("near"), "edit")
+    word, near = (F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c)) for c in ("word", "node"))
+    found = ended.select(word.alias("word"), near.alias("near"), "edit", "back")
+    return found.where("NOT back OR left(word, length(word) div 2) <> left(near, length(word) div 2)").drop("back")
 
 
 def deletion_hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

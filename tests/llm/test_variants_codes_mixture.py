@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import zlib
 
 import cases
@@ -80,6 +81,17 @@ def test_variants_of_nothing(spark):
     assert [tuple(r) for r in alone] == [("words", None, "words", 4, 0, None)]
 
 
+def test_words_are_walked_from_their_middle(spark, monkeypatch):
+    rng, folders, place = random.Random(4), [], spelling_trie.scratch_path
+    monkeypatch.setattr(spelling_trie, "scratch_path", lambda session, name: folders.append(place(session, name)) or folders[-1])
+    words = {"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(1500)}
+    pairs = [tuple(r) for r in spelling_trie.near_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()]
+    letters = "abcdé"
+    edits = {w: {w[:i] + c + w[i + k :] for i in range(len(w) + 1) for k in (0, 1) for c in ["", *letters]} - {w} for w in words}
+    assert sorted(pairs) == sorted((w, near) for w in words for near in edits[w] & words)
+    assert spark.read.parquet(next(f for f in folders if "trie-levels" in f)).count() < 25 * len(words)
+
+
 def brute_codes(rows, parts, entries, rounds):
     kept = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
