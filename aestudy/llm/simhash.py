@@ -22,7 +22,7 @@ Jaccard similarity of their sets, computed from the texts, reaches it. Sets are
 hashes of the shingles, in tiles of two blocks of nodes, to which a text is sent once. Sets whose sizes alone rule the similarity out do not meet.
 
 Fingerprints nominate nearly all pairs of a large group whose members differ from a common text, most
-of them below the similarity. So nodes that the stars' nominations join to a crowd of more than ``CROWD``
+of them below the similarity. So nodes that stars of a wider radius join to a crowd of more than ``CROWD``
 are not paired with each other by fingerprints, but by what sets them apart from the crowd's common
 shingles (``crowd_links``), which finds every pair of the crowd that reaches the similarity.
 
@@ -38,6 +38,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -47,13 +48,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aestudy.llm.common import keyed_texts
-from aestudy.sources.checkpoints import cut_lineage
+from aestudy.sources import checkpoints
 
 SEED = 42
 #: Shingles whose bits are counted at once, a bound on memory for very long texts.
 BLOCK = 1 << 16
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint, without the shuffle files that made it: dozens of steps' would add up."""
+    return checkpoints.cut_lineage(df, free=True)
+
+
 def shingled(text: bytes, words: int) -> tuple[bytes, list[int], list[int]]:
     """The words of a UTF-8 text joined by a space, and where each shingle starts and ends in it."""
     parts = text.lower().split()
@@ -156,10 +162,12 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def entries(nodes: DataFrame, lanes: int, segments: int, reach: int) -> DataFrame:
-    """The rows of ``nodes`` once per segment and value within ``reach`` bits of their own, with columns segment and value."""
+def entries(nodes: DataFrame, lanes: int, segments: int, reach: int, only: int | None = None) -> DataFrame:
+    """The rows of ``nodes`` once per segment (``only``: of this part) and value within ``reach`` bits of their own, with columns segment and value."""
     rows, widths = [], {width for _, width in segment_bounds(segments)}
     for lane, name in enumerate(parts_of(lanes)):
+        if only not in (None, lane):
+            continue
         for s, (first, width) in enumerate(segment_bounds(segments)):
             value = F.shiftrightunsigned(F.col(name), first).bitwiseAND(F.lit((1 << width) - 1))
             rows.append(F.struct(F.lit(lane * segments + s).alias("segment"), F.lit(width).alias("width"), value.alias("value")))
@@ -208,19 +216,25 @@ def banded(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def star_candidates(nodes: DataFrame, radius: int, lanes: int, segments: int) -> DataFrame:
-    """Pairs (low, high) as in ``star_links``, of nodes with (node, band, bits0, ...), the heads taken by band."""
+    """Pairs (low, high) as in ``star_links`` and their distance as bits, of nodes with (node, band, bits0, ...), the heads taken by band.
+
+    A head meets the next band as well, so that a large group whose sizes lie in two bands is joined to one.
+    """
     rows = entries(nodes, lanes, segments, 0)
     heads = rows.groupBy("segment", "value", "band").agg(F.min(F.struct("node", *parts_of(lanes))).alias("head"))
-    near = (F.col("head.node") < F.col("row.node")) & (distance("head", "row", lanes) <= radius)
+    heads = heads.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    near = (F.col("head.node") != F.col("row.node")) & (distance("head", "row", lanes) <= radius)
     met = rows.alias("row").join(heads, ["segment", "value", "band"]).where(near)
-    return met.select(F.col("head.node").alias("low"), F.col("row.node").alias("high")).distinct()
+    pair = F.least("head.node", "row.node").alias("low"), F.greatest("head.node", "row.node").alias("high")
+    return met.select(*pair, distance("head", "row", lanes).alias("bits")).distinct()
 
 
 def candidates(nodes: DataFrame, radius: int, segments: int, lanes: int, reach: int | None = None) -> DataFrame:
     """Pairs (low, high) of nodes (node, root, band, bits0, ...) with different roots, in one band or in neighbouring ones, that differ in at most ``radius`` bits and meet as in ``links``.
 
     Entries carry only the first ``SKETCH_PARTS`` parts, which rule out most chance meetings; what is left is
-    compared by all parts.
+    compared by all parts. The segments of each part are met by a job of their own, so that the entries of one part
+    at a time lie on disk.
     """
     if reach is None:
         reach = radius // (segments * lanes)
@@ -228,13 +242,16 @@ def candidates(nodes: DataFrame, radius: int, segments: int, lanes: int, reach:
     wide = nodes.withColumn("band", F.explode(F.array(*(F.col("band") + F.lit(k) for k in (-1, 0, 1)))))
     place = F.shiftleft(F.col("band") * (segments * lanes) + F.col("segment"), 32).bitwiseXOR(F.col("value")) if segments > 1 else F.struct("band", "segment", "value")
 
-    def keyed(rows: DataFrame, reach: int) -> DataFrame:
-        return entries(rows, lanes, segments, reach).select("node", "root", *parts_of(carried), place.alias("place"))
+    def keyed(rows: DataFrame, reach: int, lane: int) -> DataFrame:
+        return entries(rows, lanes, segments, reach, lane).select("node", "root", *parts_of(carried), place.alias("place"))
+
+    def met_by(lane: int) -> DataFrame:
+        low, high = keyed(wide, reach // 2, lane).alias("low"), keyed(nodes, reach - reach // 2, lane).alias("high")
+        same = F.col("low.place") == F.col("high.place")
+        near = low.join(high, same & (F.col("low.root") < F.col("high.root")) & (distance("low", "high", carried) <= sketch_radius(radius, carried, lanes)))
+        return cut_lineage(near.select(F.col("low.node").alias("low"), F.col("high.node").alias("high")).distinct())
 
-    low, high = keyed(wide, reach // 2).alias("low"), keyed(nodes, reach - reach // 2).alias("high")
-    same = F.col("low.place") == F.col("high.place")
-    met = low.join(high, same & (F.col("low.root") < F.col("high.root")) & (distance("low", "high", carried) <= sketch_radius(radius, carried, lanes)))
-    met = met.select(F.col("low.node").alias("low"), F.col("high.node").alias("high")).distinct()
+    met = reduce(DataFrame.union, [met_by(lane) for lane in range(lanes)]).distinct()
     if carried == lanes:
         return met
     sides = [nodes.select(F.col("node").alias(side), F.struct(*parts_of(lanes)).alias(f"{side}_bits")) for side in ("low", "high")]
@@ -293,25 +310,32 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     return tiled.groupBy("tile").cogroup(sent.groupBy("to_tile")).applyInArrow(compare, "low long, high long")
 
 
+#: Edges that a task of a contraction may have before there are two, as rounds over few edges are many.
+EDGES_A_TASK = 1 << 17
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (low, high): root is the smallest node reachable.
 
     Large-star and small-star rounds alternate until nothing changes; minima are pre-aggregated,
-    so that a node with very many neighbours needs no task of its own.
+    so that a node with very many neighbours needs no task of its own. A round has as many tasks as its
+    edges ask for, whatever the number of partitions of shuffles.
     """
     edges = cut_lineage(edges.select(F.greatest("low", "high").alias("u"), F.least("low", "high").alias("v")))
-    seen = None
+    count, seen = edges.count(), None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tasks = -(-count // EDGES_A_TASK) or 1
+        edges = edges.coalesce(tasks)
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
-        edges = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        count, seen = now[0], now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
@@ -322,6 +346,14 @@ CROWD = 64
 CLASSES = 16
 
 
+def crowd_radius(radius: int, lanes: int) -> int:
+    """Bits within which stars join a crowd: half the radius more, where that stays five deviations from unrelated sets.
+
+    Members of a large group who stand too far from the heads to be linked to them would else meet most of the crowd.
+    """
+    return max(radius, min(radius * 3 // 2, int(32 * lanes - 20 * math.sqrt(lanes))))
+
+
 def crowds_of(met: DataFrame) -> DataFrame:
     """node and crowd, the smallest node of its group, of the nodes that the pairs (low, high) join to more than ``CROWD``."""
     grouped = contract(met)
@@ -443,13 +475,14 @@ def near_groups(
         stars = star_links(bits, radius, lanes, segments)
     else:
         bits = cut_lineage(banded(nodes.select("node", "size", *parts), similarity))
-        nominated = cut_lineage(star_candidates(bits, radius, lanes, segments))
+        around = cut_lineage(star_candidates(bits, crowd_radius(radius, lanes), lanes, segments))
+        nominated = around.where(F.col("bits") <= radius).select("low", "high")
         stars = verified(nominated, nodes, docs, text_col, words, similarity)
     starred = cut_lineage(rooted(bits.withColumn("root", F.col("node")), stars))
     if similarity is None:
         edges = links(starred, radius, segments, lanes, reach)
     else:
-        crowds = cut_lineage(crowds_of(nominated))
+        crowds = cut_lineage(crowds_of(around))
         # Nodes of one root are in one crowd, so a crowd's number can stand for its roots.
         apart = starred.join(crowds, "node", "left").withColumn("root", F.coalesce("crowd", "root")).drop("crowd")
         met = candidates(apart, radius, segments, lanes, reach)

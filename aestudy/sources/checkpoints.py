@@ -23,10 +23,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Has Spark remove the shuffle files of a job when it ends, not when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read on from there.
+
+    ``free``: its shuffle files go at once, for long chains of steps that nothing comes back to.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not free:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting holds for frames made under it
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import cases
@@ -230,3 +231,17 @@ def test_keep_rows_keeps_each_row_once(spark):
     kept = keep_rows(docs, tree_dedup.exact_groups(docs))
     assert kept.columns == docs.columns
     assert kept.count() == len({t or "" for _, t in cases.texts()})
+
+
+def test_stars_meet_the_next_band(spark):
+    nodes = spark.createDataFrame([(1, 3, 5), (2, 4, 5), (3, 6, 5)], "node long, band long, bits0 long")
+    assert [(r["low"], r["high"]) for r in simhash.star_candidates(nodes, 3, 1, 2).collect()] == [(1, 2)]
+
+
+def test_contraction_leaves_few_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    edges = spark.range(60).selectExpr("id AS low", "id + 1 AS high")
+    before = disk.getAllFiles().mkString().count("shuffle_")
+    assert {r["root"] for r in simhash.contract(edges).collect()} == {0}
+    time.sleep(2)  # files are removed in the background
+    assert disk.getAllFiles().mkString().count("shuffle_") < before + 100
