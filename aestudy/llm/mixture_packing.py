@@ -235,22 +235,22 @@ def pack_mixture(
     pieces = place_tokens(encoded.select("row", "queue", "n"), most, least, targets)
     kind = encoded.schema["doc_id"].dataType.simpleString()
     dtype = id_type(tokenizer, end_id)
-    size = np.dtype(dtype).itemsize
     block = F.shiftright("row", DOCS_AT_ONCE_BITS)
 
     def cut(rows: pa.Table, places: pa.Table) -> pa.Table:
         """The pieces of some documents, their identifiers taken from the encoded rows."""
         by_row = np.argsort(rows.column("row").to_numpy())
         own = by_row[np.searchsorted(rows.column("row").to_numpy()[by_row], places.column("row").to_numpy())]
-        encoded_ids = rows.column("ids").to_pylist()
+        wide = [np.frombuffer(ids, dtype).astype("<u4") for ids in rows.column("ids").to_pylist()]
+        views = [memoryview(ids).cast("B") for ids in wide]
         start, length = places.column("start").to_numpy(), places.column("length").to_numpy()
-        found = [np.frombuffer(encoded_ids[i], dtype, n, a * size) for i, a, n in zip(own.tolist(), start.tolist(), length.tolist())]
-        crc = np.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids in found], dtype=np.int64)
+        ranges = list(zip(own.tolist(), start.tolist(), (start + length).tolist()))
+        crc = np.fromiter((zlib.crc32(views[i][4 * a : 4 * e]) for i, a, e in ranges), dtype=np.int64, count=len(ranges))
         taken = rows.select(["doc_id", "n"]).take(pa.array(own))
         columns = [taken.column(0), pa.array(start), pa.array(length), pa.array(crc), taken.column(1), places.column("sequence_id"), places.column("offset")]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         if with_ids:
-            columns.append(pa.array([ids.astype(np.int32) for ids in found], pa.list_(pa.int32())))
+            columns.append(pa.array([wide[i][a:e].astype(np.int32) for i, a, e in ranges], pa.list_(pa.int32())))
             names.append("ids")
         return pa.Table.from_arrays(columns, names=names)
 

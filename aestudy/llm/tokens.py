@@ -8,7 +8,6 @@ tokens, or with very long runs with or without white space, by the tokenizers li
 from __future__ import annotations
 
 import json
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +16,18 @@ from tokenizers import Tokenizer
 
 #: Fixed value: how byte-level pre-tokenizers cut a text.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Runs whose cost the faster library doesn't bound.
-LONG_RUN = re.compile(rb"\S{1000}|\s{1000}")
+#: Length of runs whose cost the faster library doesn't bound.
+LONG_RUN = 1000
+#: Bytes to 1 where they are white space, else to 0.
+SPACES = bytes(b in b" \t\n\r\f\v" for b in range(256))
+
+
+def has_long_run(text: bytes) -> bool:
+    """Whether ``LONG_RUN`` bytes in a row are white space, or none of them is."""
+    if len(text) < LONG_RUN:
+        return False
+    marks = text.translate(SPACES)
+    return b"\0" * LONG_RUN in marks or b"\1" * LONG_RUN in marks
 
 
 def byte_letters() -> dict[str, int]:
@@ -43,7 +52,7 @@ class ByteEncoder:
         self.fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: bytes) -> np.ndarray:
-        if any(s in text for s in self.special) or LONG_RUN.search(text):
+        if any(s in text for s in self.special) or has_long_run(text):
             return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4")
         return self.fast.encode_to_numpy(text.decode(), disallowed_special=())
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import cases
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from aestudy.llm import bpe_stream, pattern_packing, token_files
-from aestudy.llm.tokens import BYTE_LEVEL_PATTERN, encoder
+from aestudy.llm.tokens import BYTE_LEVEL_PATTERN, encoder, has_long_run
 from aestudy.sources.checkpoints import scratch_path
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +37,14 @@ def test_byte_ids_equal_the_library():
         assert fast.encode(text.encode()).tolist() == ids_of(own, text), text[:40]
 
 
+def test_long_runs_are_those_of_the_pattern():
+    pattern = re.compile(rb"\S{1000}|\s{1000}")
+    for size in (0, 1, 998, 999, 1000, 1001):
+        for run in (b"a" * size, b" " * size, b"\t\v" * (size // 2), "é".encode() * (size // 2), b"\x1c\xa0" * (size // 2)):
+            for text in (run, b"x " + run, run + b" y", b"x" + run + b"y", b"ab " * 500 + run, run + b"\nab" * 500):
+                assert has_long_run(text) == bool(pattern.search(text)), (size, text[:9])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60))
 def test_any_text_encodes_as_the_library_does(text):
