@@ -55,9 +55,9 @@ SEED = 42
 BLOCK = 1 << 16
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, few: bool = False) -> DataFrame:
     """``df`` from a checkpoint, without the shuffle files that made it: dozens of steps' would add up."""
-    return checkpoints.cut_lineage(df, free=True)
+    return checkpoints.cut_lineage(df, free=True, few=few)
 
 
 def shingled(text: bytes, words: int) -> tuple[bytes, list[int], list[int]]:
@@ -230,7 +230,7 @@ def star_candidates(nodes: DataFrame, radius: int, lanes: int, segments: int) ->
 
 
 def candidates(nodes: DataFrame, radius: int, segments: int, lanes: int, reach: int | None = None) -> DataFrame:
-    """Pairs (low, high) of nodes (node, root, band, bits0, ...) with different roots, in one band or in neighbouring ones, that differ in at most ``radius`` bits and meet as in ``links``.
+    """Pairs (low, high) of nodes (node, root, band, bits0, ...), checkpointed ones, with different roots, in one band or in neighbouring ones, that differ in at most ``radius`` bits and meet as in ``links``.
 
     Entries carry only the first ``SKETCH_PARTS`` parts, which rule out most chance meetings; what is left is
     compared by all parts. The segments of each part are met by a job of their own, so that the entries of one part
@@ -238,6 +238,7 @@ def candidates(nodes: DataFrame, radius: int, segments: int, lanes: int, reach:
     """
     if reach is None:
         reach = radius // (segments * lanes)
+    tasks = tasks_of(nodes)
     carried = min(SKETCH_PARTS, lanes)
     wide = nodes.withColumn("band", F.explode(F.array(*(F.col("band") + F.lit(k) for k in (-1, 0, 1)))))
     place = F.shiftleft(F.col("band") * (segments * lanes) + F.col("segment"), 32).bitwiseXOR(F.col("value")) if segments > 1 else F.struct("band", "segment", "value")
@@ -251,7 +252,7 @@ def candidates(nodes: DataFrame, radius: int, segments: int, lanes: int, reach:
         near = low.join(high, same & (F.col("low.root") < F.col("high.root")) & (distance("low", "high", carried) <= sketch_radius(radius, carried, lanes)))
         return cut_lineage(near.select(F.col("low.node").alias("low"), F.col("high.node").alias("high")).distinct())
 
-    met = reduce(DataFrame.union, [met_by(lane) for lane in range(lanes)]).distinct()
+    met = reduce(DataFrame.union, [met_by(lane).coalesce(tasks) for lane in range(lanes)]).distinct()
     if carried == lanes:
         return met
     sides = [nodes.select(F.col("node").alias(side), F.struct(*parts_of(lanes)).alias(f"{side}_bits")) for side in ("low", "high")]
@@ -312,6 +313,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
 
 #: Edges that a task of a contraction may have before there are two, as rounds over few edges are many.
 EDGES_A_TASK = 1 << 17
+#: Nodes that a task may have, in steps that read or write them by row. The driver's memory grows with the tasks of all steps.
+NODES_A_TASK = 1 << 14
+#: Tasks of such steps at least.
+FEWEST_TASKS = 6
+
+
+def tasks_of(nodes: DataFrame) -> int:
+    """Partitions for rows of these nodes, checkpointed ones, whatever the number of partitions of shuffles."""
+    return max(FEWEST_TASKS, -(-nodes.count() // NODES_A_TASK))
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -319,7 +329,7 @@ def contract(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds alternate until nothing changes; minima are pre-aggregated,
     so that a node with very many neighbours needs no task of its own. A round has as many tasks as its
-    edges ask for, whatever the number of partitions of shuffles.
+    edges ask for, whatever the number of partitions of shuffles; while they ask for one, nothing is shuffled.
     """
     edges = cut_lineage(edges.select(F.greatest("low", "high").alias("u"), F.least("low", "high").alias("v")))
     count, seen = edges.count(), None
@@ -331,7 +341,7 @@ def contract(edges: DataFrame) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
-        edges = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
+        edges = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks), few=tasks == 1)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -361,7 +371,7 @@ def crowds_of(met: DataFrame) -> DataFrame:
     return grouped.join(large, "root").select("node", F.col("root").alias("crowd"))
 
 
-def crowd_members(crowded: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def crowd_members(crowded: DataFrame, texts: DataFrame, words: int, tasks: int) -> DataFrame:
     """node, crowd, root of ``crowded``, the size of the node's set, and as ``apart`` the hashes that either it or the crowd's common set has.
 
     The common set has what over half of the members have, so it is at most twice their mean size.
@@ -373,7 +383,7 @@ def crowd_members(crowded: DataFrame, texts: DataFrame, words: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["node", "crowd", "root", "hashes"])
 
     own = crowded.join(texts, "node").select("node", "crowd", "root", "text")
-    members = cut_lineage(own.mapInArrow(hashed, "node long, crowd long, root long, hashes array<long>"))
+    members = cut_lineage(own.mapInArrow(hashed, "node long, crowd long, root long, hashes array<long>")).coalesce(tasks)
     count = members.groupBy("crowd").agg(F.count("*").alias("members"))
     held = members.select("crowd", F.explode("hashes").alias("h")).groupBy("crowd", "h").agg(F.count("*").alias("n"))
     common = held.join(count, "crowd").where(F.col("n") * 2 > F.col("members")).groupBy("crowd").agg(F.collect_list("h").alias("common"))
@@ -382,7 +392,7 @@ def crowd_members(crowded: DataFrame, texts: DataFrame, words: int) -> DataFrame
     return both.select("node", "crowd", "root", F.size("hashes").alias("size"), apart.alias("apart"))
 
 
-def crowd_links(crowded: DataFrame, texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def crowd_links(crowded: DataFrame, texts: DataFrame, words: int, similarity: float, tasks: int = FEWEST_TASKS) -> tuple[DataFrame, DataFrame]:
     """Pairs (low, high) within crowds, of nodes (node, crowd, root): sure ones, and ones to be verified.
 
     The sets A and B of two members stand a and b hashes apart from the common set, and c of these hashes are the
@@ -391,12 +401,12 @@ def crowd_links(crowded: DataFrame, texts: DataFrame, words: int, similarity: fl
     Where that is not above 0, the pair is sure, and both are sure with the crowd's member of least excess: they are its
     core and are linked to it alone. Any other pair shares one of the rarest hashes of each, all but the last c - 1
     in order of their number in the crowd. How many that are is told for each class of partners, so hashes that many
-    members stand apart by are seldom among them. Core members are not met with each other, nor those of one root.
+    members stand apart by are seldom among them. Core members are not met with each other, nor those of one root. Members are read by ``tasks`` tasks at most.
     """
     least = Fraction(str(similarity))
     up, down = least.denominator + least.numerator, least.denominator - least.numerator
-    members = crowd_members(crowded, texts, words).withColumn("excess", F.size("apart").cast("long") * up - F.col("size") * down)
-    members = cut_lineage(members)
+    members = crowd_members(crowded, texts, words, tasks).withColumn("excess", F.size("apart").cast("long") * up - F.col("size") * down)
+    members = cut_lineage(members).coalesce(tasks)
     spread = members.groupBy("crowd").agg(F.min(F.struct("excess", "node")).alias("hub"), F.max("excess").alias("most"))
     width = F.floor((F.col("most") - F.col("hub.excess")) / CLASSES) + 1
     placed = members.join(spread.select("crowd", "hub", width.alias("width")), "crowd")
@@ -409,7 +419,7 @@ def crowd_links(crowded: DataFrame, texts: DataFrame, words: int, similarity: fl
     apart = members.select("crowd", "node", F.explode("apart").alias("h"))
     shared = apart.groupBy("crowd", "h").agg(F.count("*").alias("n")).where("n > 1")
     shared = apart.join(shared, ["crowd", "h"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("shared"))
-    ranked = cut_lineage(placed.drop("apart", "size", "hub", "width").join(shared, "node").join(kinds, "crowd"))
+    ranked = cut_lineage(placed.drop("apart", "size", "hub", "width").join(shared, "node").join(kinds, "crowd")).coalesce(tasks)
 
     own = ranked.select("*", F.explode("kinds").alias("other")).where("NOT (core AND other.core)")
     need = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("other.least")) / (2 * up)))
@@ -464,6 +474,8 @@ def near_groups(
     own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")
     sizes = [] if similarity is None else ["size"]
     nodes = cut_lineage(marked.groupBy("node", *parts, *sizes).agg(F.min(own).alias("first")))
+    tasks = tasks_of(nodes)
+    nodes = nodes.coalesce(tasks)
 
     def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
         roots = contract(edges).withColumnRenamed("root", "lower")
@@ -475,23 +487,24 @@ def near_groups(
         stars = star_links(bits, radius, lanes, segments)
     else:
         bits = cut_lineage(banded(nodes.select("node", "size", *parts), similarity))
-        around = cut_lineage(star_candidates(bits, crowd_radius(radius, lanes), lanes, segments))
+        around = cut_lineage(star_candidates(bits, crowd_radius(radius, lanes), lanes, segments)).coalesce(tasks)
         nominated = around.where(F.col("bits") <= radius).select("low", "high")
         stars = verified(nominated, nodes, docs, text_col, words, similarity)
-    starred = cut_lineage(rooted(bits.withColumn("root", F.col("node")), stars))
+    starred = cut_lineage(rooted(bits.withColumn("root", F.col("node")), stars)).coalesce(tasks)
     if similarity is None:
         edges = links(starred, radius, segments, lanes, reach)
     else:
-        crowds = cut_lineage(crowds_of(around))
+        crowds = cut_lineage(crowds_of(around)).coalesce(tasks)
         # Nodes of one root are in one crowd, so a crowd's number can stand for its roots.
         apart = starred.join(crowds, "node", "left").withColumn("root", F.coalesce("crowd", "root")).drop("crowd")
+        apart = cut_lineage(apart).coalesce(tasks)
         met = candidates(apart, radius, segments, lanes, reach)
         sure = None
         if not crowds.isEmpty():
             texts = texts_of(crowds.select("node"), nodes, docs, text_col)
-            sure, close = crowd_links(crowds.join(starred.select("node", "root"), "node"), texts, words, similarity)
+            sure, close = crowd_links(crowds.join(starred.select("node", "root"), "node"), texts, words, similarity, tasks)
             met = met.union(close)
-        pairs = verified(cut_lineage(met), nodes, docs, text_col, words, similarity)
+        pairs = verified(cut_lineage(met).coalesce(lanes * tasks), nodes, docs, text_col, words, similarity)
         pairs = pairs if sure is None else pairs.union(sure)
         of = [starred.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")) for side in ("low", "high")]
         edges = pairs.join(of[0], "low").join(of[1], "high").select(F.col("low_root").alias("low"), F.col("high_root").alias("high")).distinct()

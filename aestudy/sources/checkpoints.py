@@ -27,21 +27,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut_lineage(df: DataFrame, free: bool = False) -> DataFrame:
+#: Estimated bytes beyond which Spark deals out the sides of a join that lie in one partition each.
+SINGLE_BYTES = "spark.sql.maxSinglePartitionBytes"
+
+
+def cut_lineage(df: DataFrame, free: bool = False, few: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there.
 
     ``free``: its shuffle files go at once, for long chains of steps that nothing comes back to.
+    ``few``: what lies in one partition is joined there, for rows that are counted to be few; Spark
+    estimates checkpoints by the plans that made them, so that chains of joins look endless.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    if not free:
+    if not free and not few:
         return df.checkpoint(eager=True)
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
+    wanted = {FREE_SHUFFLES: "true"} if free else {}
+    if few:
+        wanted[SINGLE_BYTES] = str((1 << 63) - 1)
+    before = {key: spark.conf.get(key, None) for key in wanted}
     try:
-        return df.select("*").checkpoint(eager=True)  # the setting holds for frames made under it
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        return df.select("*").checkpoint(eager=True)  # the settings hold for frames made under them
     finally:
-        spark.conf.set(FREE_SHUFFLES, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -245,3 +245,24 @@ def test_contraction_leaves_few_shuffle_files(spark):
     assert {r["root"] for r in simhash.contract(edges).collect()} == {0}
     time.sleep(2)  # files are removed in the background
     assert disk.getAllFiles().mkString().count("shuffle_") < before + 100
+
+
+def test_contraction_of_few_edges_needs_few_tasks(spark):
+    settings = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.maxSinglePartitionBytes": "1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    context = spark.sparkContext
+    edges = spark.range(60).selectExpr("id AS low", "id + 1 AS high")
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        context.setJobGroup("few-edges", "contract")
+        assert {r["root"] for r in simhash.contract(edges).collect()} == {0}
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        for key in ("spark.jobGroup.id", "spark.job.description"):
+            context.setLocalProperty(key, None)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup("few-edges")]
+    stages = {s: tracker.getStageInfo(s) for job in jobs for s in job.stageIds}
+    assert 0 < sum(stage.numTasks for stage in stages.values() if stage and stage.numCompletedTasks) < 300
